@@ -247,13 +247,14 @@ LAGS = ", ".join(
 SCORES = ", ".join(f"{zscore(n)} AS {n}_zscore_52w" for n in K.EVENT_FEATURES)
 
 
-def temporal_sql(source: str) -> str:
+def temporal_sql(source: str, complete: list[str] = ()) -> str:
+    present = "".join(f" AND {n} IS NOT NULL" for n in complete)
     return f"""temporal AS (SELECT *, {LAGS}, {SCORES} FROM {source}),
 finished AS (
   SELECT *, tension_score_zscore_52w * vol_4w AS tension_x_vol_4w,
     material_conflict_ratio_zscore_52w * ABS(drawdown_26w) AS conflict_x_drawdown,
     vix_zscore_52w * tension_score_zscore_52w AS vix_x_tension
-  FROM temporal WHERE nb_events_lag2 IS NOT NULL AND nb_events_zscore_52w IS NOT NULL)"""
+  FROM temporal WHERE nb_events_lag2 IS NOT NULL AND nb_events_zscore_52w IS NOT NULL{present})"""
 
 
 LIVE_NAMES = [n for n in MARKET_NAMES if n not in ("weekly_price", "future_return_4w")]
@@ -276,7 +277,7 @@ sparse AS (
 {out} AS (SELECT * EXCLUDE ({', '.join(names)}), {fills} FROM sparse)"""
 
 
-LIVE = f"{WEEKLY}, {VIX}, {filled_sql('weekly', LIVE_NAMES)}, {temporal_sql('filled')}"
+LIVE = f"{WEEKLY}, {VIX}, {filled_sql('weekly', LIVE_NAMES)}, {temporal_sql('filled', LIVE_NAMES)}"
 
 RISK = "CASE WHEN goldstein < 0 THEN -goldstein * mentions ELSE 0.0 END"
 REGIONS = quoted(K.RADAR_REGIONS)

@@ -64,3 +64,14 @@ def rolling_zscore(value: Column, window: WindowSpec, at_least: int) -> Column:
     mean = gated(F.avg(value), value, window, at_least)
     deviation = gated(F.stddev_samp(value), value, window, at_least)
     return (value - mean) / (deviation + F.lit(ZSCORE_EPSILON))
+
+
+def complete_rows(df: DataFrame) -> DataFrame:
+    """Rows without any NULL.
+
+    One condition per column instead of ``na.drop()``: its single predicate over all
+    columns makes the optimizer derive a variant for every combination of renamed
+    columns, which on a panel of a hundred columns never ends. NaN cannot occur here,
+    readers turn it into NULL.
+    """
+    return df.where(reduce(lambda left, right: left & right, [F.col(name).isNotNull() for name in df.columns]))

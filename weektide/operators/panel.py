@@ -13,7 +13,7 @@ from weektide.constants import (
     ZSCORE_MIN_WEEKS,
     ZSCORE_WEEKS,
 )
-from weektide.functions.numbers import rolling_zscore
+from weektide.functions.numbers import complete_rows, rolling_zscore
 from weektide.operators.market import by_week, calendar_side, last_rows
 
 KEYS = ["ticker", "week"]
@@ -25,7 +25,7 @@ def join_training(weekly: DataFrame, market: DataFrame) -> DataFrame:
     A left join followed by the drop of incomplete rows is an inner join, and written
     so the market side keeps its partitioning by ticker for the windows that follow.
     """
-    return market.join(calendar_side(weekly), "week").na.drop()
+    return complete_rows(market.join(calendar_side(weekly), "week"))
 
 
 def join_live(weekly: DataFrame, market: DataFrame, tickers: list[str]) -> DataFrame:
@@ -98,7 +98,7 @@ def add_temporal_features(df: DataFrame) -> DataFrame:
     All windows share one partitioning and order, so Spark plans one sort and no
     exchange beyond the one by ticker.
     """
-    return with_interactions(with_zscores(with_lags(df))).na.drop()
+    return complete_rows(with_interactions(with_zscores(with_lags(df))))
 
 
 def direction_panel(weekly: DataFrame, targets: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def direction_panel(weekly: DataFrame, targets: DataFrame) -> DataFrame:
         F.lag("target_return").over(by_week()).alias("weekly_return_current"),
         (F.col("target_return") > 0).cast("int").alias("target_direction"),
     )
-    return out.na.drop()
+    return complete_rows(out)
 
 
 def split_at(df: DataFrame, date: str) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weektide.constants import LIVE_PRICE_YEARS
+from weektide.functions.numbers import to_double
 from weektide.schemas import PRICE_SCHEMA
 
 
@@ -25,9 +26,9 @@ def daily_prices(prices: DataFrame, tickers: list[str] | None = None) -> DataFra
     """
     if tickers is not None:
         prices = prices.where(F.col("ticker").isin(tickers))
-    price = F.col("close")
+    price = to_double(F.col("close"))
     if "adj_close" in prices.columns:
-        price = F.coalesce(F.col("adj_close"), price)
+        price = F.coalesce(to_double(F.col("adj_close")), price)
     return prices.select("ticker", F.col("date").alias("d"), price.alias("px"))
 
 

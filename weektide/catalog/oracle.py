@@ -277,6 +277,19 @@ sparse AS (
 {out} AS (SELECT * EXCLUDE ({', '.join(names)}), {fills} FROM sparse)"""
 
 
+FEATURE_NAMES = (
+    [
+        "nb_events", "total_mentions", "total_articles", "avg_goldstein", "min_goldstein", "avg_tone", "min_tone",
+        "tension_score", "cooperation_score", "verbal_conflict_mentions", "material_conflict_mentions",
+        "verbal_coop_mentions", "material_coop_mentions", "major_country_events", "major_country_conflict_mentions",
+        "usa_conflict_mentions", "china_conflict_mentions", "russia_conflict_mentions", "middle_east_conflict_mentions",
+        "usa_china_tension", "usa_russia_tension", "conflict_mentions", "coop_mentions", "conflict_ratio",
+        "material_conflict_ratio", "major_conflict_ratio",
+    ]
+    + LIVE_NAMES
+    + [f"{n}{s}" for n in K.EVENT_FEATURES for s in K.TEMPORAL_SUFFIXES]
+    + ["tension_x_vol_4w", "conflict_x_drawdown", "vix_x_tension"]
+)
 LIVE = f"{WEEKLY}, {VIX}, {filled_sql('weekly', LIVE_NAMES)}, {temporal_sql('filled', LIVE_NAMES)}"
 
 RISK = "CASE WHEN goldstein < 0 THEN -goldstein * mentions ELSE 0.0 END"
@@ -438,6 +451,10 @@ ORACLE["weekly_core"] = f"""WITH {WEEKLY}
 SELECT week, nb_events, total_mentions, total_articles,
   {r('avg_goldstein', 'min_goldstein', 'avg_tone', 'min_tone', 'tension_score', 'cooperation_score')} FROM weekly"""
 
+COUNT_NAMES = [n for n in FEATURE_NAMES[:26] if n.endswith(("_mentions", "_events", "_articles"))]
+DOUBLE_NAMES = [n for n in FEATURE_NAMES[:26] if n not in COUNT_NAMES]
+ORACLE["weekly_panel"] = f"WITH {WEEKLY} SELECT week, {', '.join(COUNT_NAMES)}, {r(*DOUBLE_NAMES)} FROM weekly"
+
 ORACLE["weekly_conditional"] = f"""WITH {WEEKLY}
 SELECT week, verbal_conflict_mentions, material_conflict_mentions, verbal_coop_mentions, material_coop_mentions,
   major_country_events, major_country_conflict_mentions, usa_conflict_mentions, china_conflict_mentions,
@@ -561,19 +578,6 @@ ORACLE["evolution"] = f"""WITH {LIVE}, changes AS ({CHANGES})
 SELECT ticker, week, variable, change_percent FROM changes
 WHERE week = (SELECT MAX(week) FROM finished) AND change_percent IS NOT NULL"""
 
-FEATURE_NAMES = (
-    [
-        "nb_events", "total_mentions", "total_articles", "avg_goldstein", "min_goldstein", "avg_tone", "min_tone",
-        "tension_score", "cooperation_score", "verbal_conflict_mentions", "material_conflict_mentions",
-        "verbal_coop_mentions", "material_coop_mentions", "major_country_events", "major_country_conflict_mentions",
-        "usa_conflict_mentions", "china_conflict_mentions", "russia_conflict_mentions", "middle_east_conflict_mentions",
-        "usa_china_tension", "usa_russia_tension", "conflict_mentions", "coop_mentions", "conflict_ratio",
-        "material_conflict_ratio", "major_conflict_ratio",
-    ]
-    + LIVE_NAMES
-    + [f"{n}{s}" for n in K.EVENT_FEATURES for s in K.TEMPORAL_SUFFIXES]
-    + ["tension_x_vol_4w", "conflict_x_drawdown", "vix_x_tension"]
-)
 ENTRIES = " UNION ALL ".join(
     f"SELECT ticker, 'features' AS part, '{n}' AS entry, ROUND(CAST({n} AS DOUBLE), 4) + 0.0 AS value FROM newest" for n in FEATURE_NAMES
 )

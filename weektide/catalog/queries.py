@@ -339,10 +339,21 @@ def _dated(spark, sf_dir):
     return clean.with_week(S.world_events(spark, sf_dir))
 
 
+def _weekly_lines(spark, sf_dir):
+    """Weekly features for queries that use none of the actors, so no join is needed."""
+    return weekly.weekly_features(clean.with_week(S.line_events(spark, sf_dir).withColumns(_no_actors())))
+
+
+@query
+def weekly_panel(spark, sf_dir):
+    """All weekly features in one pass over the events."""
+    return rounded(_weekly(spark, sf_dir))
+
+
 @query
 def weekly_core(spark, sf_dir):
     names = ["nb_events", "total_mentions", "total_articles", "avg_goldstein", "min_goldstein", "avg_tone", "min_tone"]
-    return rounded(_weekly(spark, sf_dir).select("week", *names, "tension_score", "cooperation_score"))
+    return rounded(_weekly_lines(spark, sf_dir).select("week", *names, "tension_score", "cooperation_score"))
 
 
 @query
@@ -626,7 +637,7 @@ def daily_top3(spark, sf_dir):
 def newest_weeks(spark, sf_dir):
     """Ten newest weeks."""
     return rounded(
-        _weekly(spark, sf_dir).select("week", "nb_events", "tension_score").orderBy(F.col("week").desc()).limit(10)
+        _weekly_lines(spark, sf_dir).select("week", "nb_events", "tension_score").orderBy(F.col("week").desc()).limit(10)
     )
 
 
@@ -734,7 +745,7 @@ def per_class_report(spark, sf_dir):
 def aligned_features(spark, sf_dir):
     """Ordered model features; one the panel lacks is 0."""
     features = ["tension_score", "nb_events", "not_in_the_panel", "avg_tone"]
-    return rounded(aligned(_weekly(spark, sf_dir), features, ["week"]))
+    return rounded(aligned(_weekly_lines(spark, sf_dir), features, ["week"]))
 
 
 # --- models (rows only: fitted values have no SQL form) --------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,19 +49,16 @@ def total_if(condition: Column, value: Column) -> Column:
     return total(F.when(condition, value))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda left, right: left | right, conditions)
-
-
 def gated(statistic: Column, value: Column, window: WindowSpec, at_least: int) -> Column:
     """Rolling statistic, NULL while the frame holds fewer than ``at_least`` values."""
     return F.when(F.count(value).over(window) >= at_least, statistic.over(window))
 
 
-def rolling_zscore(value: Column, window: WindowSpec, at_least: int) -> Column:
-    mean = gated(F.avg(value), value, window, at_least)
-    deviation = gated(F.stddev_samp(value), value, window, at_least)
-    return (value - mean) / (deviation + F.lit(ZSCORE_EPSILON))
+def rolling_zscore(name: str, rows: int, at_least: int, key: str = "ticker") -> str:
+    """SQL of the z-score of a column over the last ``rows`` rows of its key, ordered by week."""
+    frame = f"OVER (PARTITION BY {key} ORDER BY week ROWS {rows - 1} PRECEDING)"
+    score = f"({name} - avg({name}) {frame}) / (stddev_samp({name}) {frame} + {ZSCORE_EPSILON}D)"
+    return f"CASE WHEN count({name}) {frame} >= {at_least} THEN {score} END"
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
@@ -74,4 +69,4 @@ def complete_rows(df: DataFrame) -> DataFrame:
     columns, which on a panel of a hundred columns never ends. NaN cannot occur here,
     readers turn it into NULL.
     """
-    return df.where(reduce(lambda left, right: left & right, [F.col(name).isNotNull() for name in df.columns]))
+    return df.where(" AND ".join(f"`{name}` IS NOT NULL" for name in df.columns))

@@ -99,11 +99,10 @@ def with_volatility_index(market: DataFrame, index_weekly: DataFrame, missing: s
     """
     side = calendar_side(index_weekly.select("week", F.col("px").alias("vix")))
     out = market.join(side, "week", "left")
-    vix = F.col("vix")
     out = out.withColumns(
         {
-            "vix_delta_1w": vix - F.lag("vix").over(by_week()),
-            "vix_zscore_52w": rolling_zscore(vix, last_rows(ZSCORE_WEEKS), ZSCORE_MIN_WEEKS),
+            "vix_delta_1w": F.col("vix") - F.lag("vix").over(by_week()),
+            "vix_zscore_52w": F.expr(rolling_zscore("vix", ZSCORE_WEEKS, ZSCORE_MIN_WEEKS)),
         }
     )
     if missing == "zero":

@@ -14,7 +14,7 @@ from weektide.constants import (
     ZSCORE_WEEKS,
 )
 from weektide.functions.numbers import complete_rows, rolling_zscore
-from weektide.operators.market import by_week, calendar_side, last_rows
+from weektide.operators.market import by_week, calendar_side
 
 KEYS = ["ticker", "week"]
 
@@ -65,20 +65,21 @@ def label_crisis(df: DataFrame, threshold: float = CRISIS_THRESHOLD) -> DataFram
 
 def with_lags(df: DataFrame, features: list[str] = EVENT_FEATURES) -> DataFrame:
     """``lag1``, ``lag2`` and ``delta1`` by row position within the ticker."""
-    columns = {}
+    over = "OVER (PARTITION BY ticker ORDER BY week)"
+    columns = []
     for name in features:
-        previous = F.lag(name, 1).over(by_week())
-        columns[f"{name}_lag1"] = previous
-        columns[f"{name}_lag2"] = F.lag(name, 2).over(by_week())
-        columns[f"{name}_delta1"] = F.col(name) - previous
-    return df.select("*", *[column.alias(name) for name, column in columns.items()])
+        columns += [
+            f"lag({name}) {over} AS {name}_lag1",
+            f"lag({name}, 2) {over} AS {name}_lag2",
+            f"{name} - lag({name}) {over} AS {name}_delta1",
+        ]
+    return df.selectExpr("*", *columns)
 
 
 def with_zscores(df: DataFrame, features: list[str] = EVENT_FEATURES) -> DataFrame:
     """52-row z-score, from the 20th row on."""
-    frame = last_rows(ZSCORE_WEEKS)
-    scores = [rolling_zscore(F.col(n), frame, ZSCORE_MIN_WEEKS).alias(f"{n}_zscore_52w") for n in features]
-    return df.select("*", *scores)
+    scores = [f"{rolling_zscore(name, ZSCORE_WEEKS, ZSCORE_MIN_WEEKS)} AS {name}_zscore_52w" for name in features]
+    return df.selectExpr("*", *scores)
 
 
 def with_interactions(df: DataFrame) -> DataFrame:

@@ -21,56 +21,89 @@ from weektide.functions.numbers import ratio, total, total_if
 
 @dataclass(frozen=True)
 class Measure:
-    """A column that merges by sum, or by minimum."""
+    """A column that merges by sum, or by minimum, and the SQL it starts from."""
 
     name: str
-    start: Column
+    start: str
     smallest: bool = False
 
+    def first(self) -> Column:
+        return F.expr(self.start).alias(self.name)
+
     def merge(self) -> Column:
-        value = F.col(self.name)
-        return (F.min(value) if self.smallest else F.sum(value)).alias(self.name)
+        return (F.min(self.name) if self.smallest else F.sum(self.name)).alias(self.name)
+
+
+def _sum(value: str, condition: str | None = None) -> str:
+    """Sum that is 0 when nothing was added."""
+    return f"coalesce(sum({value if condition is None else f'if({condition}, {value}, NULL)'}), 0)"
+
+
+# Every measure merges, so the list serves one pass, stored parts and streams alike.
+MEASURES = [
+    Measure("nb_events", "count(EventCode)"),
+    Measure("total_mentions", _sum("NumMentions")),
+    Measure("total_articles", _sum("NumArticles")),
+    Measure("goldstein_sum", "sum(GoldsteinScale)"),
+    Measure("goldstein_rows", "count(GoldsteinScale)"),
+    Measure("min_goldstein", "min(GoldsteinScale)", smallest=True),
+    Measure("tone_sum", "sum(AvgTone)"),
+    Measure("tone_rows", "count(AvgTone)"),
+    Measure("min_tone", "min(AvgTone)", smallest=True),
+    Measure("tension_score", _sum("negative_intensity")),
+    Measure("cooperation_score", _sum("positive_intensity")),
+    Measure("verbal_conflict_mentions", _sum("NumMentions", "is_verbal_conflict")),
+    Measure("material_conflict_mentions", _sum("material_mentions")),
+    Measure("verbal_coop_mentions", _sum("NumMentions", "is_verbal_coop")),
+    Measure("material_coop_mentions", _sum("NumMentions", "is_material_coop")),
+    Measure("major_country_events", "count_if(is_major)"),
+    Measure("major_country_conflict_mentions", _sum("material_mentions", "is_major")),
+    Measure("usa_conflict_mentions", _sum("material_mentions", "usa_event")),
+    Measure("china_conflict_mentions", _sum("material_mentions", "china_event")),
+    Measure("russia_conflict_mentions", _sum("material_mentions", "russia_event")),
+    Measure("middle_east_conflict_mentions", _sum("material_mentions", "middle_east_event")),
+    Measure("usa_china_tension", _sum("negative_intensity", "usa_china_relation")),
+    Measure("usa_russia_tension", _sum("negative_intensity", "usa_russia_relation")),
+]
+
+
+def with_event_flags(events: DataFrame, material_class: int = 4) -> DataFrame:
+    """Flags and intensities the measures use.
+
+    What several measures share is computed once per row: the optimizer keeps such
+    columns in their own projection and inlines the rest.
+    """
+    material = flags.is_class(material_class)
+    return events.withColumns(
+        {
+            "negative_intensity": negative_intensity(),
+            "positive_intensity": positive_intensity(),
+            "material_mentions": F.when(material, F.col(MENTIONS)),
+            "is_verbal_coop": flags.is_class(1),
+            "is_material_coop": flags.is_class(2),
+            "is_verbal_conflict": flags.is_class(3),
+            "is_major": flags.is_major(),
+            "usa_event": flags.involves("usa"),
+            "china_event": flags.involves("china"),
+            "russia_event": flags.involves("russia"),
+            "middle_east_event": flags.in_middle_east(),
+            "usa_china_relation": flags.between("usa", "china"),
+            "usa_russia_relation": flags.between("usa", "russia"),
+        }
+    )
 
 
-def event_measures(material_class: int = 4) -> list[Measure]:
-    """Measures of the crisis panel; ``material_class`` is the class counted as material conflict."""
-    mentions = F.col(MENTIONS)
-    material = flags.is_class(material_class)
-    return [
-        Measure("nb_events", F.count("EventCode")),
-        Measure("total_mentions", total(mentions)),
-        Measure("total_articles", total(F.col("NumArticles"))),
-        Measure("goldstein_sum", F.sum(SCALE)),
-        Measure("goldstein_rows", F.count(SCALE)),
-        Measure("min_goldstein", F.min(SCALE), smallest=True),
-        Measure("tone_sum", F.sum("AvgTone")),
-        Measure("tone_rows", F.count("AvgTone")),
-        Measure("min_tone", F.min("AvgTone"), smallest=True),
-        Measure("tension_score", total(negative_intensity())),
-        Measure("cooperation_score", total(positive_intensity())),
-        Measure("verbal_conflict_mentions", total_if(flags.is_class(3), mentions)),
-        Measure("material_conflict_mentions", total_if(material, mentions)),
-        Measure("verbal_coop_mentions", total_if(flags.is_class(1), mentions)),
-        Measure("material_coop_mentions", total_if(flags.is_class(2), mentions)),
-        Measure("major_country_events", F.count_if(flags.is_major())),
-        Measure("major_country_conflict_mentions", total_if(flags.is_major() & material, mentions)),
-        Measure("usa_conflict_mentions", total_if(flags.involves("usa") & material, mentions)),
-        Measure("china_conflict_mentions", total_if(flags.involves("china") & material, mentions)),
-        Measure("russia_conflict_mentions", total_if(flags.involves("russia") & material, mentions)),
-        Measure("middle_east_conflict_mentions", total_if(flags.in_middle_east() & material, mentions)),
-        Measure("usa_china_tension", total_if(flags.between("usa", "china"), negative_intensity())),
-        Measure("usa_russia_tension", total_if(flags.between("usa", "russia"), negative_intensity())),
-    ]
-
-
-def weekly_partials(events: DataFrame, keys: list[str] = ("week",), material_class: int = 4) -> DataFrame:
-    """Mergeable measures per key, for example per ingest day and week."""
-    return events.groupBy(*keys).agg(*[m.start.alias(m.name) for m in event_measures(material_class)])
+def weekly_partials(events: DataFrame, keys: list[Column | str] = ("week",), material_class: int = 4) -> DataFrame:
+    """Mergeable measures per key, for example per ingest day and week.
+
+    ``material_class`` is the class counted as material conflict.
+    """
+    return with_event_flags(events, material_class).groupBy(*keys).agg(*[m.first() for m in MEASURES])
 
 
 def merge_partials(partials: DataFrame, keys: list[str] = ("week",)) -> DataFrame:
     """Exact weekly measures from stored partial ones."""
-    return partials.groupBy(*keys).agg(*[m.merge() for m in event_measures()])
+    return partials.groupBy(*keys).agg(*[m.merge() for m in MEASURES])
 
 
 def finish_weekly(measures: DataFrame) -> DataFrame:
@@ -103,7 +136,7 @@ def weekly_features_lite(events: DataFrame) -> DataFrame:
     mentions = F.col(MENTIONS)
 
     def labelled(number: int) -> Column:
-        return flags.known(F.col("QuadClassLabel") == QUAD_LABELS[number])
+        return flags.known(f"QuadClassLabel = '{QUAD_LABELS[number]}'")
 
     return events.groupBy("week").agg(
         F.count("EventCode").alias("nb_events"),

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.ui.enabled": "false",
+    # Columns do not record the Python line they come from; building plans is faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

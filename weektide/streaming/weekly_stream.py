@@ -19,7 +19,7 @@ from weektide.functions.dates import day_of_instant, day_start, monday_of
 from weektide.functions.intensity import MENTIONS
 from weektide.functions.numbers import total
 from weektide.operators.radar import radar_candidates, risk_order, shown
-from weektide.operators.weekly import event_measures, finish_weekly
+from weektide.operators.weekly import MEASURES, finish_weekly, weekly_partials
 
 # Weeks are seven days long and start four days after the epoch's Thursday.
 WEEK = "7 days"
@@ -50,9 +50,7 @@ def weekly_stream(events: DataFrame, delay: str = "14 days", day: str = "SQLDATE
     of the day, so the session time zone has no part in it.
     """
     timed = events.withColumn("event_ts", day_start(F.col(day))).withWatermark("event_ts", delay)
-    measures = timed.groupBy(F.window("event_ts", WEEK, WEEK, MONDAY_OFFSET)).agg(
-        *[m.start.alias(m.name) for m in event_measures()]
-    )
+    measures = weekly_partials(timed, [F.window("event_ts", WEEK, WEEK, MONDAY_OFFSET)])
     return measures.withColumn("week", day_of_instant(F.col("window.start"))).drop("window")
 
 
@@ -89,8 +87,7 @@ def upsert_open_weeks(weekly: DataFrame, out: str, checkpoint: str) -> Streaming
 def current_weeks(spark: SparkSession, out: str) -> DataFrame:
     """Weekly features from the newest state of each week."""
     updates = spark.read.parquet(out)
-    names = [m.name for m in event_measures()]
-    newest = updates.groupBy("week").agg(F.max_by(F.struct(*names), "batch_id").alias("state"))
+    newest = updates.groupBy("week").agg(F.max_by(F.struct(*[m.name for m in MEASURES]), "batch_id").alias("state"))
     return finish_weekly(newest.select("week", "state.*"))
 
 

@@ -1,7 +1,7 @@
 """The supplied order tables seen as an event log, a price table and lookups.
 
-One line item is one event. Joins carry no hint: Spark broadcasts a side only when its
-measured size allows, and splits skewed partitions otherwise.
+One line item is one event. Spark broadcasts a dimension only when its measured size
+allows, and splits skewed partitions otherwise.
 """
 
 from __future__ import annotations
@@ -68,7 +68,9 @@ def _with_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     buyers = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
-    lines = table(spark, sf_dir, "lineitem")
+    # Both sides grow with the data, so neither is ever broadcast; the small-side joins are
+    # left to Spark. Customers join the orders first: the lines are then shuffled once.
+    lines = table(spark, sf_dir, "lineitem").hint("merge")
     return lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(
         supplier, F.col("l_suppkey") == F.col("s_suppkey")
     )

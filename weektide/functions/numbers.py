@@ -61,12 +61,12 @@ def rolling_zscore(name: str, rows: int, at_least: int, key: str = "ticker") ->
     return f"CASE WHEN count({name}) {frame} >= {at_least} THEN {score} END"
 
 
-def complete_rows(df: DataFrame) -> DataFrame:
-    """Rows without any NULL.
+def complete_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows without a NULL in the given, or in all, columns.
 
-    One condition per column instead of ``na.drop()``: its single predicate over all
-    columns makes the optimizer derive a variant for every combination of renamed
-    columns, which on a panel of a hundred columns never ends. NaN cannot occur here,
-    readers turn it into NULL.
+    One condition per column instead of ``na.drop()``: such conditions reach the scan
+    one by one, while its single predicate over all columns makes the optimizer derive a
+    variant for every combination of renamed columns, which on a panel of a hundred
+    columns never ends. NaN cannot occur here, readers turn it into NULL.
     """
-    return df.where(" AND ".join(f"`{name}` IS NOT NULL" for name in df.columns))
+    return df.where(" AND ".join(f"`{name}` IS NOT NULL" for name in columns or df.columns))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from weektide.functions import flags
 from weektide.functions.dates import monday_of, parse_day
 from weektide.functions.intensity import risk_score
-from weektide.functions.numbers import coerce_numbers
+from weektide.functions.numbers import coerce_numbers, complete_rows
 from weektide.functions.text import root_of, strip_float_suffix, zero_pad
 from weektide.sources.lookups import checked, quad_label, root_description
 
@@ -21,7 +21,7 @@ def with_week(df: DataFrame, strict: bool = False) -> DataFrame:
     day = F.col("SQLDATE")
     if not isinstance(df.schema["SQLDATE"].dataType, T.DateType):
         day = parse_day(day, strict)
-    df = df.withColumn("SQLDATE", day).na.drop(subset=["SQLDATE"])
+    df = complete_rows(df.withColumn("SQLDATE", day), ["SQLDATE"])
     return df.withColumns({"year": F.year("SQLDATE"), "week": monday_of(F.col("SQLDATE"))})
 
 
@@ -32,7 +32,7 @@ def clean_events(df: DataFrame) -> DataFrame:
         ["GoldsteinScale", "QuadClass", "NumMentions", "NumArticles", "AvgTone", "is_major_country"],
         whole=["NumMentions", "NumArticles"],
     )
-    df = df.na.drop(subset=["GoldsteinScale", "QuadClass", "NumMentions", "AvgTone"])
+    df = complete_rows(df, ["GoldsteinScale", "QuadClass", "NumMentions", "AvgTone"])
     df = df.na.fill("UNK", subset=CODE_COLUMNS)
     df = df.na.fill("Unknown", subset=["QuadClassLabel", "EventRootDescription"])
     return df.withColumn("EventDescriptionFinal", F.coalesce("EventDescriptionFinal", "EventRootDescription"))
@@ -43,7 +43,7 @@ def clean_events_lite(df: DataFrame) -> DataFrame:
     df = with_week(df, strict=True)
     df = df.withColumn("EventDescriptionFinal", F.coalesce("EventDescriptionFinal", "EventRootDescription"))
     df = coerce_numbers(df, ["GoldsteinScale", "NumMentions", "AvgTone"], whole=["NumMentions"])
-    return df.na.drop(subset=["EventDescriptionFinal", "GoldsteinScale", "NumMentions", "AvgTone"])
+    return complete_rows(df, ["EventDescriptionFinal", "GoldsteinScale", "NumMentions", "AvgTone"])
 
 
 def clean_drops(df: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def fill_both(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def label_crisis(df: DataFrame, threshold: float = CRISIS_THRESHOLD) -> DataFrame:
     """1 where the four-week return falls to the threshold or below it."""
     level = F.when(F.col("future_return_4w") <= threshold, 1).otherwise(0)
-    return df.na.drop(subset=["future_return_4w"]).withColumn("crisis_level", level)
+    return complete_rows(df, ["future_return_4w"]).withColumn("crisis_level", level)
 
 
 def with_lags(df: DataFrame, features: list[str] = EVENT_FEATURES) -> DataFrame:
@@ -104,7 +104,7 @@ def add_temporal_features(df: DataFrame) -> DataFrame:
 
 def direction_panel(weekly: DataFrame, targets: DataFrame) -> DataFrame:
     """Direction training rows: lagged features, last target and the sign of the target."""
-    joined = targets.join(calendar_side(weekly), "week").na.drop(subset=["target_return"])
+    joined = complete_rows(targets, ["target_return"]).join(calendar_side(weekly), "week")
     out = joined.select(
         "*",
         *[F.lag(name).over(by_week()).alias(f"{name}_lag1") for name in DIRECTION_LAGGED],

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from weektide.constants import FOCUS_ROWS, RADAR_COLUMNS, RADAR_REGIONS, RADAR_ROWS
 from weektide.functions.flags import in_regions
+from weektide.functions.numbers import complete_rows
 from weektide.operators.clean import with_risk
 
 
 def radar_candidates(drops: DataFrame, regions: list[str] = RADAR_REGIONS) -> DataFrame:
     """Scored events of the tracked regions that can be linked."""
     scored = with_risk(drops.where(in_regions(regions)))
-    return scored.na.drop(subset=["SOURCEURL"]) if "SOURCEURL" in scored.columns else scored
+    return complete_rows(scored, ["SOURCEURL"]) if "SOURCEURL" in scored.columns else scored
 
 
 def shown(df: DataFrame) -> list[str]:

@@ -16,16 +16,21 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # Columns do not record the Python line they come from; building plans is faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "weektide") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "weektide", checkpoints: str | None = None
+) -> SparkSession:
     """Session for tests and benches on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     return (
         builder.config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.driver.memory", "16g")
@@ -42,8 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="weektide-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = f"{tempfile.gettempdir()}/weektide-{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 
 

@@ -359,6 +359,12 @@ ORACLE["price_fallback"] = """SELECT c_mktsegment AS ticker, CAST(o_orderdate AS
   COALESCE(MAX(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END), MAX(o_totalprice)) AS px
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
 
+ORACLE["yearly_table"] = f"""WITH {WEEKLY}
+SELECT week, nb_events, {r('tension_score')}, CAST(YEAR(week) AS INTEGER) AS year FROM weekly"""
+
+ORACLE["lookup_files"] = f"""WITH {COUNTRIES}, {CODES}
+SELECT code, description AS text FROM codes UNION ALL SELECT code, name FROM countries WHERE code IS NOT NULL"""
+
 # --- cleaning --------------------------------------------------------------------------
 
 ORACLE["parse_dates"] = f"""WITH {LINES}

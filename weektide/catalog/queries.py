@@ -21,14 +21,14 @@ from weektide.models.features import aligned, class_weights
 from weektide.models.search import draw, search
 from weektide.operators import clean, latest, market, panel, quality, radar, weekly
 from weektide.plans.refresh import crisis_refresh, direction_refresh, live_panel, newest_drop
-from weektide.plans.reports import crisis_report
+from weektide.plans.reports import crisis_report, direction_report
 from weektide.plans.training import crisis_training_panel, direction_training_panel
 from weektide.schemas import CRISIS_SNAPSHOT_SCHEMA, RADAR_SCHEMA
 from weektide.session import work_folder
 from weektide.sources.events import recent_days, stack
-from weektide.sources.lookups import quad_label, root_description
+from weektide.sources.lookups import quad_label, read_country_lookup, read_event_lookup, root_description
 from weektide.sources.prices import daily_prices
-from weektide.sources.tables import read_documents, stored, write_documents
+from weektide.sources.tables import read_documents, stored, write_documents, write_table
 from weektide.streaming import weekly_stream as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,27 @@ def price_fallback(spark, sf_dir):
     return daily_prices(S.prices(spark, sf_dir, adjusted=True), S.TICKERS)
 
 
+@query
+def yearly_table(spark, sf_dir):
+    """Weekly table written with year folders and read back."""
+    path = work_folder(spark, "weekly-table")
+    write_table(_weekly_lines(spark, sf_dir).select("week", "nb_events", "tension_score"), path, year_of="week")
+    back = spark.read.schema("week date, nb_events bigint, tension_score double, year int").parquet(path)
+    return rounded(back)
+
+
+@query
+def lookup_files(spark, sf_dir):
+    """Headerless tab-separated lookups written, read back trimmed and padded."""
+    path = work_folder(spark, "lookups")
+    codes = S.event_lookup(spark, sf_dir).select(F.col("EventCode").cast("int").cast("string"), "EventDescription")
+    codes.write.option("sep", "\t").csv(f"{path}/codes")
+    countries = S.country_lookup(spark, sf_dir).where("CountryCode IS NOT NULL")
+    countries.write.option("sep", "\t").csv(f"{path}/countries")
+    parts = [read_event_lookup(spark, f"{path}/codes"), read_country_lookup(spark, f"{path}/countries")]
+    return stack([part.toDF("code", "text") for part in parts])
+
+
 @query
 def crisis_documents(spark, sf_dir):
     """Snapshot documents written as JSON and read back, with their maps laid out long."""
@@ -763,7 +784,9 @@ def _direction(spark, sf_dir):
 def gbt_scores(spark, sf_dir):
     """Crisis model fitted before the split, hold-out weeks scored at the evaluation threshold."""
     rows = stored(_panel(spark, sf_dir), "crisis-panel")
-    bundle = TR.fit_crisis(rows, S.TICKERS[0], split=SPLIT)
+    path = work_folder(spark, "crisis-model")
+    TR.save_bundle(TR.fit_crisis(rows, S.TICKERS[0], split=SPLIT), path)
+    bundle = TR.load_bundle(spark, path)
     _, test = panel.split_at(rows.where(F.col("ticker") == bundle.ticker), SPLIT)
     return SC.score(test, bundle, ["ticker", "week", "crisis_level"], K.STRESS_PROBABILITY)
 
@@ -798,18 +821,11 @@ def scenario_scores(spark, sf_dir):
 
 @query
 def direction_served(spark, sf_dir):
-    """Served direction per ticker from the newest panel row and the short momentum."""
+    """Served direction per ticker from the three-week snapshot and the short momentum."""
     rows = _direction(spark, sf_dir)
     bundles = [TR.fit_direction(rows, ticker, QUICK, SPLIT) for ticker in S.TICKERS[:2]]
-    newest = latest_rows(rows)
-    scored = SC.score_each(newest, bundles, ["ticker"])
-    return SC.direction_report(scored, market.short_momentum(_daily(spark, sf_dir)), F.date_format(F.current_timestamp(), "yyyy-MM-dd"))
-
-
-def latest_rows(rows: DataFrame) -> DataFrame:
-    names = [n for n in rows.columns if n != "ticker"]
-    newest = rows.groupBy("ticker").agg(F.max_by(F.struct(*names), "week").alias("row"))
-    return newest.select("ticker", "row.*")
+    snapshot = direction_refresh(S.daily_drops(spark, sf_dir), newest_drop(S.line_events(spark, sf_dir)))
+    return direction_report(snapshot, market.short_momentum(_daily(spark, sf_dir)), bundles)
 
 
 @query

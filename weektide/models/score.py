@@ -40,17 +40,6 @@ def percent_text(value: Column) -> Column:
     return F.concat(F.format_string("%.2f", value * 100), F.lit("%"))
 
 
-def direction_report(scored: DataFrame, momentum: DataFrame, last_updated: Column) -> DataFrame:
-    """Served direction per ticker with the short return it took into account."""
-    return scored.join(momentum.select("ticker", "current_return"), "ticker", "left").select(
-        F.col("ticker").alias("actif"),
-        class_name(DIRECTION_NAMES).alias("tendance"),
-        F.col("confidence").alias("confiance"),
-        last_updated.alias("derniere_maj"),
-        percent_text(F.col("current_return")).alias("rendement_actuel_pris_en_compte"),
-    )
-
-
 def scenario_rows(scenarios: DataFrame, tickers: list[str]) -> DataFrame:
     """Scenarios ``(simulated_tone, simulated_tension, simulated_material_conflicts)`` per asset,
     each laid on the neutral week."""

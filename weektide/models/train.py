@@ -27,7 +27,8 @@ class BoostedTrees:
     """Settings of a boosted-tree fit.
 
     ``patience_share`` is the share of the newest training weeks kept aside for early
-    stopping; 0 turns it off. The hold-out weeks are never used for it.
+    stopping; 0 turns it off. Boosting then ends with the first round that makes the loss
+    on them worse. The hold-out weeks are never used for it.
     """
 
     iterations: int = 100
@@ -72,7 +73,9 @@ def boosted(settings: BoostedTrees, label: str) -> GBTClassifier:
         minInstancesPerNode=settings.min_rows,
         seed=SEED,
     )
-    return trees.setValidationIndicatorCol("is_validation") if settings.patience_share else trees
+    if settings.patience_share:
+        trees = trees.setValidationIndicatorCol("is_validation").setParams(validationTol=0.0)
+    return trees
 
 
 def forest(label: str, trees: int = 100, depth: int = 5) -> RandomForestClassifier:

@@ -27,15 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def country_code(nation: Column) -> Column:
     """Actor code of a nation key: the major countries, one unknown, the rest made up."""
-    known = F.create_map(*[item for key, code in enumerate(MAJOR_CODES) for item in (F.lit(key), F.lit(code))])
+    known = F.try_element_at(F.array(*[F.lit(code) for code in MAJOR_CODES]), nation + 1)
     other = F.concat(F.lit("ZZ"), nation.cast("string"))
-    return F.when(nation != len(MAJOR_CODES), F.coalesce(F.try_element_at(known, nation), other))
+    return F.when(nation < len(MAJOR_CODES), known).when(nation > len(MAJOR_CODES), other)
 
 
 def line_columns() -> dict[str, Column]:
     """Event columns a line item gives on its own."""
     geo = F.array(*[F.lit(code) for code in GEO_CODES])
-    root = zero_pad((F.col("l_partkey") % 20 + 1).cast("string"), 2)
+    root = F.lpad((F.col("l_partkey") % 20 + 1).cast("string"), 2, "0")
     mentions = F.col("l_quantity").cast("int").cast("bigint")
     return {
         "l_orderkey": F.col("l_orderkey"),

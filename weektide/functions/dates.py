@@ -14,7 +14,7 @@ def parse_day(text: Column, strict: bool = False) -> Column:
 
 def monday_of(day: Column) -> Column:
     """Monday that opens the Monday-to-Sunday week of ``day``."""
-    return F.date_trunc("week", day).cast("date")
+    return F.trunc(day, "week")
 
 
 def closing_monday(day: Column) -> Column:

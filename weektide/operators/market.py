@@ -31,6 +31,15 @@ def last_rows(n: int, key: str = "ticker") -> WindowSpec:
     return by_week(key).rowsBetween(-(n - 1), W.currentRow)
 
 
+def by_ticker(weekly: DataFrame) -> DataFrame:
+    """Hash the rows on the ticker over all shuffle partitions.
+
+    Windows over many columns are heavy for their bytes. Left alone, adaptive execution
+    would merge the small partitions and run many tickers one after the other.
+    """
+    return weekly.repartition(int(weekly.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker")
+
+
 def calendar_side(weekly: DataFrame) -> DataFrame:
     """Mark a frame that is keyed by calendar week alone for broadcast.
 
@@ -50,6 +59,7 @@ def weekly_prices(prices: DataFrame) -> DataFrame:
     weekly = prices.groupBy("ticker", closing_monday(F.col("d")).alias("week")).agg(
         F.max_by("px", F.when(F.col("px").isNotNull(), F.col("d"))).alias("px")
     )
+    weekly = by_ticker(weekly)
     following = F.lead("week").over(by_week())
     last_missing = F.coalesce(F.date_sub(following, 7), F.col("week"))
     weekly = weekly.withColumn("weeks", F.sequence("week", last_missing, F.expr("interval 7 days")))

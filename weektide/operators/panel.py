@@ -14,7 +14,7 @@ from weektide.constants import (
     ZSCORE_WEEKS,
 )
 from weektide.functions.numbers import complete_rows, rolling_zscore
-from weektide.operators.market import by_week, calendar_side
+from weektide.operators.market import by_ticker, by_week, calendar_side
 
 KEYS = ["ticker", "week"]
 
@@ -31,8 +31,7 @@ def join_training(weekly: DataFrame, market: DataFrame) -> DataFrame:
 def join_live(weekly: DataFrame, market: DataFrame, tickers: list[str]) -> DataFrame:
     """Every event week for every ticker; gaps take the last known, then the next known value."""
     scaffold = weekly.withColumn("ticker", F.explode(F.array(*[F.lit(t) for t in tickers])))
-    joined = scaffold.join(market, KEYS, "left")
-    return fill_both(joined)
+    return fill_both(by_ticker(scaffold.join(market, KEYS, "left")))
 
 
 def fill_both(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -57,12 +57,12 @@ def test_crisis_model_scores_and_reports(spark, crisis, medium, tmp_path):
         assert row["predicted"] == int(row["proba_1"] >= 0.55)
         assert row["confidence"] == pytest.approx(100 * (row["proba_1"] if row["predicted"] else row["proba_0"]), abs=0.006)
     path = str(tmp_path / "bundle")
-    TR.save_bundle(bundle, path)
+    TR.save_bundle(spark, bundle, path)
     loaded = TR.load_bundle(spark, path)
     assert (loaded.ticker, loaded.features, loaded.classes) == (bundle.ticker, bundle.features, bundle.classes)
     again = SC.score(test, loaded, ["ticker", "week", "crisis_level"], 0.55)
     assert sorted(again.collect()) == sorted(scored.collect())
-    ranked = [r["importance"] for r in TR.importances(bundle, 25).collect()]
+    ranked = [r["importance"] for r in TR.importances(spark, bundle, 25).collect()]
     assert len(ranked) == 25 and ranked == sorted(ranked, reverse=True)
 
     report = crisis_report(stored(Q._snapshot(spark, medium), "snapshot"), [bundle]).first()
@@ -71,6 +71,16 @@ def test_crisis_model_scores_and_reports(spark, crisis, medium, tmp_path):
     assert len(report["variables_importantes"]) == 18 and len(report["top_events"]) <= 10
 
 
+def test_published_crisis_settings(crisis):
+    bundle = TR.fit_crisis(crisis, supplied.TICKERS[0], split=Q.SPLIT)
+    trees = bundle.model.stages[-1]
+    assert trees.getNumTrees == 100 and max(t.depth for t in trees.trees) <= 2
+    train, test = split_at(crisis.where(F.col("ticker") == bundle.ticker), Q.SPLIT)
+    seen = M.metrics(M.confusion_counts(SC.score(train, bundle, ["crisis_level"]), "crisis_level", "predicted")).first()
+    held = M.metrics(M.confusion_counts(SC.score(test, bundle, ["crisis_level"]), "crisis_level", "predicted")).first()
+    assert seen["accuracy"] > 0.6 and 0.0 <= held["f1_macro"] <= 1.0
+
+
 def test_early_stopping_and_forest(direction):
     early = TR.BoostedTrees(iterations=6, depth=2, rate=0.1, patience_share=0.2)
     boosted = TR.fit_direction(direction, supplied.TICKERS[0], early, Q.SPLIT)

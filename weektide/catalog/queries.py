@@ -772,6 +772,7 @@ def aligned_features(spark, sf_dir):
 # --- models (rows only: fitted values have no SQL form) --------------------------------
 
 SPLIT = "2000-06-01"
+# Small settings for a model of every ticker; the published ones are the defaults of the fits.
 QUICK = TR.BoostedTrees(iterations=20, depth=2, rate=0.1)
 
 
@@ -782,34 +783,37 @@ def _direction(spark, sf_dir):
 
 @query
 def gbt_scores(spark, sf_dir):
-    """Crisis model fitted before the split, hold-out weeks scored at the evaluation threshold."""
+    """Crisis models fitted before the split, stored, read back, and their hold-out weeks scored."""
     rows = stored(_panel(spark, sf_dir), "crisis-panel")
-    path = work_folder(spark, "crisis-model")
-    TR.save_bundle(TR.fit_crisis(rows, S.TICKERS[0], split=SPLIT), path)
-    bundle = TR.load_bundle(spark, path)
-    _, test = panel.split_at(rows.where(F.col("ticker") == bundle.ticker), SPLIT)
-    return SC.score(test, bundle, ["ticker", "week", "crisis_level"], K.STRESS_PROBABILITY)
+    path = work_folder(spark, "crisis-models")
+    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_crisis(rows, ticker, QUICK, SPLIT))
+    for bundle in bundles:
+        TR.save_bundle(spark, bundle, f"{path}/{bundle.ticker}")
+    loaded = [TR.load_bundle(spark, f"{path}/{ticker}") for ticker in S.TICKERS]
+    _, test = panel.split_at(rows, SPLIT)
+    return SC.score_each(test, loaded, ["ticker", "week", "crisis_level"], K.STRESS_PROBABILITY)
 
 
 @query
 def forest_scores(spark, sf_dir):
     rows = _direction(spark, sf_dir)
-    bundle = TR.fit_direction(rows, S.TICKERS[1], settings=None, split=SPLIT)
-    _, test = panel.split_at(rows.where(F.col("ticker") == bundle.ticker), SPLIT)
-    return SC.score(test, bundle, ["ticker", "week", "target_direction"])
+    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_direction(rows, ticker, None, SPLIT))
+    _, test = panel.split_at(rows, SPLIT)
+    return SC.score_each(test, bundles, ["ticker", "week", "target_direction"])
 
 
 @query
 def feature_importance(spark, sf_dir):
     rows = stored(_panel(spark, sf_dir), "crisis-panel")
-    return TR.importances(TR.fit_crisis(rows, S.TICKERS[2], QUICK, SPLIT), K.IMPORTANCE_ROWS)
+    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_crisis(rows, ticker, QUICK, SPLIT))
+    return stack([TR.importances(spark, bundle, K.IMPORTANCE_ROWS) for bundle in bundles])
 
 
 @query
 def scenario_scores(spark, sf_dir):
-    """Every observed week's tone, tension and conflicts as a scenario for two assets."""
+    """Every observed week's tone, tension and conflicts as a scenario for each asset."""
     rows = _direction(spark, sf_dir)
-    bundles = [TR.fit_direction(rows, ticker, QUICK, SPLIT) for ticker in S.TICKERS[:2]]
+    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_direction(rows, ticker, QUICK, SPLIT))
     labelled = clean.with_quad_label(clean.with_week(S.line_events(spark, sf_dir)))
     scenarios = weekly.weekly_features_lite(labelled).select(
         F.col("avg_tone").alias("simulated_tone"),
@@ -823,16 +827,16 @@ def scenario_scores(spark, sf_dir):
 def direction_served(spark, sf_dir):
     """Served direction per ticker from the three-week snapshot and the short momentum."""
     rows = _direction(spark, sf_dir)
-    bundles = [TR.fit_direction(rows, ticker, QUICK, SPLIT) for ticker in S.TICKERS[:2]]
+    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_direction(rows, ticker, QUICK, SPLIT))
     snapshot = direction_refresh(S.daily_drops(spark, sf_dir), newest_drop(S.line_events(spark, sf_dir)))
     return direction_report(snapshot, market.short_momentum(_daily(spark, sf_dir)), bundles)
 
 
 @query
 def crisis_reports(spark, sf_dir):
-    """Latest-week report of two tickers: snapshot, score, variables and maps."""
+    """Latest-week report of each ticker: snapshot, score, variables and maps."""
     rows = stored(_panel(spark, sf_dir), "crisis-panel")
-    bundles = [TR.fit_crisis(rows, ticker, QUICK, SPLIT) for ticker in S.TICKERS[:2]]
+    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_crisis(rows, ticker, QUICK, SPLIT))
     report = crisis_report(stored(_snapshot(spark, sf_dir), "crisis-snapshot"), bundles)
     return report.select("actif", "niveau_crise", "classe_predite", "confiance_prediction", "semaine")
 

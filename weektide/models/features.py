@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weektide.constants import EVENT_FEATURES, TEMPORAL_SUFFIXES
@@ -32,11 +33,10 @@ def class_weights(df: DataFrame, label: str, groups: list[str] = ()) -> DataFram
     """Weight of a class: rows of the largest class over its own rows, per group."""
     counts = df.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("n"))
     if groups:
-        largest = counts.groupBy(*groups).agg(F.max("n").alias("largest"))
-        counts = counts.join(F.broadcast(largest), list(groups))
+        largest = F.max("n").over(W.partitionBy(*groups))
     else:
-        counts = counts.withColumn("largest", counts.agg(F.max("n")).scalar())
-    return counts.select(*groups, label, "n", (F.col("largest") / F.col("n")).alias("weight"))
+        largest = counts.agg(F.max("n")).scalar()
+    return counts.select(*groups, label, "n", (largest / F.col("n")).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Classifiers, one per ticker, on a temporal split.
 
-Fits are distributed by Spark ML. The loop runs over the configured tickers only; each
-of its steps is a Spark job on that ticker's weeks.
+Fits are distributed by Spark ML. Each runs Spark jobs on the weeks of one configured
+ticker, and several tickers are fitted at a time.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -124,8 +126,13 @@ def fit_direction(
     return Bundle(model, ticker, "target_direction", DIRECTION_FEATURES, DIRECTION_NAMES)
 
 
-def save_bundle(bundle: Bundle, path: str) -> None:
-    spark = SparkSession.getActiveSession()
+def fit_each(tickers: list[str], fit_one: Callable[[str], Bundle], parallelism: int = 4) -> list[Bundle]:
+    """Fit several tickers at a time, so the jobs of one fill the gaps of another."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(fit_one, tickers))
+
+
+def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
     bundle.model.write().overwrite().save(f"{path}/model")
     meta = {
         "ticker": bundle.ticker,
@@ -143,9 +150,8 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     return Bundle(PipelineModel.load(f"{path}/model"), meta["ticker"], meta["target"], meta["features"], classes)
 
 
-def importances(bundle: Bundle, rows: int) -> DataFrame:
+def importances(spark: SparkSession, bundle: Bundle, rows: int) -> DataFrame:
     """Features by importance; there are at most as many rows as features."""
-    spark = SparkSession.getActiveSession()
     values = bundle.model.stages[-1].featureImportances.toArray()
     table = spark.createDataFrame(
         [(bundle.ticker, name, float(value)) for name, value in zip(bundle.features, values)],

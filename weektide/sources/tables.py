@@ -30,11 +30,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame that several jobs read to the shared folder and read it back.
 
     Later jobs start from the files, so a lost executor costs no recomputation of what
-    came before.
+    came before. The rebalance makes files of even size: small results become one file,
+    large partitions are split.
     """
     spark = df.sparkSession
     path = work_folder(spark, purpose)
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,12 +32,12 @@ def last_rows(n: int, key: str = "ticker") -> WindowSpec:
 
 
 def by_ticker(weekly: DataFrame) -> DataFrame:
-    """Hash the rows on the ticker over all shuffle partitions.
+    """Hash the rows on the ticker, over as many partitions as there are cores.
 
     Windows over many columns are heavy for their bytes. Left alone, adaptive execution
     would merge the small partitions and run many tickers one after the other.
     """
-    return weekly.repartition(int(weekly.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker")
+    return weekly.repartition(weekly.sparkSession.sparkContext.defaultParallelism, "ticker")
 
 
 def calendar_side(weekly: DataFrame) -> DataFrame:

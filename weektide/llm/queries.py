@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weektide.llm import bpe, lang_mix, line_dedup, sharding, toxicity, url_filter
+from weektide.llm import bpe, lang_mix, line_dedup, sharding, simhash, toxicity, url_filter
 from weektide.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,17 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_simhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, shingle=4, radius=4)
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex(F.col("fingerprint")[0]), 16, "0")).alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"),
+    )
+
+
 @query
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

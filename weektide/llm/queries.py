@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weektide.llm import bpe, lang_mix, line_dedup, sharding, simhash, toxicity, url_filter
+from weektide.llm import ann, bpe, decontaminate, lang_mix, line_dedup, sharding, simhash, toxicity, url_filter
 from weektide.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +78,20 @@ def op6_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op7_decontamination(spark, sf_dir):
+    """One row for each document and benchmark item whose words it covers to a half or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    leaks = found.select("doc_id", F.explode("leaks").alias("leak"))
+    return leaks.select("doc_id", "leak.item_id", "leak.coverage", F.size("leak.tiles").alias("n_tiles"), "leak.tiles")
+
+
+@query
+def op8_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op9_sharding(spark, sf_dir):
     metadata = sharding.document_metadata(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weektide.llm import ann, bpe, decontaminate, lang_mix, line_dedup, sharding, simhash, toxicity, url_filter
+from weektide.llm import ann, bpe, decontaminate, html_wrappers, lang_mix, line_dedup, sharding, simhash, toxicity, url_filter
 from weektide.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,12 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op4_html_wrappers(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_wrappers.extract(pages).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 @query
 def op5_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

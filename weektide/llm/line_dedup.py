@@ -66,9 +66,9 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     stay = F.when(F.col("drop").isNull(), every).otherwise(F.array_except(every, F.col("drop")))
     # array_except works by hash and keeps the order, so a text of very many lines stays linear.
     rebuilt = joined.withColumn("stay", stay).select(
-        *[F.col("row").getField(name).alias(name) for name in keep],
+        "row",
         F.array_join(F.transform("stay", lambda i: F.col("lines")[i]), "\n").alias("text"),
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size("stay")).cast("bigint").alias("n_dropped"),
     )
-    return rebuilt
+    return rebuilt.select(*[F.col("row").getField(name).alias(name) for name in keep], "text", "n_lines", "n_dropped")

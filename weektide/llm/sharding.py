@@ -26,7 +26,8 @@ def quantised(df: DataFrame, dimensions: dict[str, Column], bits: int) -> tuple[
     """Cell number of each dimension, from cut points that hold equal shares of the rows.
 
     One pass of mergeable quantile sketches gives the cut points; they are a few dozen
-    numbers, whatever the size of the data. Missing values go to the first cell.
+    numbers, whatever the size of the data. A value that holds many rows holds several cut
+    points, so its number keeps its place among all rows. Missing values go to the first cell.
     """
     parts = 1 << bits
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
@@ -37,7 +38,7 @@ def quantised(df: DataFrame, dimensions: dict[str, Column], bits: int) -> tuple[
     ).first()
     cells = []
     for name, value in zip(names, dimensions.values()):
-        cuts = sorted({int(x) for x in row[name] or []})
+        cuts = sorted(int(x) for x in row[name] or [])
         if cuts:
             points = F.array(*[F.lit(x).cast("bigint") for x in cuts])
             cells.append(F.size(F.filter(points, lambda x, v=value: x <= v)))

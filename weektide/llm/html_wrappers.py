@@ -247,29 +247,31 @@ class Page:
         self.rooted: list[str] = []
         self.plain: list[str] = []
         self.open: dict[str, list[str]] = {"rooted": [], "plain": []}
-        self.read(wrapper, tree, inside=False, heading=False, frame=False)
+        self.linked = 0
+        self.read(wrapper, tree, inside=False, heading=False, linked=False)
         self.end()
 
     def end(self) -> None:
+        """Close a block. Without a content root, a block that is mostly links is navigation."""
         for kind, parts in self.open.items():
             text = SPACE.sub(" ", "".join(parts)).strip()
-            if text:
+            if text and (kind == "rooted" or 2 * self.linked <= len(text)):
                 getattr(self, kind).append(text)
             parts.clear()
+        self.linked = 0
 
-    def read(self, wrapper: list, element: Element, inside: bool, heading: bool, frame: bool) -> None:
+    def read(self, wrapper: list, element: Element, inside: bool, heading: bool, linked: bool) -> None:
         """Children find their items in order; in a repeated part the search goes round again."""
         items, at = wrapper[2], 0
         for child in element.children:
             if isinstance(child, str):
-                if not child.strip():
-                    self.add(child, inside and not heading, not frame)
-                    continue
-                item, at = following(items, at, "#")
-                self.add(child, inside and not heading, not frame and (item is None or item[1] != "frame"))
+                item = None
+                if child.strip():
+                    item, at = following(items, at, "#")
+                self.add(child, inside and not heading, item is None or item[1] != "frame", linked)
                 continue
             if child.name == "br":
-                self.add(" ", inside, True)
+                self.add(" ", inside, True, False)
                 continue
             item, at = following(items, at, child.key)
             role = item[1] if item else ""
@@ -283,16 +285,17 @@ class Page:
                     child,
                     inside or role == "root",
                     (heading or role == "heading") and not opens,
-                    frame,
+                    linked or child.name == "a",
                 )
             if block:
                 self.end()
 
-    def add(self, text: str, rooted: bool, plain: bool) -> None:
+    def add(self, text: str, rooted: bool, plain: bool, linked: bool) -> None:
         if rooted:
             self.open["rooted"].append(text)
         if plain:
             self.open["plain"].append(text)
+            self.linked += linked * len(text.strip())
 
     def text(self) -> str:
         """The blocks under content roots; a page without one gives all that is not frame."""

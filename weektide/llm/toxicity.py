@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from weektide.llm.common import held_out, written
 # Size of the feature space, features kept, and labelled documents used to fit. The last
 # is the bound of the fitting sample: a share of the documents by a hash of the id.
 FEATURE_BITS = 20
-FEATURES = 4096
-FIT_DOCS = 60_000
+FEATURES = 1024
+FIT_DOCS = 20_000
 PREFIXES = (3, 4, 5, 6)
 MIN_DOCS = 3
 ROUNDS = 400
@@ -167,16 +168,18 @@ def fitting_rows(examples: DataFrame, cells: np.ndarray, max_docs: int) -> pa.Ta
         def work(piece: pa.RecordBatch) -> list[pa.Array]:
             reader = Reader(piece.column("text").to_pylist())
             sentence, column = reader.features(index)
-            bounds = np.searchsorted(sentence, np.r_[0, np.cumsum(reader.doc_sentences)]).astype(np.int32)
+            ends = np.cumsum(reader.doc_sentences)
+            first = ends - reader.doc_sentences
+            bounds = np.searchsorted(sentence, np.r_[0, ends]).astype(np.int32)
             return [
                 pa.array(reader.doc_sentences, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(bounds), pa.array(sentence, pa.int64())),
-                pa.ListArray.from_arrays(pa.array(bounds), pa.array(column, pa.int64())),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(sentence - np.repeat(first, np.diff(bounds)), pa.int32())),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(column, pa.int32())),
             ]
 
         return work
 
-    rows = with_arrow_columns(fitting_sample(examples, max_docs), "text", "n bigint, sentence array<bigint>, feature array<bigint>", make, keep=["toxic"])
+    rows = with_arrow_columns(fitting_sample(examples, max_docs), "text", "n bigint, sentence array<int>, feature array<int>", make, keep=["toxic"])
     return rows.toArrow()
 
 
@@ -186,12 +189,9 @@ def fit_rows(rows: pa.Table, n_features: int) -> np.ndarray:
     weights[-1] = -5.0
     if rows.num_rows == 0:
         return weights
-    y = np.array(rows.column("toxic").to_pylist(), float) > 0
-    n = np.array(rows.column("n").to_pylist(), np.int64)
-    sizes = np.array([len(x) for x in rows.column("feature").to_pylist()], np.int64)
-    doc = np.repeat(np.arange(len(n)), sizes)
-    local = np.array([s for x in rows.column("sentence").to_pylist() for s in x], np.int64)
-    column = np.array([f for x in rows.column("feature").to_pylist() for f in x], np.int64)
+    y, n = rows.column("toxic").to_numpy() > 0, rows.column("n").to_numpy()
+    doc = np.repeat(np.arange(len(n)), pc.list_value_length(rows.column("feature")).to_numpy())
+    local, column = pc.list_flatten(rows.column("sentence")).to_numpy(), pc.list_flatten(rows.column("feature")).to_numpy()
     _, at = np.unique(doc * (1 << 32) + local, return_inverse=True)
     n_sentences = int(at.max()) + 1 if len(at) else 0
     sentence_doc = np.zeros(n_sentences, np.int64)

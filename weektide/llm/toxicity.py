@@ -31,9 +31,11 @@ FEATURES = 1024
 FIT_DOCS = 20_000
 PREFIXES = (3, 4, 5, 6)
 MIN_DOCS = 3
+# Half the likelihood-ratio statistic a feature needs; by chance one in two thousand has it.
+MIN_RATIO = 6.0
 ROUNDS = 400
 RATE = 0.1
-DECAY = 1e-5
+DECAY = 3e-5
 
 TOKENS = re.compile(r"\w+|[.!?\n]+")
 SENTENCES = re.compile(r"[^.!?\n]*[.!?\n]*")
@@ -142,7 +144,7 @@ def select_features(examples: DataFrame, n_features: int = FEATURES) -> tuple[np
         (part(seen, F.lit(float(max(group, 1))), row) for seen, group, row in ((a, n1, present), (b, n0, present), (n1 - a, n1, absent), (n0 - b, n0, absent))),
         F.lit(0.0),
     )
-    top = sums.where((F.col("cell") < 1 << FEATURE_BITS) & (present >= MIN_DOCS)).orderBy(F.round(ratio, 6).desc(), "cell").limit(n_features)
+    top = sums.where((F.col("cell") < 1 << FEATURE_BITS) & (present >= MIN_DOCS) & (ratio >= MIN_RATIO)).orderBy(F.round(ratio, 6).desc(), "cell").limit(n_features)
     return np.sort(top.select("cell").toArrow().column("cell").to_numpy()), n1 + n0
 
 

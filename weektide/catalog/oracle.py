@@ -166,14 +166,14 @@ LAST_DROP = "(SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem)"
 RECENT = f"recent AS (SELECT * FROM ev WHERE ship_date BETWEEN {LAST_DROP} - 6 AND {LAST_DROP})"
 
 
-def prices_sql(ticker: str = "c_mktsegment") -> str:
+def prices_sql(ticker: str = "c_mktsegment", kept: str = "TRUE") -> str:
     return f"""prices AS (
   SELECT CAST({ticker} AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS d, MAX(o_totalprice) AS px
-  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL HAVING {kept})"""
 
 
-def market_sql(ticker: str = "c_mktsegment") -> str:
-    return f"""{prices_sql(ticker)},
+def market_sql(ticker: str = "c_mktsegment", kept: str = "TRUE") -> str:
+    return f"""{prices_sql(ticker, kept)},
 known AS (
   SELECT ticker, CAST(date_trunc('week', d + INTERVAL 6 DAY) AS DATE) AS week, MAX_BY(px, d) AS px
   FROM prices GROUP BY ALL),
@@ -211,13 +211,20 @@ def zscore(x: str) -> str:
 
 MARKET = market_sql()
 
-VIX = f"""{MARKET},
+
+def vix_sql(market: str) -> str:
+    return f"""{market},
 aligned AS (
   SELECT mk.*, v.px AS vix FROM mk LEFT JOIN (SELECT week, px FROM dense WHERE ticker = 'MACHINERY') v ON mk.week = v.week),
 mv AS (
   SELECT *, vix - LAG(vix) OVER (PARTITION BY ticker ORDER BY week) AS vix_delta_1w, {zscore('vix')} AS vix_zscore_52w
   FROM aligned)"""
 
+
+VIX = vix_sql(MARKET)
+GAP = "NOT (ANY_VALUE(c_mktsegment) = 'MACHINERY' AND ANY_VALUE(CAST(o_orderdate AS DATE)) BETWEEN DATE '1998-07-01' AND DATE '1998-07-31')"
+GAPPY_VIX = vix_sql(market_sql(kept=GAP))
+
 MARKET_NAMES = [
     "weekly_price",
     "weekly_return_current",
@@ -260,10 +267,6 @@ finished AS (
 LIVE_NAMES = [n for n in MARKET_NAMES if n not in ("weekly_price", "future_return_4w")]
 
 
-def zero(name: str) -> str:
-    return f"COALESCE({name}, 0) AS {name}" if name.startswith("vix") else name
-
-
 def filled_sql(weeks: str, names: list[str], out: str = "filled") -> str:
     past = "OVER (PARTITION BY ticker ORDER BY week ROWS UNBOUNDED PRECEDING)"
     whole = "OVER (PARTITION BY ticker ORDER BY week ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -273,7 +276,7 @@ def filled_sql(weeks: str, names: list[str], out: str = "filled") -> str:
     return f"""scaffold AS (SELECT w.*, t.ticker FROM {weeks} w CROSS JOIN (SELECT DISTINCT ticker FROM mv) t),
 sparse AS (
   SELECT s.*, {', '.join(f'z.{n}' for n in names)} FROM scaffold s
-  LEFT JOIN (SELECT ticker, week, {', '.join(zero(n) for n in names)} FROM mv) z ON s.ticker = z.ticker AND s.week = z.week),
+  LEFT JOIN (SELECT ticker, week, {', '.join(names)} FROM mv) z ON s.ticker = z.ticker AND s.week = z.week),
 {out} AS (SELECT * EXCLUDE ({', '.join(names)}), {fills} FROM sparse)"""
 
 
@@ -290,7 +293,7 @@ FEATURE_NAMES = (
     + [f"{n}{s}" for n in K.EVENT_FEATURES for s in K.TEMPORAL_SUFFIXES]
     + ["tension_x_vol_4w", "conflict_x_drawdown", "vix_x_tension"]
 )
-LIVE = f"{WEEKLY}, {VIX}, {filled_sql('weekly', LIVE_NAMES)}, {temporal_sql('filled', LIVE_NAMES)}"
+LIVE = f"{WEEKLY}, {GAPPY_VIX}, {filled_sql('weekly', LIVE_NAMES)}, {temporal_sql('filled', LIVE_NAMES)}"
 
 RISK = "CASE WHEN goldstein < 0 THEN -goldstein * mentions ELSE 0.0 END"
 REGIONS = quoted(K.RADAR_REGIONS)
@@ -572,7 +575,8 @@ SELECT ticker, week, CASE WHEN future_return_4w <= -0.15 THEN 1 ELSE 0 END AS cr
   {r('tension_score_zscore_52w', 'tension_x_vol_4w', 'conflict_x_drawdown', 'vix_x_tension')} FROM finished"""
 
 FILL_NAMES = ["weekly_return_current", "vol_12w", "momentum_26w", "drawdown_26w", "future_return_4w", "vix"]
-ORACLE["fill_both"] = f"""WITH {LINES}, {VIX}, weeks AS (SELECT week, COUNT(*) AS nb_events FROM lines GROUP BY week),
+FILL_NAMES += ["vix_delta_1w", "vix_zscore_52w"]
+ORACLE["fill_both"] = f"""WITH {LINES}, {GAPPY_VIX}, weeks AS (SELECT week, COUNT(*) AS nb_events FROM lines GROUP BY week),
 {filled_sql('weeks', FILL_NAMES)}
 SELECT ticker, week, nb_events, {r(*FILL_NAMES)} FROM filled"""
 
@@ -585,14 +589,34 @@ SELECT ticker, week, variable, change_percent FROM changes
 WHERE week = (SELECT MAX(week) FROM finished) AND change_percent IS NOT NULL"""
 
 ENTRIES = " UNION ALL ".join(
-    f"SELECT ticker, 'features' AS part, '{n}' AS entry, ROUND(CAST({n} AS DOUBLE), 4) + 0.0 AS value FROM newest" for n in FEATURE_NAMES
+    f"SELECT ticker, 'features' AS part, '{n}' AS entry, ROUND(CAST({n} AS DOUBLE), 6) + 0.0 AS value FROM newest WHERE {n} IS NOT NULL"
+    for n in FEATURE_NAMES
 )
 ORACLE["crisis_documents"] = f"""WITH {LIVE}, {LINES}, {CODES},
 newest AS (SELECT * FROM finished WHERE week = (SELECT MAX(week) FROM finished)),
 te AS ({TOP.format(IN_LATEST)}), tp AS ({TOP_PLACES}), tickers AS (SELECT DISTINCT ticker FROM newest)
 {ENTRIES}
 UNION ALL SELECT ticker, 'top_events', "EventDescriptionFinal", CAST(mentions AS DOUBLE) FROM tickers CROSS JOIN te
-UNION ALL SELECT ticker, 'top_conflict_countries', "ActionGeo_CountryCode", CAST(mentions AS DOUBLE) FROM tickers CROSS JOIN tp"""
+UNION ALL SELECT ticker, 'top_conflict_countries', "ActionGeo_CountryCode", CAST(mentions AS DOUBLE) FROM tickers CROSS JOIN tp
+UNION ALL SELECT ticker, 'evolution', variable, change_percent FROM ({CHANGES})
+WHERE week = (SELECT MAX(week) FROM finished) AND change_percent IS NOT NULL"""
+
+# The last 90 drops by ingest day, weeks by the event's own date, prices of two years.
+RECENT_PRICES = f"d BETWEEN CAST({LAST_DROP} - INTERVAL 24 MONTH AS DATE) AND {LAST_DROP}"
+DROPS_90 = f"""drops AS (
+  SELECT * EXCLUDE (week, major), ref_week AS week, CAST(({PLACE}) AS INTEGER) AS major
+  FROM ev WHERE ship_date BETWEEN {LAST_DROP} - 89 AND {LAST_DROP})"""
+TOP_90 = """SELECT {0} AS entry, SUM(mentions) AS mentions FROM drops d LEFT JOIN codes ON d.code = codes.code
+  WHERE {1} AND week = (SELECT MAX(week) FROM drops) GROUP BY 1 HAVING entry IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 10"""
+ORACLE["live_refresh"] = f"""WITH {EVENTS}, {CODES}, {DROPS_90}, {weekly_sql('drops')}, {vix_sql(market_sql(kept=RECENT_PRICES))},
+{filled_sql('weekly', LIVE_NAMES)}, {temporal_sql('filled', LIVE_NAMES)},
+newest AS (SELECT * FROM finished WHERE week = (SELECT MAX(week) FROM finished)), tickers AS (SELECT DISTINCT ticker FROM newest),
+te AS ({TOP_90.format('COALESCE(description, d.code)', 'TRUE')}), tp AS ({TOP_90.format('geo', 'quad >= 3')})
+{ENTRIES}
+UNION ALL SELECT ticker, 'top_events', entry, CAST(mentions AS DOUBLE) FROM tickers CROSS JOIN te
+UNION ALL SELECT ticker, 'top_conflict_countries', entry, CAST(mentions AS DOUBLE) FROM tickers CROSS JOIN tp
+UNION ALL SELECT ticker, 'evolution', variable, change_percent FROM ({CHANGES})
+WHERE week = (SELECT MAX(week) FROM finished) AND change_percent IS NOT NULL"""
 
 # --- radar -----------------------------------------------------------------------------
 

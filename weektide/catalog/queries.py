@@ -108,15 +108,18 @@ def crisis_documents(spark, sf_dir):
     """Snapshot documents written as JSON and read back, with their maps laid out long."""
     path = work_folder(spark, "crisis-documents")
     write_documents(_snapshot(spark, sf_dir), path)
-    back = read_documents(spark, path, CRISIS_SNAPSHOT_SCHEMA)
+    return _laid_out(read_documents(spark, path, CRISIS_SNAPSHOT_SCHEMA))
+
+
+def _laid_out(snapshot):
+    """All four maps of a snapshot, one row for each entry."""
     parts = [
-        back.select("ticker", F.lit(name).alias("part"), F.explode(name).alias("entry", "value")).withColumn(
+        snapshot.select("ticker", F.lit(name).alias("part"), F.explode(name).alias("entry", "value")).withColumn(
             "value", F.col("value").cast("double")
         )
         for name in ("features", "top_events", "top_conflict_countries", "evolution")
     ]
-    # The change of a value that was close to 0 may round either way; it is checked by `evolution`.
-    return rounded(stack(parts[:3]), 4)
+    return rounded(stack(parts))
 
 
 @query
@@ -205,6 +208,7 @@ def _raw_codes(spark, sf_dir):
         {
             "EventCode": F.when(line == 2, F.concat(number, F.lit(".0")))
             .when(line == 3, F.concat(F.lit(" "), number, F.lit(" ")))
+            .when(line == 5, F.concat(F.lit(" "), number, F.lit(".0 ")))
             .when(line == 4, F.concat(F.lit("0"), F.col("EventCode")))
             .otherwise(number),
             "EventRootCode": F.when(line == 6, F.lit("7")).otherwise(F.col("EventRootCode").cast("int").cast("string")),
@@ -591,18 +595,25 @@ def interactions(spark, sf_dir):
     return rounded(_panel(spark, sf_dir).select("ticker", "week", "crisis_level", "nb_events_lag2", *names))
 
 
+def _gappy(spark, sf_dir):
+    """Daily prices of which the volatility index lacks July 1998."""
+    gap = (F.col("ticker") == S.INDEX_TICKER) & F.col("d").between(F.lit("1998-07-01").cast("date"), F.lit("1998-07-31").cast("date"))
+    return _daily(spark, sf_dir).where(~gap)
+
+
 def _live(spark, sf_dir):
-    return live_panel(_weekly(spark, sf_dir), _daily(spark, sf_dir), S.TICKERS, S.INDEX_TICKER)
+    return live_panel(_weekly(spark, sf_dir), _gappy(spark, sf_dir), S.TICKERS, S.INDEX_TICKER)
 
 
 @query
 def fill_both(spark, sf_dir):
     """Market columns of every event week, gaps filled forward and then back."""
-    out = market.market_panel(_daily(spark, sf_dir), S.INDEX_TICKER, missing="zero")
+    out = market.market_panel(_gappy(spark, sf_dir), S.INDEX_TICKER, missing="zero")
     events = clean.with_week(S.line_events(spark, sf_dir))
     weeks = events.groupBy("week").agg(F.count(F.lit(1)).alias("nb_events"))
     filled = panel.join_live(weeks, out.drop("weekly_price"), S.TICKERS)
     names = ["weekly_return_current", "vol_12w", "momentum_26w", "drawdown_26w", "future_return_4w", "vix"]
+    names += ["vix_delta_1w", "vix_zscore_52w"]
     return rounded(filled.select("ticker", "week", "nb_events", *names))
 
 
@@ -619,7 +630,7 @@ def _snapshot(spark, sf_dir):
     newest = latest.latest_week(S.line_events(spark, sf_dir).withColumns(_no_actors()))
     described = clean.decode_live(newest, S.event_lookup(spark, sf_dir))
     weeks = weekly.weekly_features(clean.with_week(events))
-    return latest.crisis_snapshot(live_panel(weeks, _daily(spark, sf_dir), S.TICKERS, S.INDEX_TICKER), described)
+    return latest.crisis_snapshot(live_panel(weeks, _gappy(spark, sf_dir), S.TICKERS, S.INDEX_TICKER), described)
 
 
 # --- radar -----------------------------------------------------------------------------
@@ -723,7 +734,7 @@ def distinct_codes(spark, sf_dir):
 
 
 def _guessed(spark, sf_dir):
-    """Crisis labels with a rule in the place of a model: stress below a deep drawdown."""
+    """Crisis labels with a rule in the place of a model: stress while prices are near their peak."""
     labelled = panel.label_crisis(market.market_features(_week_prices(spark, sf_dir)))
     guess = F.when(F.col("drawdown_26w") > -0.1, 1).otherwise(0)
     return labelled.select("ticker", "week", F.col("crisis_level").alias("label"), guess.alias("prediction"))
@@ -849,7 +860,7 @@ def live_refresh(spark, sf_dir):
     snapshot = crisis_refresh(
         drops, _daily(spark, sf_dir), S.event_lookup(spark, sf_dir), S.TICKERS, as_of, S.INDEX_TICKER
     )
-    return snapshot.select("ticker", "week", F.size("features").alias("n_features"), F.size("top_events").alias("n_events"))
+    return _laid_out(stored(snapshot, "live-snapshot"))
 
 
 @query

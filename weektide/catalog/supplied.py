@@ -68,9 +68,9 @@ def _with_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     buyers = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
-    # Both sides grow with the data, so neither is ever broadcast; the small-side joins are
-    # left to Spark. Customers join the orders first: the lines are then shuffled once.
-    lines = table(spark, sf_dir, "lineitem").hint("merge")
+    # Spark broadcasts a side only if its measured size allows. Customers join the orders
+    # first: the lines are then shuffled once.
+    lines = table(spark, sf_dir, "lineitem")
     return lines.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(
         supplier, F.col("l_suppkey") == F.col("s_suppkey")
     )

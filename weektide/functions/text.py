@@ -12,8 +12,8 @@ def zero_pad(code: Column, length: int) -> Column:
 
 
 def strip_float_suffix(code: Column) -> Column:
-    """Undo the ``.0`` a numeric column leaves on a code."""
-    return F.trim(F.regexp_replace(code, r"\.0$", ""))
+    """Undo the ``.0`` a numeric column leaves on a code, also with blanks around it."""
+    return F.regexp_replace(F.trim(code), r"\.0$", "")
 
 
 def root_of(code: Column) -> Column:

@@ -21,6 +21,7 @@ from weektide.constants import (
 )
 from weektide.functions.dates import closing_monday
 from weektide.functions.numbers import gated, ratio, rolling_zscore
+from weektide.sources.tables import stored
 
 
 def by_week(key: str = "ticker") -> WindowSpec:
@@ -32,12 +33,8 @@ def last_rows(n: int, key: str = "ticker") -> WindowSpec:
 
 
 def by_ticker(weekly: DataFrame) -> DataFrame:
-    """Hash the rows on the ticker, over as many partitions as there are cores.
-
-    Windows over many columns are heavy for their bytes. Left alone, adaptive execution
-    would merge the small partitions and run many tickers one after the other.
-    """
-    return weekly.repartition(weekly.sparkSession.sparkContext.defaultParallelism, "ticker")
+    """Hash the rows on the ticker. The number of partitions is left to adaptive execution."""
+    return weekly.repartition("ticker")
 
 
 def calendar_side(weekly: DataFrame) -> DataFrame:
@@ -105,9 +102,11 @@ def with_volatility_index(market: DataFrame, index_weekly: DataFrame, missing: s
     """Level, first difference and 52-week z-score of the volatility index.
 
     The index is aligned to each ticker's calendar before the windows run. With
-    ``missing="zero"`` an absent value counts as 0.
+    ``missing="zero"`` all three are 0 if the index has no price at all; a gap in it stays
+    NULL, for ``fill_both`` to fill.
     """
-    side = calendar_side(index_weekly.select("week", F.col("px").alias("vix")))
+    index = index_weekly.groupBy("week").agg(F.max("px").alias("vix"))
+    side = calendar_side(index)
     out = market.join(side, "week", "left")
     out = out.withColumns(
         {
@@ -116,13 +115,19 @@ def with_volatility_index(market: DataFrame, index_weekly: DataFrame, missing: s
         }
     )
     if missing == "zero":
-        out = out.na.fill(0.0, subset=["vix", "vix_delta_1w", "vix_zscore_52w"])
+        absent = index.agg(F.count("vix")).scalar() == 0
+        out = out.withColumns(
+            {n: F.when(absent, F.lit(0.0)).otherwise(F.col(n)) for n in ("vix", "vix_delta_1w", "vix_zscore_52w")}
+        )
     return out
 
 
 def market_panel(prices: DataFrame, index_ticker: str, missing: str = "null", tickers: list[str] | None = None) -> DataFrame:
-    """Market features with the volatility index, for every ticker in one plan."""
-    weekly = weekly_prices(prices)
+    """Market features with the volatility index, for every ticker in one plan.
+
+    The weekly prices are stored, as the index and the tickers both start from them.
+    """
+    weekly = stored(weekly_prices(prices), "weekly-prices")
     index = weekly.where(F.col("ticker") == index_ticker)
     if tickers is not None:
         weekly = weekly.where(F.col("ticker").isin(tickers))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weektide.constants import FOCUS_ROWS, RADAR_COLUMNS, RADAR_REGIONS, RADAR_ROWS
 from weektide.functions.flags import in_regions
@@ -39,7 +40,16 @@ def focus(radar: DataFrame, rows: int = FOCUS_ROWS) -> DataFrame:
 
 def as_text(radar: DataFrame) -> DataFrame:
     """All fields as text for export; missing ones are empty."""
-    return radar.select(*[F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in radar.columns])
+    return radar.select(*[F.coalesce(plain_text(radar, n), F.lit("")).alias(n) for n in radar.columns])
+
+
+def plain_text(df: DataFrame, name: str) -> Column:
+    """A column as text; large numbers are written out and not with an exponent."""
+    text = F.col(name).cast("string")
+    if not isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return text
+    written_out = F.regexp_replace(text.cast("decimal(38, 12)").cast("string"), r"(\.\d+?)0*$", "$1")
+    return F.when(F.abs(name).between(1e7, 1e16), written_out).otherwise(text)
 
 
 def radar_header(candidates: DataFrame, period: Column, regions: list[str] = RADAR_REGIONS, rows: int = RADAR_ROWS) -> DataFrame:
@@ -58,7 +68,7 @@ def radar_document(candidates: DataFrame, period: Column, regions: list[str] = R
     top = top_radar(candidates, rows)
     columns = top.columns
     keyed = F.struct((-F.col("RiskScore")).alias("rank_score"), *[F.col(n).alias(f"k_{n}") for n in columns if n != "RiskScore"])
-    text = F.struct(*[F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in columns])
+    text = F.struct(*[F.coalesce(plain_text(top, n), F.lit("")).alias(n) for n in columns])
     ranked = F.array_sort(F.collect_list(F.struct(keyed.alias("key"), text.alias("event"))))
     events = top.agg(F.transform(ranked, lambda row: row["event"]).alias("events")).scalar()
     return radar_header(candidates, period, regions, rows).withColumn("events", events)

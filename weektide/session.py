@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -14,7 +15,6 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.parquet.aggregatePushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Columns do not record the Python line they come from; building plans is faster.
@@ -33,7 +33,7 @@ def local_session(
         builder = builder.config("spark.checkpoint.dir", checkpoints)
     return (
         builder.config("spark.sql.shuffle.partitions", shuffle_partitions)
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
 
@@ -52,8 +52,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """New folder below the shared one, for state and written tables."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """New folder below the one of this application, for state and written tables."""
+    return f"{application_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/weektide-{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove what this application has stored, when its frames are no longer needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:

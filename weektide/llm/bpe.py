@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -33,12 +34,17 @@ from weektide.llm.batches import pieces, with_arrow_columns
 # broadcast; other words are merged.
 LEXICON_WORDS = 60_000
 LEXICON_BYTES = 40
+# Words that a task remembers after merging them; when there are more it starts anew.
+REMEMBERED_WORDS = 200_000
 # Different words that a counting task holds before it hands on partial counts.
 COUNTED_WORDS = 200_000
 
 # The split pattern of the vocabulary file. Letters and numbers are those of the
 # regular expressions' own Unicode tables; characters of the newest Unicode version may differ.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+# The same for composed lower-case texts of ASCII and Latin letters, which is quicker to match.
+LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ɏ]*")
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ɏ]+")
 
 
 class Vocabulary:
@@ -57,14 +63,14 @@ class Vocabulary:
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.letters = byte_letters()
 
-    def words(self, text: str) -> Iterator[str | int]:
+    def words(self, text: str) -> list[str | int]:
         """Normalised words of a text, and the ids of special tokens in it."""
-        parts = self.split.split(text) if self.split and any(t in text for t in self.special) else [text]
-        for part in parts:
-            if part in self.special:
-                yield self.special[part]
-            else:
-                yield from WORDS.findall(lowered(part))
+        if not (self.split and any(t in text for t in self.special)):
+            return split_words(text)
+        out: list[str | int] = []
+        for part in self.split.split(text):
+            out.extend([self.special[part]] if part in self.special else split_words(part))
+        return out
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word by its merges: always the pair of the lowest rank, the leftmost first.
@@ -113,6 +119,11 @@ def lowered(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+def split_words(text: str) -> list[str]:
+    text = lowered(text)
+    return (LATIN_WORDS if LATIN.fullmatch(text) else WORDS).findall(text)
+
+
 class Lexicon:
     """Minimal acyclic transducer from words to id lists, as flat arrays.
 
@@ -267,7 +278,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None
     shared_words, shared_lexicon = context.broadcast(Vocabulary(vocabulary_path)), context.broadcast(lexicon.to_bytes())
 
     def make():
-        vocabulary, known = shared_words.value, Lexicon.mapped(shared_lexicon.value)
+        vocabulary, known, merged = shared_words.value, Lexicon.mapped(shared_lexicon.value), {}
 
         def work(piece: pa.RecordBatch) -> list[pa.Array]:
             seen: dict[str | int, int] = {}
@@ -275,13 +286,13 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None
             for text in piece.column("text").to_pylist():
                 at.extend([seen.setdefault(w, len(seen)) for w in vocabulary.words(text or "")])
                 ends.append(len(at))
-            offsets, ids = ids_of(list(seen), vocabulary, known)
+            offsets, ids = ids_of(list(seen), vocabulary, known, merged)
             index = np.array(at, np.int64)
             sizes = (offsets[1:] - offsets[:-1])[index]
             before = np.cumsum(sizes) - sizes
             flat = ids[np.repeat(offsets[:-1][index] - before, sizes) + np.arange(sizes.sum())]
             bounds = np.r_[0, np.cumsum(sizes)][np.r_[0, np.array(ends, np.int64)]]
-            tokens = [vocabulary.tokens[i] for i in flat.tolist()]
+            tokens = list(map(vocabulary.tokens.__getitem__, flat.tolist()))
             decoded = [" ".join(tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())), pa.array(decoded, pa.string())]
 
@@ -290,17 +301,25 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None
     return with_arrow_columns(docs, "text", "ids array<int>, decoded string", make, keep)
 
 
-def ids_of(words: list[str | int], vocabulary: Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in one array, and where each word's begin and end in it."""
+def ids_of(words: list[str | int], vocabulary: Vocabulary, lexicon: Lexicon, merged: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in one array, and where each word's begin and end in it.
+
+    ``merged`` remembers words that are not in the lexicon from one call to the next.
+    """
     numbers = lexicon.numbers([b"" if isinstance(w, int) else w.encode() for w in words]).tolist()
+    bounds, lists = memoryview(lexicon.offsets), memoryview(lexicon.ids)
     offsets, ids = [0], []
-    bounds, lists = lexicon.offsets, lexicon.ids
+    if len(merged) > REMEMBERED_WORDS:
+        merged.clear()
     for word, number in zip(words, numbers):
         if number >= 0:
             ids.extend(lists[bounds[number] : bounds[number + 1]].tolist())
         elif isinstance(word, int):
             ids.append(word)
         else:
-            ids.extend(vocabulary.merge(word))
+            found = merged.get(word)
+            if found is None:
+                found = merged[word] = vocabulary.merge(word)
+            ids.extend(found)
         offsets.append(len(ids))
     return np.array(offsets, np.int64), np.array(ids, np.int64)

@@ -222,7 +222,7 @@ mv AS (
 
 
 VIX = vix_sql(MARKET)
-GAP = "NOT (ANY_VALUE(c_mktsegment) = 'MACHINERY' AND ANY_VALUE(CAST(o_orderdate AS DATE)) BETWEEN DATE '1998-07-01' AND DATE '1998-07-31')"
+GAP = "NOT (ANY_VALUE(c_mktsegment) = 'MACHINERY' AND ANY_VALUE(CAST(o_orderdate AS DATE)) BETWEEN DATE '2001-07-01' AND DATE '2001-07-31')"
 GAPPY_VIX = vix_sql(market_sql(kept=GAP))
 
 MARKET_NAMES = [
@@ -490,7 +490,13 @@ SELECT week, nb_events, total_mentions, {r('avg_goldstein', 'avg_tone', 'tension
 ORACLE["drop_day_week"] = f"""WITH {EVENTS}, {day_sql('ev', 4)}
 SELECT ingest_date, week, nb_events, {r('avg_tone', 'tension_score')}, mat_conf_mentions FROM days"""
 
-ORACLE["live_two_phase"] = f"""WITH {EVENTS}, {day_sql('ev', 3)}
+BAD_ROW = "DAY(ship_date) = 13 AND l_linenumber = 1"
+GOOD_DAYS = f"good AS (SELECT * FROM ev WHERE ship_date NOT IN (SELECT ship_date FROM ev WHERE {BAD_ROW}))"
+ORACLE["skipped_days"] = f"""WITH {EVENTS}
+SELECT ship_date AS ingest_date, COUNT(*) FILTER (WHERE {BAD_ROW}) AS bad_rows, COUNT(*) AS n_rows FROM ev
+GROUP BY ship_date HAVING bad_rows > 0"""
+
+ORACLE["live_two_phase"] = f"""WITH {EVENTS}, {GOOD_DAYS}, {day_sql('good', 3)}
 SELECT week, nb_events, {r('avg_tone', 'tension_score')}, mat_conf_mentions FROM live"""
 
 ORACLE["latest_three"] = f"""WITH {EVENTS}, {RECENT}, {day_sql('recent', 4)},
@@ -620,7 +626,7 @@ WHERE week = (SELECT MAX(week) FROM finished) AND change_percent IS NOT NULL"""
 
 # --- radar -----------------------------------------------------------------------------
 
-ORACLE["radar_top50"] = f"""WITH {EVENTS}, {radar_sql('ev')}
+ORACLE["radar_top50"] = f"""WITH {EVENTS}, {GOOD_DAYS}, {radar_sql('good')}
 SELECT {RADAR_SHOWN} FROM candidates ORDER BY {radar_order(K.RADAR_COLUMNS)} LIMIT 50"""
 
 ORACLE["daily_top3"] = f"""WITH {EVENTS}, {radar_sql('ev')}
@@ -710,6 +716,48 @@ UNION ALL SELECT ticker, 'Stress', ROUND({share('d', 'b + d')}, 6) + 0.0, ROUND(
 ORACLE["aligned_features"] = f"""WITH {WEEKLY}
 SELECT week, {r('tension_score')}, CAST(nb_events AS DOUBLE) AS nb_events, CAST(0.0 AS DOUBLE) AS not_in_the_panel, {r('avg_tone')} FROM weekly"""
 
+# --- models: keys, rows and what holds for every model ---------------------------------
+
+HOLD_OUT = "WHERE week >= DATE '2000-06-01'"
+STRESS = "CASE WHEN future_return_4w <= -0.15 THEN 1 ELSE 0 END"
+SCORE_TRUTHS = "TRUE AS is_probability, TRUE AS follows_threshold, TRUE AS is_confidence"
+ORACLE["gbt_scores"] = f"""WITH {PANEL}, {temporal_sql('joined')}
+SELECT ticker, week, {STRESS} AS crisis_level, {SCORE_TRUTHS} FROM finished {HOLD_OUT}"""
+
+ORACLE["holdout_metrics"] = f"""WITH {PANEL}, {temporal_sql('joined')}
+SELECT ticker, COUNT(*) AS n_weeks, CAST(SUM({STRESS}) AS BIGINT) AS n_stress, ROUND(SUM(future_return_4w), 6) AS sum_future_return,
+  TRUE AS accuracy_fits, TRUE AS balanced_fits, TRUE AS f1_fits FROM finished {HOLD_OUT} GROUP BY ticker"""
+
+DIRECTION = ORACLE["direction_target"]
+ORACLE["forest_scores"] = f"""SELECT ticker, week, target_direction, {SCORE_TRUTHS} FROM ({DIRECTION}) {HOLD_OUT}"""
+
+ORACLE["feature_importance"] = f"""WITH {PANEL}, {temporal_sql('joined')}
+SELECT DISTINCT ticker, CAST(UNNEST(range(1, 26)) AS INTEGER) AS rank, TRUE AS in_order, TRUE AS sums_to_one FROM finished"""
+
+ORACLE["scenario_scores"] = f"""WITH {LINES}, {LITE}, tickers AS (SELECT DISTINCT CAST(c_mktsegment AS VARCHAR) AS actif FROM customer)
+SELECT actif, ROUND(avg_tone, 6) + 0.0 AS simulated_tone, ROUND(tension_score, 6) + 0.0 AS simulated_tension,
+  mat_conf_mentions AS simulated_material_conflicts, TRUE AS is_confidence, TRUE AS is_named, TRUE AS is_told FROM lite CROSS JOIN tickers"""
+
+ORACLE["direction_served"] = f"""SELECT ticker AS actif, current_return, TRUE AS is_named, TRUE AS is_confidence, TRUE AS is_told, TRUE AS is_dated
+FROM ({ORACLE['short_momentum']})"""
+
+CHECKS = ", ".join(f"('{n}')" for n in ("probabilities", "confidence", "level", "dated"))
+REPORTED = " UNION ALL ".join(
+    f"SELECT ticker, week, '{n}' AS entry, ROUND(CAST({n} AS DOUBLE), 6) + 0.0 AS value FROM newest" for n in K.REPORT_VARIABLES
+)
+ORACLE["crisis_reports"] = f"""WITH {LIVE}, {LINES}, {CODES},
+newest AS (SELECT * FROM finished WHERE week = (SELECT MAX(week) FROM finished)), tickers AS (SELECT DISTINCT ticker, week FROM newest),
+te AS ({TOP.format(IN_LATEST)}), tp AS ({TOP_PLACES}), rows AS (
+  SELECT ticker, week, 'variables' AS part, entry, value FROM ({REPORTED}) WHERE value IS NOT NULL
+  UNION ALL SELECT ticker, week, 'top_events', "EventDescriptionFinal", CAST(mentions AS DOUBLE) FROM tickers CROSS JOIN te
+  UNION ALL SELECT ticker, week, 'top_conflict_countries', "ActionGeo_CountryCode", CAST(mentions AS DOUBLE) FROM tickers CROSS JOIN tp
+  UNION ALL SELECT ticker, week, 'evolution', variable, change_percent FROM ({CHANGES})
+    WHERE week = (SELECT MAX(week) FROM finished) AND change_percent IS NOT NULL
+  UNION ALL SELECT ticker, week, 'check', name, 1.0 FROM tickers CROSS JOIN (VALUES {CHECKS}) c(name))
+SELECT ticker AS actif, CAST(week AS VARCHAR) AS week, part, entry, value FROM rows"""
+
+ORACLE["parameter_search"] = "SELECT CAST(UNNEST([0, 1]) AS INTEGER) AS trial, TRUE AS is_share"
+
 # --- streaming: the batch result over the same rows ------------------------------------
 
 ACTIVITY = f"""ev AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,7 @@ from weektide.models import train as TR
 from weektide.models.features import aligned, class_weights
 from weektide.models.search import draw, search
 from weektide.operators import clean, latest, market, panel, quality, radar, weekly
+from weektide.plans.evaluate import evaluation, hold_out_predictions
 from weektide.plans.refresh import crisis_refresh, direction_refresh, live_panel, newest_drop
 from weektide.plans.reports import crisis_report, direction_report
 from weektide.plans.training import crisis_training_panel, direction_training_panel
@@ -449,8 +450,15 @@ def drop_day_week(spark, sf_dir):
 
 @query
 def live_two_phase(spark, sf_dir):
-    """Both phases over all drops, with the mean of daily means."""
-    return rounded(weekly.live_features(weekly.drop_features(_drops(spark, sf_dir), material_class=3)))
+    """Both phases over the drops of all good days, with the mean of daily means."""
+    drops = clean.clean_drops(S.dirty_drops(spark, sf_dir))
+    return rounded(weekly.live_features(weekly.drop_features(drops, material_class=3)))
+
+
+@query
+def skipped_days(spark, sf_dir):
+    """Ingest days that hold a bad date and are left out."""
+    return clean.skipped_days(S.dirty_drops(spark, sf_dir))
 
 
 @query
@@ -596,8 +604,8 @@ def interactions(spark, sf_dir):
 
 
 def _gappy(spark, sf_dir):
-    """Daily prices of which the volatility index lacks July 1998."""
-    gap = (F.col("ticker") == S.INDEX_TICKER) & F.col("d").between(F.lit("1998-07-01").cast("date"), F.lit("1998-07-31").cast("date"))
+    """Daily prices of which the volatility index lacks July 2001."""
+    gap = (F.col("ticker") == S.INDEX_TICKER) & F.col("d").between(F.lit("2001-07-01").cast("date"), F.lit("2001-07-31").cast("date"))
     return _daily(spark, sf_dir).where(~gap)
 
 
@@ -638,8 +646,8 @@ def _snapshot(spark, sf_dir):
 
 @query
 def radar_top50(spark, sf_dir):
-    """Riskiest linked events of the tracked regions in the whole log."""
-    return radar.top_radar(radar.radar_candidates(_drops(spark, sf_dir)))
+    """Riskiest linked events of the tracked regions in the log of all good days."""
+    return radar.top_radar(radar.radar_candidates(clean.clean_drops(S.dirty_drops(spark, sf_dir))))
 
 
 @query
@@ -780,11 +788,34 @@ def aligned_features(spark, sf_dir):
     return rounded(aligned(_weekly_lines(spark, sf_dir), features, ["week"]))
 
 
-# --- models (rows only: fitted values have no SQL form) --------------------------------
+# --- models ----------------------------------------------------------------------------
+# Fitted values have no SQL form. The queries return the rows and keys, and identities of the
+# values that hold for every correct model.
 
 SPLIT = "2000-06-01"
-# Small settings for a model of every ticker; the published ones are the defaults of the fits.
-QUICK = TR.BoostedTrees(iterations=20, depth=2, rate=0.1)
+# Stand-in assets that are served by forests.
+FORESTS = ["FURNITURE", "HOUSEHOLD"]
+
+_MODELS: dict[tuple[str, str, str], str] = {}
+
+
+def _fitted(spark, sf_dir, kind, panel_of, fit_one):
+    """Models of all tickers: fitted once for a folder, stored, and read back."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _MODELS:
+        path, rows = work_folder(spark, f"{kind}-models"), panel_of(spark, sf_dir)
+        for bundle in TR.fit_each(S.TICKERS, lambda ticker: fit_one(rows, ticker)):
+            TR.save_bundle(spark, bundle, f"{path}/{bundle.ticker}")
+        _MODELS[key] = path
+    return [TR.load_bundle(spark, f"{_MODELS[key]}/{ticker}") for ticker in S.TICKERS]
+
+
+def _crisis_rows(spark, sf_dir):
+    return stored(_panel(spark, sf_dir), "crisis-panel")
+
+
+def _crisis_models(spark, sf_dir):
+    return _fitted(spark, sf_dir, "crisis", _crisis_rows, lambda rows, ticker: TR.fit_crisis(rows, ticker, split=SPLIT))
 
 
 def _direction(spark, sf_dir):
@@ -792,69 +823,143 @@ def _direction(spark, sf_dir):
     return stored(direction_training_panel(labelled, _daily(spark, sf_dir)), "direction-panel")
 
 
+def _direction_models(spark, sf_dir):
+    return _fitted(
+        spark, sf_dir, "direction", _direction, lambda rows, t: TR.fit_direction(rows, t, TR.direction_settings(t, FORESTS), SPLIT)
+    )
+
+
+def _truths(scored, keys, threshold):
+    """Keys of scored rows, and what must hold for their probabilities, class and confidence."""
+    both = F.col("proba_0") + F.col("proba_1")
+    chosen = F.when(F.col("predicted") == 1, F.col("proba_1")).otherwise(F.col("proba_0"))
+    return scored.select(
+        *keys,
+        (F.col("proba_1").between(0, 1) & (F.abs(both - 1) < 1e-9)).alias("is_probability"),
+        (F.col("predicted") == (F.col("proba_1") >= threshold).cast("int")).alias("follows_threshold"),
+        (F.abs(F.col("confidence") - chosen * 100) <= 0.005 + 1e-9).alias("is_confidence"),
+    )
+
+
 @query
 def gbt_scores(spark, sf_dir):
     """Crisis models fitted before the split, stored, read back, and their hold-out weeks scored."""
-    rows = stored(_panel(spark, sf_dir), "crisis-panel")
-    path = work_folder(spark, "crisis-models")
-    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_crisis(rows, ticker, QUICK, SPLIT))
-    for bundle in bundles:
-        TR.save_bundle(spark, bundle, f"{path}/{bundle.ticker}")
-    loaded = [TR.load_bundle(spark, f"{path}/{ticker}") for ticker in S.TICKERS]
-    _, test = panel.split_at(rows, SPLIT)
-    return SC.score_each(test, loaded, ["ticker", "week", "crisis_level"], K.STRESS_PROBABILITY)
+    _, test = panel.split_at(_crisis_rows(spark, sf_dir), SPLIT)
+    scored = SC.score_each(test, _crisis_models(spark, sf_dir), ["ticker", "week", "crisis_level"], K.STRESS_PROBABILITY)
+    return _truths(scored, ["ticker", "week", "crisis_level"], K.STRESS_PROBABILITY)
+
+
+@query
+def holdout_metrics(spark, sf_dir):
+    """Metrics of the fitted crisis models from stored predictions, and the same by their formulas."""
+    predictions = stored(hold_out_predictions(_crisis_rows(spark, sf_dir), _crisis_models(spark, sf_dir), SPLIT), "predictions")
+    found = evaluation(predictions)["metrics"]
+    right = F.avg((F.col("crisis_level") == F.col("predicted")).cast("double"))
+    recalls = [F.avg(F.when(F.col("crisis_level") == c, (F.col("predicted") == c).cast("double"))) for c in (0, 1)]
+    by_hand = predictions.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n_weeks"),
+        F.sum("crisis_level").cast("bigint").alias("n_stress"),
+        F.round(F.sum("future_return_4w"), 6).alias("sum_future_return"),
+        right.alias("right"),
+        ((F.coalesce(recalls[0], F.lit(0.0)) + F.coalesce(recalls[1], F.lit(0.0))) / 2).alias("recall"),
+    )
+    return by_hand.join(found, "ticker").select(
+        "ticker",
+        "n_weeks",
+        "n_stress",
+        "sum_future_return",
+        (F.abs(F.col("accuracy") - F.col("right")) < 1e-9).alias("accuracy_fits"),
+        (F.abs(F.col("balanced_accuracy") - F.col("recall")) < 1e-9).alias("balanced_fits"),
+        F.col("f1_macro").between(0, 1).alias("f1_fits"),
+    )
 
 
 @query
 def forest_scores(spark, sf_dir):
     rows = _direction(spark, sf_dir)
-    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_direction(rows, ticker, None, SPLIT))
+    bundles = _fitted(spark, sf_dir, "forest", lambda *_: rows, lambda r, ticker: TR.fit_direction(r, ticker, None, SPLIT))
     _, test = panel.split_at(rows, SPLIT)
-    return SC.score_each(test, bundles, ["ticker", "week", "target_direction"])
+    scored = SC.score_each(test, bundles, ["ticker", "week", "target_direction"])
+    return _truths(scored, ["ticker", "week", "target_direction"], K.SERVING_PROBABILITY)
 
 
 @query
 def feature_importance(spark, sf_dir):
-    rows = stored(_panel(spark, sf_dir), "crisis-panel")
-    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_crisis(rows, ticker, QUICK, SPLIT))
-    return stack([TR.importances(spark, bundle, K.IMPORTANCE_ROWS) for bundle in bundles])
+    """The 25 most important features of each crisis model, by rank."""
+    bundles = _crisis_models(spark, sf_dir)
+    top = stack([TR.importances(spark, bundle, K.IMPORTANCE_ROWS) for bundle in bundles])
+    whole = stack([TR.importances(spark, bundle, len(bundle.features)) for bundle in bundles])
+    sums = whole.groupBy("ticker").agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
+    order = Window.partitionBy("ticker").orderBy(F.col("importance").desc(), "feature")
+    ranked = top.withColumns({"rank": F.row_number().over(order), "above": F.lag("importance").over(order)})
+    return ranked.join(sums, "ticker").select(
+        "ticker", "rank", (F.coalesce(F.col("above") >= F.col("importance"), F.lit(True)) & (F.col("importance") >= 0)).alias("in_order"), "sums_to_one"
+    )
 
 
 @query
 def scenario_scores(spark, sf_dir):
     """Every observed week's tone, tension and conflicts as a scenario for each asset."""
-    rows = _direction(spark, sf_dir)
-    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_direction(rows, ticker, QUICK, SPLIT))
     labelled = clean.with_quad_label(clean.with_week(S.line_events(spark, sf_dir)))
     scenarios = weekly.weekly_features_lite(labelled).select(
         F.col("avg_tone").alias("simulated_tone"),
         F.col("tension_score").alias("simulated_tension"),
         F.col("mat_conf_mentions").alias("simulated_material_conflicts"),
     )
-    return SC.scenario_report(scenarios, bundles)
+    report = SC.scenario_report(scenarios, _direction_models(spark, sf_dir))
+    parts = F.concat_ws(" ", "tendance", F.lit("anticipée pour"), "actif", F.lit("avec une confiance de"), F.concat(F.col("confiance").cast("string"), F.lit("%.")))
+    return rounded(
+        report.select(
+            "actif",
+            "simulated_tone",
+            "simulated_tension",
+            "simulated_material_conflicts",
+            F.col("confiance").between(50, 100).alias("is_confidence"),
+            (F.col("tendance") == F.when(F.col("prediction") == 1, K.DIRECTION_NAMES[1]).otherwise(K.DIRECTION_NAMES[0])).alias("is_named"),
+            (F.col("message_analyse") == parts).alias("is_told"),
+        )
+    )
 
 
 @query
 def direction_served(spark, sf_dir):
     """Served direction per ticker from the three-week snapshot and the short momentum."""
-    rows = _direction(spark, sf_dir)
-    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_direction(rows, ticker, QUICK, SPLIT))
     snapshot = direction_refresh(S.daily_drops(spark, sf_dir), newest_drop(S.line_events(spark, sf_dir)))
-    return direction_report(snapshot, market.short_momentum(_daily(spark, sf_dir)), bundles)
+    momentum = market.short_momentum(_daily(spark, sf_dir))
+    report = direction_report(snapshot, momentum, _direction_models(spark, sf_dir))
+    shown = F.col("rendement_actuel_pris_en_compte").substr(F.lit(1), F.length("rendement_actuel_pris_en_compte") - 1)
+    return report.join(momentum, report["actif"] == momentum["ticker"]).select(
+        "actif",
+        F.round("current_return", 6).alias("current_return"),
+        F.col("tendance").isin(list(K.DIRECTION_NAMES.values())).alias("is_named"),
+        F.col("confiance").between(50, 100).alias("is_confidence"),
+        (F.abs(shown.cast("double") - F.col("current_return") * 100) <= 0.005 + 1e-9).alias("is_told"),
+        F.col("derniere_maj_gdelt").isNotNull().alias("is_dated"),
+    )
 
 
 @query
 def crisis_reports(spark, sf_dir):
-    """Latest-week report of each ticker: snapshot, score, variables and maps."""
-    rows = stored(_panel(spark, sf_dir), "crisis-panel")
-    bundles = TR.fit_each(S.TICKERS, lambda ticker: TR.fit_crisis(rows, ticker, QUICK, SPLIT))
-    report = crisis_report(stored(_snapshot(spark, sf_dir), "crisis-snapshot"), bundles)
-    return report.select("actif", "niveau_crise", "classe_predite", "confiance_prediction", "semaine")
+    """Latest-week report of each ticker: its variables and lists laid out, and what holds for the score."""
+    report = stored(crisis_report(stored(_snapshot(spark, sf_dir), "crisis-snapshot"), _crisis_models(spark, sf_dir)), "crisis-report")
+    week = F.substring("semaine_gdelt", 1, 10).alias("week")
+    maps = {"variables_importantes": "variables", "top_events": "top_events", "top_conflict_countries": "top_conflict_countries", "evolution": "evolution"}
+    parts = [
+        report.select("actif", week, F.lit(part).alias("part"), F.explode(name).alias("entry", "value")).withColumn("value", F.col("value").cast("double"))
+        for name, part in maps.items()
+    ]
+    percents = F.map_values("probabilites")
+    confident = F.array_max(percents) == F.col("confiance_prediction")
+    summed = F.abs(F.aggregate(percents, F.lit(0.0), lambda a, b: a + b) - 100) < 0.011
+    named = F.col("niveau_crise") == F.when(F.col("classe_predite") == 1, K.CRISIS_CLASSES[1]).otherwise(K.CRISIS_CLASSES[0])
+    truths = {"probabilities": summed, "confidence": confident, "level": named, "dated": F.col("derniere_maj_gdelt").isNotNull()}
+    checks = F.create_map(*[x for name, truth in truths.items() for x in (F.lit(name), truth.cast("int").cast("double"))])
+    return rounded(stack([*parts, report.select("actif", week, F.lit("check").alias("part"), F.explode(checks).alias("entry", "value"))]).where("value IS NOT NULL"))
 
 
 @query
 def live_refresh(spark, sf_dir):
-    """Crisis snapshot from the last 90 drops and two years of prices."""
+    """Crisis snapshot from the last 90 drops and two years of prices, all four maps laid out."""
     drops = S.daily_drops(spark, sf_dir)
     as_of = newest_drop(S.line_events(spark, sf_dir))
     snapshot = crisis_refresh(
@@ -865,10 +970,15 @@ def live_refresh(spark, sf_dir):
 
 @query
 def parameter_search(spark, sf_dir):
-    """Seeded search with few small trials."""
+    """Seeded search of two trials for one asset.
+
+    Two trials, small ranges and one asset keep the query to seconds; a full search is 50
+    trials of 500 to 2000 rounds for each asset (``draw()``, ``search()``).
+    """
     rows = _direction(spark, sf_dir).where(F.col("ticker") == S.TICKERS[0])
     train, test = panel.split_at(rows, SPLIT)
-    return search(train, test, draw(TR.SEED, trials=2, iterations=(5, 15), depths=(2, 3), min_rows=(1, 10)))
+    found = search(train, test, draw(TR.SEED, trials=2, iterations=(5, 15), depths=(2, 3), min_rows=(1, 10)))
+    return found.select("trial", F.col("accuracy").between(0, 1).alias("is_share"))
 
 
 # --- streaming -------------------------------------------------------------------------

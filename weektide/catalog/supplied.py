@@ -92,6 +92,13 @@ def daily_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return world_events(spark, sf_dir).withColumn("SQLDATE", F.col("ref_date")).drop("ref_date", "is_major_country")
 
 
+def dirty_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drops as text, with a bad date on the first lines that land on a 13th."""
+    drops = daily_drops(spark, sf_dir)
+    bad = (F.dayofmonth("ingest_date") == 13) & (F.col("l_linenumber") == 1)
+    return drops.withColumn("SQLDATE", F.when(bad, "bad").otherwise(F.date_format("SQLDATE", "yyyyMMdd")))
+
+
 def dirty_events(events: DataFrame) -> DataFrame:
     """The same log as text, with bad dates and numbers and without some values."""
     line = F.col("l_linenumber")

@@ -14,11 +14,14 @@ from weektide.models.train import Bundle
 
 
 def score(df: DataFrame, bundle: Bundle, keep: list[str], threshold: float = SERVING_PROBABILITY) -> DataFrame:
-    """Probabilities, predicted class and confidence in percent."""
-    ready = aligned(df, bundle.features, keep)
+    """Probabilities, predicted class and confidence in percent, beside the columns to keep.
+
+    A column to keep may be a feature as well.
+    """
+    ready = aligned(df.withColumn("kept", F.struct(*keep)), bundle.features, ["kept"])
     probability = vector_to_array(F.col("probability"))
     scored = bundle.model.transform(ready).select(
-        *keep, probability[0].alias("proba_0"), probability[1].alias("proba_1")
+        "kept.*", probability[0].alias("proba_0"), probability[1].alias("proba_1")
     )
     predicted = F.when(F.col("proba_1") >= threshold, 1).otherwise(0)
     confidence = F.when(F.col("predicted") == 1, F.col("proba_1")).otherwise(F.col("proba_0"))

@@ -16,7 +16,14 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weektide.constants import CRISIS_CLASSES, CRISIS_SPLIT, DIRECTION_FEATURES, DIRECTION_NAMES, DIRECTION_SPLIT
+from weektide.constants import (
+    CRISIS_CLASSES,
+    CRISIS_SPLIT,
+    DIRECTION_FEATURES,
+    DIRECTION_NAMES,
+    DIRECTION_SPLIT,
+    FOREST_TICKERS,
+)
 from weektide.models.features import assembler, crisis_features, with_class_weight
 from weektide.operators.panel import split_at
 from weektide.session import ensure_checkpoints
@@ -28,9 +35,10 @@ SEED = 42
 class BoostedTrees:
     """Settings of a boosted-tree fit.
 
-    ``patience_share`` is the share of the newest training weeks kept aside for early
-    stopping; 0 turns it off. Boosting then ends with the first round that makes the loss
-    on them worse. The hold-out weeks are never used for it.
+    ``patience_share`` is the share of the newest training weeks kept aside to choose the
+    number of rounds; 0 turns that off. The round with the smallest loss on them is kept
+    when ``patience`` further rounds bring no smaller one. The hold-out weeks are never
+    used for it.
     """
 
     iterations: int = 100
@@ -38,10 +46,11 @@ class BoostedTrees:
     rate: float = 0.02
     min_rows: int = 1
     patience_share: float = 0.0
+    patience: int = 100
 
 
 # Settings of the two published models.
-CRISIS_TREES = BoostedTrees(iterations=100, depth=2, rate=0.02)
+CRISIS_TREES = BoostedTrees(iterations=100, depth=2, rate=0.02, patience_share=0.2)
 DIRECTION_TREES = BoostedTrees(iterations=892, depth=3, rate=0.09093093204104495, min_rows=12, patience_share=0.2)
 
 
@@ -64,20 +73,46 @@ def mark_validation(train: DataFrame, share: float) -> DataFrame:
     return train.withColumn("is_validation", F.unix_date("week") > days.scalar())
 
 
-def boosted(settings: BoostedTrees, label: str) -> GBTClassifier:
-    trees = GBTClassifier(
+def boosted(settings: BoostedTrees, label: str, iterations: int | None = None) -> GBTClassifier:
+    return GBTClassifier(
         labelCol=label,
         featuresCol="features",
         weightCol="weight",
-        maxIter=settings.iterations,
+        maxIter=iterations or settings.iterations,
         maxDepth=settings.depth,
         stepSize=settings.rate,
         minInstancesPerNode=settings.min_rows,
         seed=SEED,
     )
-    if settings.patience_share:
-        trees = trees.setValidationIndicatorCol("is_validation").setParams(validationTol=0.0)
-    return trees
+
+
+def fit_best(rows: DataFrame, label: str, features: list[str], settings: BoostedTrees) -> PipelineModel:
+    """Boosted trees up to the round with the smallest loss on the rows marked ``is_validation``.
+
+    Rounds are fitted until ``patience`` of them follow the best one, twice as many at each
+    attempt. Boosting without sampling repeats its first rounds exactly, so the model of the
+    best round is fitted again by itself.
+    """
+    learn, check = rows.where("NOT is_validation"), rows.where("is_validation")
+
+    def fitted(n: int) -> PipelineModel:
+        return Pipeline(stages=[assembler(features), boosted(settings, label, n)]).fit(learn)
+
+    if check.isEmpty():
+        return Pipeline(stages=[assembler(features), boosted(settings, label)]).fit(rows)
+    n = min(settings.iterations, 2 * settings.patience)
+    while True:
+        model = fitted(n)
+        losses = validation_losses(model, check)
+        best = losses.index(min(losses)) + 1
+        if n == settings.iterations or best + settings.patience <= n:
+            return model if best == n else fitted(best)
+        n = min(settings.iterations, 2 * n)
+
+
+def validation_losses(model: PipelineModel, check: DataFrame) -> list[float]:
+    """Loss after each round."""
+    return list(model.stages[-1].evaluateEachIteration(model.stages[0].transform(check)))
 
 
 def forest(label: str, trees: int = 100, depth: int = 5) -> RandomForestClassifier:
@@ -102,10 +137,17 @@ def fit(train: DataFrame, label: str, features: list[str], settings: BoostedTree
     """
     ensure_checkpoints(train.sparkSession)
     rows = prepared(train, label, features, settings)
+    if settings is not None and settings.patience_share:
+        return fit_best(rows, label, features, settings)
     learner = boosted(settings, label) if settings is not None else forest(label, **forest_settings)
     return Pipeline(stages=[assembler(features), learner]).fit(rows)
 
 
+def direction_settings(ticker: str, forests: list[str] = FOREST_TICKERS) -> BoostedTrees | None:
+    """Model family of an asset: forests for some, boosted trees for the others."""
+    return None if ticker in forests else DIRECTION_TREES
+
+
 def fit_crisis(panel: DataFrame, ticker: str, settings: BoostedTrees = CRISIS_TREES, split: str = CRISIS_SPLIT) -> Bundle:
     """Crisis model of one ticker from the complete panel."""
     train, _ = split_at(panel.where(F.col("ticker") == ticker), split)

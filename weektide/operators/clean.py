@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,11 +46,32 @@ def clean_events_lite(df: DataFrame) -> DataFrame:
     return complete_rows(df, ["EventDescriptionFinal", "GoldsteinScale", "NumMentions", "AvgTone"])
 
 
-def clean_drops(df: DataFrame) -> DataFrame:
-    """Daily drops: bad numbers count as 0."""
-    return coerce_numbers(
-        with_week(df, strict=True), ["GoldsteinScale", "NumMentions", "AvgTone"], whole=["NumMentions"], fill=0
+def has_bad_date(df: DataFrame) -> Column | None:
+    """True where there is a date that cannot be read; None where dates are typed and always can."""
+    if isinstance(df.schema["SQLDATE"].dataType, T.DateType):
+        return None
+    return F.col("SQLDATE").isNotNull() & parse_day(F.col("SQLDATE")).isNull()
+
+
+def skipped_days(df: DataFrame) -> DataFrame:
+    """``(ingest_date, bad_rows, n_rows)`` of the ingest days that ``clean_drops`` leaves out."""
+    bad = has_bad_date(df)
+    counts = df.groupBy("ingest_date").agg(
+        (F.lit(0).cast("bigint") if bad is None else F.count_if(bad)).alias("bad_rows"), F.count(F.lit(1)).alias("n_rows")
     )
+    return counts.where(F.col("bad_rows") > 0)
+
+
+def clean_drops(df: DataFrame) -> DataFrame:
+    """Daily drops: bad numbers count as 0, and an ingest day with a bad date is left out whole.
+
+    The bad days are found in a second, narrow scan of text logs. There are no more of them
+    than calendar days, so they are broadcast.
+    """
+    if has_bad_date(df) is not None:
+        days = skipped_days(df).select(F.col("ingest_date").alias("bad_day"))
+        df = df.join(F.broadcast(days), F.col("ingest_date").eqNullSafe(F.col("bad_day")), "left_anti")
+    return coerce_numbers(with_week(df), ["GoldsteinScale", "NumMentions", "AvgTone"], whole=["NumMentions"], fill=0)
 
 
 def trim_codes(df: DataFrame, columns: list[str] = CODE_COLUMNS) -> DataFrame:

@@ -22,8 +22,8 @@ def crisis_report(snapshot: DataFrame, bundles: list[Bundle]) -> DataFrame:
         "classe_predite",
         "probabilites",
         "confiance_prediction",
-        F.col("last_updated").alias("derniere_maj"),
-        F.col("week").alias("semaine"),
+        F.col("last_updated").alias("derniere_maj_gdelt"),
+        F.col("week").alias("semaine_gdelt"),
         pick("features", REPORT_VARIABLES).alias("variables_importantes"),
         "top_events",
         "top_conflict_countries",
@@ -42,6 +42,6 @@ def direction_report(snapshot: DataFrame, momentum: DataFrame, bundles: list[Bun
         F.col("ticker").alias("actif"),
         class_name(DIRECTION_NAMES).alias("tendance"),
         F.col("confidence").alias("confiance"),
-        F.col("last_updated").alias("derniere_maj"),
+        F.col("last_updated").alias("derniere_maj_gdelt"),
         percent_text(F.col("current_return")).alias("rendement_actuel_pris_en_compte"),
     )

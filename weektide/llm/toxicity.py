@@ -5,8 +5,8 @@ probabilities of its sentences combine by noisy-or, and training through that co
 from document labels alone gives a model of sentences. It then says which sentences offend.
 
 Features are words and beginnings of words. Their document frequencies by label are counted
-over all labelled documents in the cluster; the ones with the strongest association are
-kept. Fitting sees only these few features of each sentence.
+in the cluster over a bounded sample of labelled documents; the ones with the strongest
+association are kept. Fitting sees only these few features of each sentence.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from weektide.llm.batches import pieces, with_arrow_columns
 from weektide.llm.common import held_out, written
 
-# Size of the feature space, features kept, and labelled documents used to fit. The last
-# is the bound of the fitting sample: a share of the documents by a hash of the id.
+# Size of the feature space, features kept, and labelled documents used to fit at most.
+# The last is the bound of the fitting sample: the ids with the smallest hashes.
 FEATURE_BITS = 20
 FEATURES = 1024
-FIT_DOCS = 20_000
+FIT_DOCS = 40_000
 PREFIXES = (3, 4, 5, 6)
 MIN_DOCS = 3
 # Half the likelihood-ratio statistic a feature needs; by chance one in two thousand has it.
@@ -94,11 +94,16 @@ class Reader:
         return pairs // (FEATURES + 1), pairs % (FEATURES + 1)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, text, toxic)`` that a model may learn from; conflicting labels of one id count as toxic."""
+def labelled(docs: DataFrame, labels: DataFrame, max_docs: int) -> DataFrame:
+    """``(doc_id, text, toxic)`` of the fitting sample; conflicting labels of one id count as toxic.
+
+    The sample has ``max_docs`` ids at most, those with the smallest hashes. That bounds what
+    is broadcast, and the documents are read once without being shuffled.
+    """
     marks = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    return texts.join(marks, "doc_id")
+    return texts.join(F.broadcast(sample), "doc_id")
 
 
 def select_features(examples: DataFrame, n_features: int = FEATURES) -> tuple[np.ndarray, int]:
@@ -154,13 +159,7 @@ def column_index(cells: np.ndarray) -> np.ndarray:
     return out
 
 
-def fitting_sample(examples: DataFrame, max_docs: int) -> DataFrame:
-    """Documents whose hash is in the share that has about ``max_docs`` documents, however many there are."""
-    share = max_docs / max(examples.count(), 1)
-    return examples.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(share, 1) * 1_000_000))
-
-
-def fitting_rows(examples: DataFrame, cells: np.ndarray, max_docs: int) -> pa.Table:
+def fitting_rows(examples: DataFrame, cells: np.ndarray) -> pa.Table:
     """Kept features of the sampled documents: sentences are numbered within each document."""
     shared = examples.sparkSession.sparkContext.broadcast(cells)
 
@@ -181,7 +180,7 @@ def fitting_rows(examples: DataFrame, cells: np.ndarray, max_docs: int) -> pa.Ta
 
         return work
 
-    rows = with_arrow_columns(fitting_sample(examples, max_docs), "text", "n bigint, sentence array<int>, feature array<int>", make, keep=["toxic"])
+    rows = with_arrow_columns(examples, "text", "n bigint, sentence array<int>, feature array<int>", make, keep=["toxic"])
     return rows.toArrow()
 
 
@@ -216,11 +215,11 @@ def fit_rows(rows: pa.Table, n_features: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Kept cells and weights (bias last). Without labelled documents every sentence has the same small score."""
-    examples = written(labelled(docs, labels), "toxicity-examples")
+    examples = written(labelled(docs, labels, fit_docs), "toxicity-examples")
     cells, n = select_features(examples)
     if not n:
         return cells, fit_rows(pa.table({"toxic": pa.array([], pa.int64())}), 0)
-    return cells, fit_rows(fitting_rows(examples, cells, fit_docs), len(cells))
+    return cells, fit_rows(fitting_rows(examples, cells), len(cells))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str] | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 """Model jobs: fitted on the panel, scored, stored and reported."""
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from weektide.catalog import queries as Q
 from weektide.catalog import supplied
+from weektide.constants import DIRECTION_FEATURES
 from weektide.models import metrics as M
 from weektide.models import score as SC
 from weektide.models import search as SE
@@ -12,6 +14,7 @@ from weektide.models import train as TR
 from weektide.models.features import aligned, class_weights, crisis_features
 from weektide.operators.panel import split_at
 from weektide.plans.reports import crisis_report
+from weektide.plans.evaluate import evaluate_crisis
 from weektide.sources.tables import stored
 
 TINY = TR.BoostedTrees(iterations=3, depth=2, rate=0.1)
@@ -74,7 +77,7 @@ def test_crisis_model_scores_and_reports(spark, crisis, medium, tmp_path):
 def test_published_crisis_settings(crisis):
     bundle = TR.fit_crisis(crisis, supplied.TICKERS[0], split=Q.SPLIT)
     trees = bundle.model.stages[-1]
-    assert trees.getNumTrees == 100 and max(t.depth for t in trees.trees) <= 2
+    assert trees.getNumTrees <= 100 and max(t.depth for t in trees.trees) <= 2
     train, test = split_at(crisis.where(F.col("ticker") == bundle.ticker), Q.SPLIT)
     seen = M.metrics(M.confusion_counts(SC.score(train, bundle, ["crisis_level"]), "crisis_level", "predicted")).first()
     held = M.metrics(M.confusion_counts(SC.score(test, bundle, ["crisis_level"]), "crisis_level", "predicted")).first()
@@ -89,6 +92,32 @@ def test_early_stopping_and_forest(direction):
     assert forest.model.stages[-1].getNumTrees == 100
 
 
+def test_the_best_round_is_kept(direction):
+    settings = TR.BoostedTrees(iterations=12, depth=2, rate=0.3, patience_share=0.3, patience=3)
+    train, _ = split_at(direction.where(F.col("ticker") == supplied.TICKERS[1]), Q.SPLIT)
+    kept = TR.fit(train, "target_direction", DIRECTION_FEATURES, settings).stages[-1].getNumTrees
+    rows = TR.prepared(train, "target_direction", DIRECTION_FEATURES, settings)
+    every = Pipeline(stages=[TR.assembler(DIRECTION_FEATURES), TR.boosted(settings, "target_direction")]).fit(rows.where("NOT is_validation"))
+    losses = TR.validation_losses(every, rows.where("is_validation"))
+    seen = losses[: max(6, kept + 3)]
+    assert kept == seen.index(min(seen)) + 1
+
+
+def test_families_by_asset():
+    assert TR.direction_settings("CL=F") is None and TR.direction_settings("GLD") == TR.DIRECTION_TREES
+
+
+def test_evaluation_is_stored(spark, crisis, tmp_path):
+    out = evaluate_crisis(crisis, supplied.TICKERS[:2], str(tmp_path), TINY, Q.SPLIT, 0.5)
+    _, test = split_at(crisis, Q.SPLIT)
+    assert out["predictions"].count() == test.where(F.col("ticker").isin(supplied.TICKERS[:2])).count()
+    stored_rows = spark.read.parquet(str(tmp_path / "metrics")).collect()
+    assert {r["ticker"] for r in stored_rows} == set(supplied.TICKERS[:2])
+    assert TR.load_bundle(spark, str(tmp_path / "models" / supplied.TICKERS[0])).ticker == supplied.TICKERS[0]
+    with pytest.raises(ValueError):
+        evaluate_crisis(crisis.limit(0), supplied.TICKERS[:1], str(tmp_path / "none"), TINY, Q.SPLIT)
+
+
 def test_scenarios_cover_every_asset(spark, direction):
     bundles = [TR.fit_direction(direction, t, TINY, Q.SPLIT) for t in supplied.TICKERS[:2]]
     grid = spark.createDataFrame(

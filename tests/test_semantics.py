@@ -11,7 +11,9 @@ from weektide.functions.intensity import negative_intensity, positive_intensity,
 from weektide.functions.numbers import coerce_numbers, complete_rows, ratio
 from weektide.functions.text import strip_float_suffix, zero_pad
 from weektide.operators import clean, latest, panel, radar, weekly
+from weektide.catalog import supplied
 from weektide.operators.market import market_features, weekly_prices, with_volatility_index
+from weektide.plans import refresh
 from weektide.sources.events import recent_days, require_columns, stack
 from weektide.sources.lookups import checked
 from weektide.sources.prices import daily_prices, require_rows
@@ -305,3 +307,44 @@ def test_complete_rows(spark):
     df = spark.createDataFrame([(1, None), (1, 2)], "a int, b int")
     assert values(complete_rows(df)) == [(1, 2)]
     assert complete_rows(df, ["a"]).count() == 2
+
+
+def test_a_day_with_a_bad_date_is_left_out(spark):
+    rows = [("2024-01-01", "20240101", "1"), ("2024-01-02", "bad", "2"), ("2024-01-02", "20240102", "3"), ("2024-01-03", None, "4"), ("2024-01-03", "20240103", "x")]
+    df = spark.createDataFrame(rows, "ingest_date string, SQLDATE string, NumMentions string").withColumns(
+        {"ingest_date": F.col("ingest_date").cast("date"), "GoldsteinScale": F.lit("1"), "AvgTone": F.lit("1")}
+    )
+    assert sorted(r["NumMentions"] for r in clean.clean_drops(df).collect()) == [0, 1]
+    assert [(str(r[0]), r[1], r[2]) for r in clean.skipped_days(df).collect()] == [("2024-01-02", 1, 2)]
+    typed = clean.clean_drops(df.withColumn("SQLDATE", F.try_to_date("SQLDATE", "yyyyMMdd")))
+    assert typed.count() == 3
+
+
+def test_gaps_of_the_index_are_filled_and_an_absent_index_is_zero(spark):
+    weeks = [day(f"2024-01-{d:02d}") for d in (1, 8, 15, 22, 29)]
+    levels = [20.0, 21.0, 22.0, None, 24.0]
+    stock = spark.createDataFrame([("A", w, 1.0) for w in weeks], "ticker string, week date, px double")
+    index = spark.createDataFrame(list(zip(weeks, levels)), "week date, px double")
+    out = with_volatility_index(stock, index, missing="zero")
+    filled = panel.fill_both(out.select("ticker", "week", "vix", "vix_delta_1w")).orderBy("week").collect()
+    assert [r["vix"] for r in filled] == [20.0, 21.0, 22.0, 22.0, 24.0]
+    assert [r["vix_delta_1w"] for r in filled] == [1.0, 1.0, 1.0, 1.0, 1.0]
+    none = with_volatility_index(stock, index.limit(0), missing="zero")
+    assert {r["vix"] for r in none.collect()} == {0.0}
+
+
+def test_text_of_codes_and_large_scores(spark):
+    codes = spark.createDataFrame([("101.0 ",), (" 7.0",), ("10.05",)], "c string").select(strip_float_suffix(F.col("c")))
+    assert [r[0] for r in codes.collect()] == ["101", "7", "10.05"]
+    scores = spark.createDataFrame([(1.2e7,), (12345678.25,), (0.5,), (None,)], "RiskScore double")
+    assert [r[0] for r in radar.as_text(scores).collect()] == ["12000000.0", "12345678.25", "0.5", ""]
+
+
+def test_refresh_documents_are_written(spark, small, tmp_path):
+    drops = supplied.daily_drops(spark, small)
+    candidates = clean.clean_drops(drops)
+    as_of = refresh.newest_drop(supplied.line_events(spark, small))
+    found = refresh.radar_refresh(drops, as_of).first()
+    assert int(found["events_returned"]) == len(found["events"]) <= 50 and candidates.count() > 0
+    three = refresh.direction_refresh(drops, as_of, days=60).collect()
+    assert len(three) == 1 and three[0]["nb_events"] > 0

@@ -985,8 +985,15 @@ def parameter_search(spark, sf_dir):
 
 
 def _landed(spark, sf_dir):
-    stream = ST.read_stream(spark, sf_dir, S.stream_schema(), file_pattern="events.parquet")
-    return S.activity_as_events(stream)
+    """The activity log, landed quarter after quarter and read in a micro-batch for each."""
+    path = work_folder(spark, "landed")
+    activity = S.table(spark, sf_dir, "events")
+    day = F.unix_date(F.col("ts").cast("date"))
+    cuts = activity.agg(F.percentile_approx(day, [0.25, 0.5, 0.75]).alias("cuts")).first()["cuts"] or []
+    quarter = sum((F.when(day >= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    for number in range(len(cuts) + 1):
+        activity.where(quarter == number).coalesce(1).write.mode("append").parquet(path)
+    return S.activity_as_events(ST.read_stream(spark, path, S.stream_schema(), files_per_batch=1))
 
 
 @query

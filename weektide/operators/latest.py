@@ -11,16 +11,39 @@ from weektide.functions import flags
 from weektide.functions.dates import monday_of
 from weektide.functions.intensity import MENTIONS
 from weektide.functions.numbers import coerce_numbers, ratio, total
+from weektide.operators.weekly import weekly_partials
+from weektide.sources.tables import stored
 
 
 def latest_week(events: DataFrame, day: str = "SQLDATE") -> DataFrame:
     """Rows of the newest week.
 
-    The filter is on the day column itself against a scalar subquery, so the scan can
-    skip files and row groups by date.
+    The newest day is read first, from that column alone. The filter then compares the day
+    column with a literal, which reaches the scan and skips files and row groups.
     """
-    newest = events.agg(monday_of(F.max(day)).alias("monday")).scalar()
-    return events.where(F.col(day) >= newest)
+    newest = events.agg(monday_of(F.max(day)).alias("monday")).first()["monday"]
+    return events.where(F.col(day) >= F.lit(newest).cast("date"))
+
+
+def event_cube(events: DataFrame) -> DataFrame:
+    """Mergeable measures by week, description, place and conflict, stored.
+
+    One pass over the events gives all that a snapshot needs: weekly features, newest week
+    and both top lists come from this small table.
+    """
+    keys = ["week", "EventDescriptionFinal", flags.GEO, flags.is_conflict().alias("is_conflict")]
+    return stored(weekly_partials(events, keys), "event-cube")
+
+
+def cube_as_events(cube: DataFrame) -> DataFrame:
+    """The cube in the shape that the top lists read."""
+    return cube.select(
+        "week",
+        "EventDescriptionFinal",
+        flags.GEO,
+        F.when(F.col("is_conflict"), 4).otherwise(1).alias("QuadClass"),
+        F.col("total_mentions").alias(MENTIONS),
+    )
 
 
 def top_by_mentions(events: DataFrame, key: str, rows: int = TOP_ROWS) -> DataFrame:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from weektide.constants import LIVE_EVENT_DAYS, RADAR_DAYS, VIX_TICKER
 from weektide.operators.clean import clean_drops, decode_live, with_week
-from weektide.operators.latest import crisis_snapshot, latest_week, three_weeks
+from weektide.operators.latest import crisis_snapshot, cube_as_events, event_cube, latest_week, three_weeks
 from weektide.operators.market import market_panel
 from weektide.operators.panel import add_temporal_features, join_live
 from weektide.operators.radar import days_period, radar_candidates, radar_document
-from weektide.operators.weekly import drop_features, live_features, weekly_features
+from weektide.operators.weekly import drop_features, finish_weekly, live_features, merge_partials
 from weektide.sources.events import recent_days
-from weektide.sources.prices import recent_prices
+from weektide.sources.prices import recent_prices, require_rows
+from weektide.sources.tables import write_documents
 
 
 def live_panel(weekly: DataFrame, prices: DataFrame, tickers: list[str], index_ticker: str = VIX_TICKER) -> DataFrame:
@@ -35,10 +36,15 @@ def crisis_refresh(
     index_ticker: str = VIX_TICKER,
     days: int = LIVE_EVENT_DAYS,
 ) -> DataFrame:
-    """Crisis snapshot of every ticker from the last ``days`` drops and two years of prices."""
-    events = with_week(decode_live(recent_days(drops, as_of, days), cameo))
-    panel = live_panel(weekly_features(events), recent_prices(prices, as_of), tickers, index_ticker)
-    return crisis_snapshot(panel, latest_week(events))
+    """Crisis snapshot of every ticker from the last ``days`` drops and two years of prices.
+
+    The events are read once; no event in the look-back is an error.
+    """
+    cube = event_cube(with_week(decode_live(recent_days(drops, as_of, days), cameo)))
+    require_rows(cube, "events of the look-back")
+    weekly = finish_weekly(merge_partials(cube))
+    panel = live_panel(weekly, recent_prices(prices, as_of), tickers, index_ticker)
+    return crisis_snapshot(panel, latest_week(cube_as_events(cube), "week"))
 
 
 def direction_refresh(drops: DataFrame, as_of: Column, days: int = RADAR_DAYS, material_class: int = 4) -> DataFrame:
@@ -54,5 +60,14 @@ def radar_refresh(drops: DataFrame, as_of: Column, days: int = RADAR_DAYS) -> Da
 
 
 def newest_drop(drops: DataFrame) -> Column:
-    """Newest ingest day, as a scalar subquery."""
-    return drops.agg(F.max("ingest_date")).scalar()
+    """Newest ingest day as a literal, so that later filters reach the scan."""
+    return F.lit(drops.agg(F.max("ingest_date").alias("day")).first()["day"]).cast("date")
+
+
+def write_refresh(
+    drops: DataFrame, prices: DataFrame, cameo: DataFrame, tickers: list[str], as_of: Column, out: str, index_ticker: str = VIX_TICKER
+) -> None:
+    """The three documents of a refresh, written below ``out`` in place of the last ones."""
+    write_documents(crisis_refresh(drops, prices, cameo, tickers, as_of, index_ticker), f"{out}/crisis")
+    write_documents(direction_refresh(drops, as_of), f"{out}/direction")
+    write_documents(radar_refresh(drops, as_of), f"{out}/radar")

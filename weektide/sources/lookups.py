@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weektide.constants import EVENT_LOOKUP_HEADER, QUAD_LABELS, ROOT_DESCRIPTIONS
 from weektide.functions.text import zero_pad
 from weektide.schemas import COUNTRY_SCHEMA, EVENT_CODE_SCHEMA
+from weektide.sources.tables import stored
+
+_CHECKED: WeakKeyDictionary[DataFrame, dict[str, DataFrame]] = WeakKeyDictionary()
 
 # A lookup above either bound is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -31,10 +36,17 @@ def read_event_lookup(spark: SparkSession, path: str) -> DataFrame:
 def checked(lookup: DataFrame, key: str) -> DataFrame:
     """Guard a lookup before it is joined.
 
-    Keys must be unique, or the join would multiply rows. The table is marked for
-    broadcast only after its measured rows and bytes are below the bounds.
+    Keys must be unique, or the join would multiply rows. The table is stored and measured
+    once, and marked for broadcast only if its rows and bytes are below the bounds; the same
+    frame is not checked again.
     """
-    lookup = lookup.where(F.col(key).isNotNull())
+    known = _CHECKED.setdefault(lookup, {})
+    if key not in known:
+        known[key] = _measured(stored(lookup.where(F.col(key).isNotNull()), "lookup"), key)
+    return known[key]
+
+
+def _measured(lookup: DataFrame, key: str) -> DataFrame:
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in lookup.columns), F.lit(0))
     rows, keys, size = lookup.agg(
         F.count(F.lit(1)), F.count_distinct(F.col(key)), F.coalesce(F.sum(width), F.lit(0))

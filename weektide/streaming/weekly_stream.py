@@ -25,19 +25,20 @@ from weektide.operators.weekly import MEASURES, finish_weekly, weekly_partials
 WEEK = "7 days"
 MONDAY_OFFSET = "4 days"
 
+# A backlog is worked off in micro-batches of this size.
+FILES_PER_BATCH = 1000
+
 
 def read_stream(
     spark: SparkSession,
     folder: str,
     schema: T.StructType,
     file_format: str = "parquet",
-    files_per_batch: int | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
     file_pattern: str | None = None,
 ) -> DataFrame:
-    """Event files as they land in a folder."""
-    reader = spark.readStream.schema(schema).format(file_format)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    """Event files as they land in a folder, so many in a micro-batch at most."""
+    reader = spark.readStream.schema(schema).format(file_format).option("maxFilesPerTrigger", files_per_batch)
     if file_pattern:
         reader = reader.option("pathGlobFilter", file_pattern)
     return reader.load(folder)
@@ -84,6 +85,12 @@ def upsert_open_weeks(weekly: DataFrame, out: str, checkpoint: str) -> Streaming
     )
 
 
+def late_groups(query: StreamingQuery) -> int:
+    """Rows that the watermark has dropped so far, as Spark counts them: after each task has
+    added up what it read of a week."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for batch in query.recentProgress for op in batch["stateOperators"])
+
+
 def current_weeks(spark: SparkSession, out: str) -> DataFrame:
     """Weekly features from the newest state of each week."""
     updates = spark.read.parquet(out)
@@ -95,20 +102,22 @@ def refresh_snapshots(events: DataFrame, out: str, checkpoint: str) -> Streaming
     """Keep what the latest-week snapshots need, per micro-batch.
 
     Sums per week and key merge by adding, and the top rows of a week are among the top
-    rows of its batches, so the stored parts are small and the snapshots exact.
+    rows of its batches, so the stored parts are small and the snapshots exact. The parts
+    are laid out by week, and a snapshot reads those of the newest week alone. For the
+    radar, each task passes on its own 50 top rows of a week, also of a week that holds most
+    of a batch.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        dated = batch.withColumn("week", monday_of(F.col("SQLDATE"))).persist()
+        dated = batch.withColumn("week", monday_of(F.col("SQLDATE")))
         by_key = dated.groupBy("week", "EventDescriptionFinal", flags.GEO, flags.is_conflict().alias("is_conflict"))
         sums = by_key.agg(total(F.col(MENTIONS)).alias("mentions"))
-        sums.write.mode("overwrite").parquet(f"{out}/mentions/batch_id={batch_id}")
+        sums.write.mode("overwrite").partitionBy("week").parquet(f"{out}/mentions/batch_id={batch_id}")
         candidates = radar_candidates(dated)
         columns = shown(candidates)
         ranked = F.row_number().over(W.partitionBy("week").orderBy(*risk_order(columns)))
         top = candidates.select("week", *columns).withColumn("rank", ranked).where(F.col("rank") <= RADAR_ROWS)
-        top.drop("rank").write.mode("overwrite").parquet(f"{out}/radar/batch_id={batch_id}")
-        dated.unpersist()
+        top.drop("rank").write.mode("overwrite").partitionBy("week").parquet(f"{out}/radar/batch_id={batch_id}")
 
     return (
         events.writeStream.foreachBatch(write_batch)

@@ -756,7 +756,8 @@ te AS ({TOP.format(IN_LATEST)}), tp AS ({TOP_PLACES}), rows AS (
   UNION ALL SELECT ticker, week, 'check', name, 1.0 FROM tickers CROSS JOIN (VALUES {CHECKS}) c(name))
 SELECT ticker AS actif, CAST(week AS VARCHAR) AS week, part, entry, value FROM rows"""
 
-ORACLE["parameter_search"] = "SELECT CAST(UNNEST([0, 1]) AS INTEGER) AS trial, TRUE AS is_share"
+ORACLE["parameter_search"] = """SELECT DISTINCT CAST(c_mktsegment AS VARCHAR) AS ticker, CAST(UNNEST([0, 1]) AS INTEGER) AS trial,
+  TRUE AS is_share FROM customer"""
 
 # --- streaming: the batch result over the same rows ------------------------------------
 

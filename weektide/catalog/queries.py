@@ -18,7 +18,7 @@ from weektide.models import metrics as M
 from weektide.models import score as SC
 from weektide.models import train as TR
 from weektide.models.features import aligned, class_weights
-from weektide.models.search import draw, search
+from weektide.models.search import draw, search_each
 from weektide.operators import clean, latest, market, panel, quality, radar, weekly
 from weektide.plans.evaluate import evaluation, hold_out_predictions
 from weektide.plans.refresh import crisis_refresh, direction_refresh, live_panel, newest_drop
@@ -811,7 +811,7 @@ def _fitted(spark, sf_dir, kind, panel_of, fit_one):
 
 
 def _crisis_rows(spark, sf_dir):
-    return stored(_panel(spark, sf_dir), "crisis-panel")
+    return stored(_panel(spark, sf_dir), "crisis-panel", by="ticker")
 
 
 def _crisis_models(spark, sf_dir):
@@ -820,7 +820,7 @@ def _crisis_models(spark, sf_dir):
 
 def _direction(spark, sf_dir):
     labelled = clean.with_quad_label(clean.with_week(S.line_events(spark, sf_dir)))
-    return stored(direction_training_panel(labelled, _daily(spark, sf_dir)), "direction-panel")
+    return stored(direction_training_panel(labelled, _daily(spark, sf_dir)), "direction-panel", by="ticker")
 
 
 def _direction_models(spark, sf_dir):
@@ -970,15 +970,14 @@ def live_refresh(spark, sf_dir):
 
 @query
 def parameter_search(spark, sf_dir):
-    """Seeded search of two trials for one asset.
+    """Seeded search of two trials for every asset.
 
-    Two trials, small ranges and one asset keep the query to seconds; a full search is 50
-    trials of 500 to 2000 rounds for each asset (``draw()``, ``search()``).
+    Two trials and small ranges keep the query to seconds; a full search is 50 trials of 500
+    to 2000 rounds for each asset, the defaults of ``draw()``.
     """
-    rows = _direction(spark, sf_dir).where(F.col("ticker") == S.TICKERS[0])
-    train, test = panel.split_at(rows, SPLIT)
-    found = search(train, test, draw(TR.SEED, trials=2, iterations=(5, 15), depths=(2, 3), min_rows=(1, 10)))
-    return found.select("trial", F.col("accuracy").between(0, 1).alias("is_share"))
+    settings = draw(TR.SEED, trials=2, iterations=(5, 15), depths=(2, 3), min_rows=(1, 10))
+    found = search_each(_direction(spark, sf_dir), S.TICKERS, settings, SPLIT)
+    return found.select("ticker", "trial", F.col("accuracy").between(0, 1).alias("is_share"))
 
 
 # --- streaming -------------------------------------------------------------------------

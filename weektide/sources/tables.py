@@ -26,15 +26,19 @@ def write_table(df: DataFrame, path: str, file_format: str = "parquet", year_of:
     out.save(path)
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, by: str | None = None) -> DataFrame:
     """Write a frame that several jobs read to the shared folder and read it back.
 
     Later jobs start from the files, so a lost executor costs no recomputation of what
     came before. The rebalance makes files of even size: small results become one file,
-    large partitions are split.
+    large partitions are split. ``by`` names a column that gets folders of its own, so that
+    a filter on it reads only those.
     """
     spark = df.sparkSession
     path = work_folder(spark, purpose)
+    if by:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+        return spark.read.schema(df.schema).parquet(path).select(df.columns)
     df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

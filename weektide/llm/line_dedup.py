@@ -45,14 +45,9 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     rows are each returned. An empty table gives an empty table.
     """
     lines = written(hashed_lines(docs, min_chars), "line-hashes")
-    shared = (
-        lines.select("line_hash", "doc_id")
-        .distinct()
-        .groupBy("line_hash")
-        .agg(F.count(F.lit(1)).alias("n_docs"))
-        .where(F.col("n_docs") >= min_docs)
-        .select("line_hash")
-    )
+    counted = lines.select("line_hash", "doc_id").distinct().groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Written, so that the join below has two plain inputs and a hot line can be split.
+    shared = written(counted.where(F.col("n_docs") >= min_docs).select("line_hash"), "shared-lines")
     dropped = (
         lines.select("text_key", "pos", "line_hash")
         .join(shared, "line_hash")

@@ -207,8 +207,10 @@ def near_duplicate_groups(rows: DataFrame, radius: int) -> DataFrame:
     distinct = written(grouped.withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     roots = connected_components(links(distinct, radius))
     linked = distinct.join(roots, "node").select("root", "first")
-    best = linked.groupBy("root").agg(F.min("first").alias("best"))
-    joined = distinct.join(roots, "node", "left").join(best, "root", "left")
+    # Written, so that the join by root has two plain inputs and a hot group can be split.
+    best = written(linked.groupBy("root").agg(F.min("first").alias("best")), "group-names")
+    named = roots.join(best, "root").select("node", "best")
+    joined = distinct.join(named, "node", "left")
     return written(joined.select("fingerprint", F.coalesce("best", "first").alias("first")), "near-duplicates")
 
 

@@ -27,9 +27,10 @@ from weektide.llm.common import written
 from weektide.llm.components import connected_components
 
 SEED = 42
-# Rows of a tile: about a 32nd of all fingerprints between these bounds. One task holds two tiles.
-TILES = 32
-MIN_TILE, MAX_TILE = 4096, 131_072
+# Rows of a tile: about a 16th of all fingerprints between these bounds. One task holds two tiles.
+# As long as the upper bound is not reached, every fingerprint is copied to as many pairs at any size.
+TILES = 16
+MIN_TILE, MAX_TILE = 1024, 131_072
 # Distances that one step computes.
 STEP = 300_000
 

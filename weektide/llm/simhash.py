@@ -246,7 +246,12 @@ def keep_first(docs: DataFrame, shingle: int, radius: int, words: int) -> DataFr
     """One row of each near-duplicate group, with all columns of ``docs``; of repeated rows one stays."""
     found = near_duplicates(docs, shingle, radius, words)
     key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
-    kept = found.where(key.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    return first_rows(docs, found.where(key.eqNullSafe(F.col("first"))).select("first").distinct())
+
+
+def first_rows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the different ``first`` name; of repeated rows one stays."""
+    kept = firsts.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), F.col("doc_id").alias("id"))
     joined = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
     return joined.dropDuplicates(["id", "text_key"]).select("row.*")

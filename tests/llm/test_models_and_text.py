@@ -307,6 +307,22 @@ def test_frames_are_left_out(spark):
     assert html_wrappers.extract(frame.limit(0)).count() == 0
 
 
+def test_repeated_and_rare_texts_without_a_root_stay(spark):
+    page = "<div><h1>T</h1><p>text</p></div>"
+    story = "<div><h1>Story {0}</h1>{1}<p>Words {0} of it</p></div><div>Always the same</div>"
+    pages = [(i, "http://three/", page) for i in range(3)] + [(i, "http://many/", page) for i in range(3000)]
+    # The same texts in another markup are no other page.
+    pages += [(i, "http://markup/", f"<!-- {i} --><script>{i}</script>{page}") for i in range(5)]
+    pages += [(i, f"http://story/{i}", story.format(i, "<h2>Conclusion</h2>" if i % 100 == 7 else "")) for i in range(1000)]
+    pages += [(i, "http://story/x", "<div>Always the same</div>") for i in range(1000, 1003)]
+    rows = html_wrappers.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        i, rare = r["page_id"], "Conclusion\n" if r["page_id"] % 100 == 7 else ""
+        only = "T\ntext" if "story" not in r["url"] else "Always the same"
+        assert r["text"] == (f"Story {i}\n{rare}Words {i} of it" if "story" in r["url"] and i < 1000 else only), r
+
+
 def test_wrappers_fold_and_align():
     a = html_wrappers.page_wrapper("<div><h2>A</h2><p>x</p><p>y</p><h2>B</h2><p>z</p><hr></div>")
     b = html_wrappers.page_wrapper("<div><h2>A</h2><p>x</p><h2>B</h2><p>q</p><h2>C</h2><p>r</p></div>")

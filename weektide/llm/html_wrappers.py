@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,12 @@ WIDE = 48
 HOSTS = 2000
 PARTS = 64
 
+# A fixed text is frame if so many different pages share it, and more than half of the host's. Slots and
+# hosts keep the smallest digests of so many different pages, so the half is exact up to that number of
+# them and taken on a sample beyond.
+SHARED = 3
+DIGESTS = 32
+
 # Markers of what surrounds the content.
 FRAMES = {"-", "c", "h"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -45,11 +52,13 @@ SPACE = re.compile(r"\s+")
 class Item:
     """Part of a wrapper: an element, a text slot (key ``#``) or a group (key ``()``)."""
 
-    __slots__ = ("key", "flags", "pages", "words", "links", "constant", "items", "role")
+    __slots__ = ("key", "flags", "pages", "words", "links", "constant", "items", "seen", "role")
 
-    def __init__(self, key: str, flags: int = 0, pages: int = 1, words: int = 0, links: int = 0, constant: int | None = None, items: list[Item] | None = None):
+    def __init__(self, key: str, flags: int = 0, pages: int = 1, words: int = 0, links: int = 0, constant: int | None = None, items: list[Item] | None = None, seen: tuple[int, ...] = ()):
         self.key, self.flags, self.pages, self.words, self.links, self.constant = key, flags, pages, words, links, constant
         self.items = items if items is not None else []
+        # Digests of the texts of different pages: of fixed slots and of the whole wrapper.
+        self.seen = seen
         self.role = ""
 
     @property
@@ -64,14 +73,14 @@ class Item:
         return f"({' '.join(i.shape() for i in self.items)})" if self.key == "()" else self.key
 
     def plain(self) -> list:
-        return [self.key, self.flags, self.pages, self.words, self.links, self.constant, [i.plain() for i in self.items]]
+        return [self.key, self.flags, self.pages, self.words, self.links, self.constant, [i.plain() for i in self.items], self.seen]
 
 
 def item_of(data: list) -> Item:
-    return Item(*data[:6], [item_of(x) for x in data[6]])
+    return Item(*data[:6], [item_of(x) for x in data[6]], tuple(data[7]))
 
 
-def page_items(element: Element, linked: bool = False) -> list[Item]:
+def page_items(element: Element, linked: bool = False, seen: tuple[int, ...] = ()) -> list[Item]:
     """Items of one page's element, already folded."""
     items = []
     for child in element.children:
@@ -79,9 +88,9 @@ def page_items(element: Element, linked: bool = False) -> list[Item]:
             text = SPACE.sub(" ", child).strip()
             if text:
                 n = text.count(" ") + 1
-                items.append(Item("#", words=n, links=n * linked, constant=zlib.crc32(text.encode("utf-8", "replace"))))
+                items.append(Item("#", words=n, links=n * linked, constant=zlib.crc32(text.encode("utf-8", "replace")), seen=seen))
         else:
-            items.append(Item(child.key, items=page_items(child, linked or child.name == "a")))
+            items.append(Item(child.key, items=page_items(child, linked or child.name == "a", seen)))
     return fold(items)
 
 
@@ -89,7 +98,15 @@ def merge(a: Item, b: Item, same_page: bool = False) -> Item:
     """What fits both; two occurrences on the same page count the page once."""
     constant = a.constant if a.constant == b.constant else None
     pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
-    return Item(a.key, a.flags | b.flags, pages, a.words + b.words, a.links + b.links, constant, align(a.items, b.items, same_page))
+    seen = united(a.seen, b.seen) if constant is not None or a.key == "#page" else ()
+    return Item(a.key, a.flags | b.flags, pages, a.words + b.words, a.links + b.links, constant, align(a.items, b.items, same_page), seen)
+
+
+def united(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+    """The smallest digests of both, in order."""
+    if a == b or not b or (len(a) == DIGESTS and b[0] > a[-1]):
+        return a
+    return tuple(sorted({*a, *b})[:DIGESTS])
 
 
 def repeat(a: Item, b: Item) -> Item:
@@ -181,7 +198,7 @@ def align(a: list[Item], b: list[Item], same_page: bool = False) -> list[Item]:
 
 def decide(wrapper: Item) -> None:
     """Set the roles: ``root`` of the content, ``drop``, ``heading`` (only headings count), and
-    ``frame`` for slots that belong to the page's frame where no root is known."""
+    ``frame`` or ``links`` for slots that belong to the page's frame where no root is known."""
     every: list[tuple[Item, bool, bool]] = []
 
     def walk(item: Item, framed: bool, commented: bool) -> None:
@@ -200,6 +217,8 @@ def decide(wrapper: Item) -> None:
     ]
     roots = next((found for tier in tiers if (found := {id(i) for i, f, c in every if tier(i, f, c)})), set())
 
+    host = set(wrapper.seen)
+
     def holds_root(item: Item) -> bool:
         return id(item) in roots or any(holds_root(x) for x in item.items)
 
@@ -215,8 +234,8 @@ def decide(wrapper: Item) -> None:
             item.role = "drop"
         elif item.key == "#" and not inside:
             total = max(1, sum_of(block, "words"))
-            fixed = item.constant is not None and item.pages >= 3
-            item.role = "frame" if fixed or 2 * sum_of(block, "links") > total else ""
+            shared = len(item.seen) >= SHARED and 2 * len(host.intersection(item.seen)) > len(host)
+            item.role = "links" if 2 * sum_of(block, "links") > total else "frame" if shared else ""
         for child in item.items:
             settle(child, inside, linked or name == "a", block)
 
@@ -246,8 +265,9 @@ class Page:
     def __init__(self, wrapper: list, tree: Element):
         self.rooted: list[str] = []
         self.plain: list[str] = []
-        self.open: dict[str, list[str]] = {"rooted": [], "plain": []}
-        self.linked = 0
+        self.whole: list[str] = []
+        self.open: dict[str, list[str]] = {"rooted": [], "plain": [], "whole": []}
+        self.linked = {"rooted": 0, "plain": 0, "whole": 0}
         self.read(wrapper, tree, inside=False, heading=False, linked=False)
         self.end()
 
@@ -255,10 +275,10 @@ class Page:
         """Close a block. Without a content root, a block that is mostly links is navigation."""
         for kind, parts in self.open.items():
             text = SPACE.sub(" ", "".join(parts)).strip()
-            if text and (kind == "rooted" or 2 * self.linked <= len(text)):
+            if text and 2 * self.linked[kind] <= len(text):
                 getattr(self, kind).append(text)
             parts.clear()
-        self.linked = 0
+            self.linked[kind] = 0
 
     def read(self, wrapper: list, element: Element, inside: bool, heading: bool, linked: bool) -> None:
         """Children find their items in order; in a repeated part the search goes round again."""
@@ -268,10 +288,10 @@ class Page:
                 item = None
                 if child.strip():
                     item, at = following(items, at, "#")
-                self.add(child, inside and not heading, item is None or item[1] != "frame", linked)
+                self.add(child, inside and not heading, item[1] if item else "", linked)
                 continue
             if child.name == "br":
-                self.add(" ", inside, True, False)
+                self.add(" ", inside, "", False)
                 continue
             item, at = following(items, at, child.key)
             role = item[1] if item else ""
@@ -290,16 +310,18 @@ class Page:
             if block:
                 self.end()
 
-    def add(self, text: str, rooted: bool, plain: bool, linked: bool) -> None:
+    def add(self, text: str, rooted: bool, role: str, linked: bool) -> None:
         if rooted:
             self.open["rooted"].append(text)
-        if plain:
-            self.open["plain"].append(text)
-            self.linked += linked * len(text.strip())
+        for kind in ("plain", "whole"):
+            if role == "" or (role == "frame" and kind == "whole"):
+                self.open[kind].append(text)
+                self.linked[kind] += linked * len(text.strip())
 
     def text(self) -> str:
-        """The blocks under content roots; a page without one gives all that is not frame."""
-        return "\n".join(self.rooted or self.plain)
+        """The blocks under content roots; a page without one gives all that is not frame, and its
+        fixed texts where nothing else is left."""
+        return "\n".join(self.rooted or self.plain or self.whole)
 
 
 def following(items: list, at: int, key: str) -> tuple[list | None, int]:
@@ -314,7 +336,19 @@ def main_text(page: str | None, wrapper: str | list) -> str:
 
 
 def page_wrapper(page: str | None) -> Item:
-    return Item("#page", items=page_items(parse(page)))
+    tree = parse(page)
+    words = " ".join(words_of(tree))
+    # By their texts, so that pages with the same words are one page, whatever their markup.
+    seen = (xxhash.xxh64_intdigest(words.encode("utf-8", "replace")),) if words else ()
+    return Item("#page", items=page_items(tree, seen=seen), seen=seen)
+
+
+def words_of(element: Element) -> Iterator[str]:
+    for child in element.children:
+        if isinstance(child, str):
+            yield from child.split()
+        elif child.name not in DROPPED:
+            yield from words_of(child)
 
 
 # --- on Spark --------------------------------------------------------------------------

@@ -95,6 +95,17 @@ def test_shards_of_awkward_rows(spark):
     assert kept.count() == 13 and {"row", "run", "k0"} <= set(kept.columns)
 
 
+def test_sources_with_one_beginning_are_told_apart(spark):
+    rows = spark.range(6400).selectExpr("id", "concat('https://common-crawl-', lpad(cast(id * 7919 % 64 AS string), 2, '0')) AS source")
+    rows = rows.union(spark.range(3).selectExpr("id + 6400", "CAST(NULL AS string)"))
+    (cell,), total = sharding.quantised(rows, {"source": F.col("source")}, 5)
+    of = {r["source"]: r["cell"] for r in rows.select("source", cell.alias("cell")).distinct().collect()}
+    assert total == 6403 and of.pop(None) == 0 and len(of) == 64
+    # Equal shares: 64 sources of equal size in 32 cells, in their order.
+    assert [of[s] for s in sorted(of)] == sorted(of.values())
+    assert set(of.values()) == set(range(32)) and max(Counter(of.values()).values()) <= 3
+
+
 def test_urls_of_every_kind(spark):
     urls = [
         "http://EXAMPLE.com/en/1", "https://www.Example.com/en/x?q=1", "http://a.example.com/EN/", "http://a.net/es/1#x",

@@ -17,33 +17,51 @@ from weektide.llm.common import other_columns, written
 BITS = 5
 
 
-def text_order(text: Column) -> Column:
-    """Number that keeps the order of texts by their first seven bytes."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(text, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("bigint")
+def text_cuts(df: DataFrame, text: Column, parts: int) -> list[str]:
+    """Whole values of a text dimension that cut its rows into equal shares, at most ``parts - 1``.
+
+    Rows are counted by value, which combines before the shuffle, and the different values are
+    ranked in runs by range, so no task holds all of them.
+    """
+    counts = df.select(text.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    runs = written(counts.repartitionByRange("value").withColumn("run", F.spark_partition_id()), "text-runs")
+    # One row for each range partition.
+    sums = runs.groupBy("run").agg(F.sum("n").alias("run_rows"))
+    before = sums.selectExpr("run", "sum(run_rows) OVER (ORDER BY run) - run_rows AS first_rank", "sum(run_rows) OVER () AS total")
+    ranked = runs.join(F.broadcast(before), "run").selectExpr(
+        "value", "total", "n", "first_rank + sum(n) OVER (PARTITION BY run ORDER BY value) AS last"
+    )
+    cuts = ranked.selectExpr("value", f"least({parts - 1}, last * {parts} div total) - (last - n) * {parts} div total AS cuts").where("cuts > 0")
+    return sorted(value for value, n in cuts.collect() for _ in range(n))
+
+
+def points_below(points: list[Column], value: Column) -> Column:
+    # A second argument of the function would be the position in the array.
+    return F.size(F.filter(F.array(*points), lambda x: x <= value)) if points else F.lit(0)
 
 
 def quantised(df: DataFrame, dimensions: dict[str, Column], bits: int) -> tuple[list[Column], Column]:
     """Cell number of each dimension, from cut points that hold equal shares of the rows.
 
-    One pass of mergeable quantile sketches gives the cut points; they are a few dozen
-    numbers, whatever the size of the data. A value that holds many rows holds several cut
-    points, so its number keeps its place among all rows. Missing values go to the first cell.
+    One pass of mergeable quantile sketches gives the cut points of the integer dimensions, and
+    counts of the different values those of the text dimensions; they are a few dozen values,
+    whatever the size of the data. A value that holds many rows holds several cut points, so
+    its number keeps its place among all rows. Missing values go to the first cell.
     """
     parts = 1 << bits
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    names = [f"cut_{i}" for i in range(len(dimensions))]
+    kinds = dict(df.select(*[c.alias(f"cut_{i}") for i, c in enumerate(dimensions.values())]).dtypes)
     row = df.agg(
-        *[F.percentile_approx(c, shares, 10_000).alias(n) for n, c in zip(names, dimensions.values())],
+        *[F.percentile_approx(c, shares, 10_000).alias(n) for n, c in zip(kinds, dimensions.values()) if kinds[n] != "string"],
         F.count(F.lit(1)).alias("n_rows"),
     ).first()
     cells = []
-    for name, value in zip(names, dimensions.values()):
-        cuts = sorted(int(x) for x in row[name] or [])
-        if cuts:
-            points = F.array(*[F.lit(x).cast("bigint") for x in cuts])
-            cells.append(F.size(F.filter(points, lambda x, v=value: x <= v)))
+    for name, value in zip(kinds, dimensions.values()):
+        if kinds[name] == "string":
+            points = [F.lit(x) for x in text_cuts(df, value, parts)]
         else:
-            cells.append(F.lit(0))
+            points = [F.lit(x).cast("bigint") for x in sorted(int(x) for x in row[name] or [])]
+        cells.append(points_below(points, value))
     return [F.coalesce(c, F.lit(0)) for c in cells], row["n_rows"]
 
 
@@ -101,7 +119,7 @@ def hilbert_shards(
 ) -> DataFrame:
     """``df`` with ``shard`` and ``slot``: runs of the curve whose row counts differ by one at most.
 
-    ``dimensions`` are integer columns by name, ``ties`` order the rows of one cell. Columns
+    ``dimensions`` are integer or text columns by name, ``ties`` order the rows of one cell. Columns
     of the input named ``shard``, ``slot`` or ``curve`` are replaced. Repeated rows each get
     a slot. Fewer rows than shards leave shards empty; an empty table stays empty.
     """
@@ -157,8 +175,8 @@ def document_metadata(docs: DataFrame) -> DataFrame:
 def document_shards(metadata: DataFrame, n_shards: int) -> DataFrame:
     """Documents along the curve over language, source, text length and id; equal texts of one cell lie side by side."""
     dimensions = {
-        "lang": text_order(F.col("lang")),
-        "source": text_order(F.col("source")),
+        "lang": F.col("lang"),
+        "source": F.col("source"),
         "chars": F.col("chars"),
         "doc_id": F.col("doc_id"),
     }

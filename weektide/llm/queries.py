@@ -8,10 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weektide.llm import ann, bpe, decontaminate, html_wrappers, lang_mix, line_dedup, sharding, simhash, toxicity, url_filter
+from weektide.llm import (
+    ann,
+    bpe,
+    decontaminate,
+    html_wrappers,
+    lang_mix,
+    line_dedup,
+    sharding,
+    simhash,
+    token_align,
+    toxicity,
+    url_filter,
+)
 from weektide.llm.common import held_out, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -117,3 +131,12 @@ def op10_lang_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = lang_mix.identify(docs.select("doc_id", "text"), keep=["doc_id"], model=lang_mix.fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "lang_mix")
+
+
+@query
+def op11_token_align(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_align.aligned(docs, BYTE_LEVEL, PIECES, keep=["doc_id"])
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    counted = token_align.with_link_counts(found.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -12,6 +12,7 @@ from weektide.llm import (
     ann,
     bpe,
     decontaminate,
+    hmm_lm,
     html_wrappers,
     lang_mix,
     line_dedup,
@@ -140,3 +141,8 @@ def op11_token_align(spark, sf_dir):
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
     counted = token_align.with_link_counts(found.withColumn("groups_sha256", digest).drop("groups"))
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_hmm_lm(spark, sf_dir):
+    return hmm_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])

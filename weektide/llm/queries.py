@@ -20,6 +20,7 @@ from weektide.llm import (
     simhash,
     token_align,
     toxicity,
+    turn_repair,
     url_filter,
 )
 from weektide.llm.common import held_out, table
@@ -146,3 +147,9 @@ def op11_token_align(spark, sf_dir):
 @query
 def op12_hmm_lm(spark, sf_dir):
     return hmm_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+@query
+def op13_turn_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.report(rows, turn_repair.damaged(rows))

@@ -139,3 +139,49 @@ def test_models_tell_good_from_bad_addresses(spark):
     rows = url_filter.judge_urls(spark.createDataFrame(good + bad + asked, "page_id bigint, url string"), URL_RULES)
     found = {r["page_id"]: r["verdict"] for r in rows.where("page_id >= 5000").collect()}
     assert found == {5000: "allow", 5001: "block"}
+
+
+def judged(spark, urls):
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    return {r["page_id"]: r for r in url_filter.judge_urls(rows, URL_RULES).collect()}
+
+
+def test_the_models_read_the_whole_address(spark):
+    """Addresses without a rule, a scheme or a path of their own are told apart by the characters they have."""
+    good = [f"http://good{i % 9}.com/news/{i}?page=read" for i in range(200)]
+    bad = [f"http://spam{i % 9}.net/es/win-{i}?prize=casino" for i in range(200)]
+    asked = ["good7.example/news/8", "spam4.net/es/win", "http://x.org?page=read", "http://x.org?prize=casino", "http://x.org#page=read", "http://x.org#prize=casino"]
+    found = judged(spark, [*good, *bad, *asked, None])
+    assert [found[400 + k]["verdict"] for k in range(6)] == ["allow", "block"] * 3
+    assert len({found[400 + k]["score"] for k in range(6)}) == 6
+    assert found[401]["host"] == found[401]["path"] == ""
+    assert found[406]["rule"] is None
+
+
+def test_threshold_where_one_verdict_is_missing(spark):
+    only_good = judged(spark, [f"http://a.com/{i}" for i in range(50)] + ["a.com/77", "zzzz"])
+    assert [only_good[50 + k]["verdict"] for k in range(2)] == ["allow", "block"]
+    nothing = judged(spark, ["http://b.org/x", "http://c.org/y", "http://c.org/y"])
+    assert [r["verdict"] for r in nothing.values()] == ["allow"] * 3 and nothing[1]["score"] == nothing[2]["score"] == 0
+
+
+def test_each_verdict_holds_one_address_back(spark):
+    """The few blocked addresses have hashes that alone would keep them all in training."""
+    import hashlib
+
+    free = [u for u in (f"http://spam.net/es/win-{i}" for i in range(40)) if hashlib.md5(u.encode()).hexdigest()[0] not in "012"][:3]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(free + [f"http://good.com/{i}" for i in range(30)])], "page_id bigint, url string")
+    marked = url_filter.judged_by_rule(pages, URL_RULES)
+    kept_out = marked.where(url_filter.held_back(marked)).select("address").collect()
+    assert [r[0] for r in kept_out if "spam" in r[0]] == [min(free, key=lambda u: hashlib.md5(u.encode()).hexdigest())]
+    single = url_filter.judged_by_rule(pages.where("page_id = 0"), URL_RULES)
+    assert single.where(url_filter.held_back(single)).count() == 0
+
+
+def test_the_edge_above_all_scores_can_be_chosen(spark):
+    scored = spark.createDataFrame([(155_000, 0, 5), (-500_000, 3, 0)], "score bigint, held_good bigint, held_bad bigint")
+    assert url_filter.calibrated_threshold(scored) == 160_000
+    apart = spark.createDataFrame([(-200_000, 0, 5), (300_000, 5, 0)], "score bigint, held_good bigint, held_bad bigint")
+    assert url_filter.calibrated_threshold(apart) == 0
+    one = spark.createDataFrame([(150_000, 0, 5)], "score bigint, held_good bigint, held_bad bigint")
+    assert url_filter.calibrated_threshold(one) == 0

@@ -29,7 +29,10 @@ WITH parsed AS (
     SELECT page_id,
            translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-           regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+           regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+           CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^(.*?://)([^/?#]*)(.*)$', 1)
+                || translate(regexp_extract(url, '(?s)^(.*?://)([^/?#]*)(.*)$', 2), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                || regexp_extract(url, '(?s)^(.*?://)([^/?#]*)(.*)$', 3) ELSE coalesce(url, '') END AS address
     FROM pages
 ), rules(rule, domain, start, ruled) AS (
     VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
@@ -41,16 +44,21 @@ WITH parsed AS (
     WHERE (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start)
     GROUP BY host, path
 ), judged AS (
-    SELECT p.*, rule, ruled, regexp_replace(host || path, '[0-9]', '0', 'g') AS address
+    SELECT p.*, rule, ruled, regexp_replace(address, '[0-9]', '0', 'g') AS shape, md5(address) AS digest
     FROM parsed p LEFT JOIN fitting USING (host, path)
-), addresses AS (
-    SELECT address, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad,
-           substring(md5(address), 1, 1) IN ('0', '1', '2') AS held_back
-    FROM judged GROUP BY address
+), forced AS (
+    SELECT min(digest) AS digest FROM judged WHERE ruled IS NOT NULL GROUP BY ruled
+    HAVING count(*) FILTER (substring(digest, 1, 1) IN ('0', '1', '2')) = 0 AND min(digest) <> max(digest)
+), marked AS (
+    SELECT *, substring(digest, 1, 1) IN ('0', '1', '2') OR digest IN (SELECT digest FROM forced) AS held_back FROM judged
+), shapes AS (
+    SELECT shape, count(*) FILTER (ruled = 'allow' AND NOT held_back) AS good, count(*) FILTER (ruled = 'block' AND NOT held_back) AS bad,
+           count(*) FILTER (ruled = 'allow' AND held_back) AS held_good, count(*) FILTER (ruled = 'block' AND held_back) AS held_bad
+    FROM marked GROUP BY shape
 ), exploded AS (
-    SELECT address, CASE WHEN held_back THEN 0 ELSE good END AS good, CASE WHEN held_back THEN 0 ELSE bad END AS bad,
-           substring(repeat(chr(2), 4) || address || chr(3), unnest(generate_series(1, length(address) + 1))::INT, 5) AS gram
-    FROM addresses
+    SELECT shape, good, bad,
+           substring(repeat(chr(2), 4) || shape || chr(3), unnest(generate_series(1, length(shape) + 1))::INT, 5) AS gram
+    FROM shapes
 ), g4 AS (
     SELECT gram, sum(good) AS good, sum(bad) AS bad FROM exploded GROUP BY gram
 ),
@@ -106,18 +114,21 @@ c4 AS (
 model AS (
     SELECT gram, round((ln(p_good) - ln(p_bad)) * 1000000)::BIGINT AS ratio FROM p4
 ), scored AS (
-    SELECT address, floor(sum(ratio)::DOUBLE / count(*))::BIGINT AS score FROM exploded JOIN model USING (gram) GROUP BY address
+    SELECT shape, floor(sum(ratio)::DOUBLE / count(*))::BIGINT AS score FROM exploded JOIN model USING (gram) GROUP BY shape
 ), bins AS (
-    SELECT least(greatest(floor(score / 10000), -10000), 10000)::BIGINT AS bin, sum(good) AS good, sum(bad) AS bad
-    FROM addresses JOIN scored USING (address) WHERE held_back AND good + bad > 0 GROUP BY 1
+    SELECT least(greatest(floor(score / 10000), -10000), 10000)::BIGINT AS bin, sum(held_good) AS good, sum(held_bad) AS bad
+    FROM shapes JOIN scored USING (shape) WHERE held_good + held_bad > 0 GROUP BY 1
+), candidates AS (
+    SELECT bin, sum(good) AS good, sum(bad) AS bad
+    FROM (SELECT * FROM bins UNION ALL SELECT max(bin) + 1, 0, 0 FROM bins UNION ALL SELECT 0, 0, 0) WHERE bin IS NOT NULL GROUP BY bin
 ), losses AS (
-    SELECT bin, coalesce((sum(good) OVER (ORDER BY bin) - good)::DOUBLE / nullif(sum(good) OVER (), 0)::DOUBLE, 0)
-              + coalesce((sum(bad) OVER (ORDER BY bin DESC))::DOUBLE / nullif(sum(bad) OVER (), 0)::DOUBLE, 0) AS loss
-    FROM bins
+    SELECT bin, (sum(good) OVER (ORDER BY bin) - good)::DOUBLE / nullif(sum(good) OVER (), 0)::DOUBLE
+              + (sum(bad) OVER (ORDER BY bin DESC))::DOUBLE / nullif(sum(bad) OVER (), 0)::DOUBLE AS loss
+    FROM candidates
 ), threshold AS (
-    SELECT coalesce((SELECT bin FROM losses ORDER BY round(loss, 9), abs(bin), bin LIMIT 1), 0) * 10000 AS t
+    SELECT coalesce((SELECT bin FROM losses WHERE loss IS NOT NULL ORDER BY round(loss, 9), abs(bin), bin LIMIT 1), 0) * 10000 AS t
 )
 SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict, score - t AS score
-FROM judged JOIN scored USING (address), threshold
+FROM judged JOIN scored USING (shape), threshold
 """

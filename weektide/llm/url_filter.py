@@ -5,9 +5,11 @@ addresses that rules allow, one of those they block. Orders back off into each o
 Witten-Bell smoothing. An address is allowed when the difference of its log-likelihoods per
 character reaches a threshold that is calibrated on addresses kept out of training.
 
-Only built-in expressions are used. Addresses are counted with their digits made equal
-first, so a host with a third of all pages adds few rows; n-gram counts combine before they
-are shuffled, and every table that grows is joined by key and never collected.
+The models read the whole address, scheme, query and fragment included, with its host in lower
+case; one without ``://`` as it is. They take all digits for equal, so addresses are counted by
+their shape and a host with a third of all pages adds few rows. Which addresses are kept out of training
+is decided before that, by their hash and for each verdict. Only built-in expressions are used; n-gram
+counts combine before they are shuffled, and every table that grows is joined by key and never collected.
 """
 
 from __future__ import annotations
@@ -46,10 +48,17 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 def judged_by_rule(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     verdict = F.create_map(*[F.lit(x) for v, rule in rules for x in (rule, v)])
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), whole_address(F.col("url")).alias("address"))
     ruled = parsed.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
-    address = F.regexp_replace(F.concat("host", "path"), "[0-9]", "0")
-    return ruled.select("*", F.try_element_at(verdict, F.col("rule")).alias("ruled"), address.alias("address"))
+    shape = F.regexp_replace("address", "[0-9]", "0")
+    return ruled.select("*", F.try_element_at(verdict, F.col("rule")).alias("ruled"), shape.alias("shape"))
+
+
+def whole_address(url: Column) -> Column:
+    """The whole url with its host in lower case; '' only where it is missing or empty."""
+    pattern = r"(?s)^(.*?://)([^/?#]*)(.*)$"
+    start, host, rest = (F.regexp_extract(url, pattern, k) for k in (1, 2, 3))
+    return F.coalesce(F.when(start != "", F.concat(start, ascii_lower(host), rest)), url, F.lit(""))
 
 
 def windows(address: Column, order: int) -> Column:
@@ -100,59 +109,72 @@ def smoothed(grams: DataFrame, order: int) -> DataFrame:
 def calibrated_threshold(scored: DataFrame) -> int:
     """Score, in millionths, that best separates the held-back addresses with a rule.
 
-    It is the edge of a bin of one hundredth with the smallest sum of both error rates; ties
-    go to the edge nearest 0. Bins end at +-100, so the histogram has a bounded size.
+    It is an edge of a bin of one hundredth, that above the highest and 0 included, with the smallest sum of
+    both error rates; ties go to the edge nearest 0. Bins end at +-100, so the histogram has a bounded
+    size. Where no address of one verdict is held back there is nothing to weigh, and the threshold is 0.
     """
-    bins = (
-        scored.where("held_back AND good + bad > 0")
-        .groupBy(F.least(F.greatest(F.floor(F.col("score") / BIN), F.lit(-10_000)), F.lit(10_000)).alias("bin"))
-        .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    )
-    best = bins.selectExpr(
+    clipped = F.least(F.greatest(F.floor(F.col("score") / BIN), F.lit(-10_000)), F.lit(10_000))
+    bins = scored.where("held_good + held_bad > 0").groupBy(clipped.alias("bin")).agg(F.sum("held_good").alias("good"), F.sum("held_bad").alias("bad"))
+    edges = bins.agg(F.explode(F.array(F.max("bin") + 1, F.lit(0).cast("bigint"))).alias("bin"))
+    candidates = bins.unionByName(edges.selectExpr("bin", "0L AS good", "0L AS bad")).groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    losses = candidates.selectExpr(
         "bin",
-        """coalesce((sum(good) OVER (ORDER BY bin) - good) / nullif(sum(good) OVER (), 0), 0D)
-         + coalesce((sum(bad) OVER (ORDER BY bin DESC)) / nullif(sum(bad) OVER (), 0), 0D) AS loss""",
+        "(sum(good) OVER (ORDER BY bin) - good) / nullif(sum(good) OVER (), 0) AS lost_good",
+        "sum(bad) OVER (ORDER BY bin DESC) / nullif(sum(bad) OVER (), 0) AS kept_bad",
     )
-    row = best.orderBy(F.round("loss", 9), F.abs("bin"), "bin").limit(1).first()
+    best = losses.where("lost_good IS NOT NULL AND kept_bad IS NOT NULL").orderBy(F.round(F.expr("lost_good + kept_bad"), 9), F.abs("bin"), "bin")
+    row = best.limit(1).first()
     return int(row["bin"]) * BIN if row else 0
 
 
-def address_scores(judged: DataFrame, order: int = ORDER) -> tuple[DataFrame, int]:
-    """``(address, score)`` of each different address, and the threshold; both in millionths.
+def held_back(judged: DataFrame) -> Column:
+    """True for three sixteenths of the addresses, by hash, kept out of training to set the threshold.
 
-    Three sixteenths of the addresses, by a hash, are held back from training to set the threshold.
+    If these hold none of a verdict that has several addresses, the one with the smallest hash is held back.
     """
-    addresses = written(
-        judged.groupBy("address")
-        .agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
-        .withColumn("held_back", F.substring(F.md5("address"), 1, 1).isin("0", "1", "2")),
-        "addresses",
-    )
-    learned = F.when(F.col("held_back"), 0).otherwise(1)
-    exploded = addresses.select(
-        (F.col("good") * learned).alias("good"), (F.col("bad") * learned).alias("bad"), F.explode(windows(F.col("address"), order)).alias("gram")
+    digest = F.md5("address")
+    some = F.substring(digest, 1, 1).isin("0", "1", "2")
+    verdicts = judged.where("ruled IS NOT NULL").groupBy("ruled").agg(F.count_if(some).alias("n"), F.min(digest).alias("least"), F.max(digest).alias("most"))
+    # Two rows at most, one for each verdict.
+    forced = [r["least"] for r in verdicts.collect() if r["n"] == 0 and r["least"] != r["most"]]
+    return some | digest.isin(forced) if forced else some
+
+
+def shape_scores(judged: DataFrame, order: int = ORDER) -> tuple[DataFrame, int]:
+    """``(shape, score)`` of each different shape of addresses, and the threshold; both in millionths."""
+    held, allowed, blocked = held_back(judged), F.col("ruled") == "allow", F.col("ruled") == "block"
+    shapes = written(
+        judged.groupBy("shape").agg(
+            F.count_if(allowed & ~held).alias("good"),
+            F.count_if(blocked & ~held).alias("bad"),
+            F.count_if(allowed & held).alias("held_good"),
+            F.count_if(blocked & held).alias("held_bad"),
+        ),
+        "address-shapes",
     )
+    exploded = shapes.select("good", "bad", F.explode(windows(F.col("shape"), order)).alias("gram"))
     grams = written(exploded.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "address-grams")
     ratio = F.round((F.log("p_good") - F.log("p_bad")) * UNIT).cast("bigint")
     model = smoothed(grams, order).select("gram", ratio.alias("ratio"))
-    each = addresses.select("address", F.explode(windows(F.col("address"), order)).alias("gram")).join(model, "gram")
-    sums = each.groupBy("address").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n"))
+    each = shapes.select("shape", F.explode(windows(F.col("shape"), order)).alias("gram")).join(model, "gram")
+    sums = each.groupBy("shape").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n"))
     mean = F.floor(F.col("total") / F.col("n"))
-    scored = written(addresses.join(sums, "address").select("address", "good", "bad", "held_back", mean.alias("score")), "address-scores")
-    return scored.select("address", "score"), calibrated_threshold(scored)
+    scored = written(shapes.join(sums, "shape").select("shape", "held_good", "held_bad", mean.alias("score")), "address-scores")
+    return scored.select("shape", "score"), calibrated_threshold(scored)
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], order: int = ORDER) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)`` for every page.
 
     ``score`` is the difference of log-likelihoods per character above the threshold, in
-    millionths; at 0 or more the models allow. A missing address has empty host and path
-    and is judged by the models like any other. Repeated pages are each judged.
+    millionths; at 0 or more the models allow. An address without ``://`` has empty host and path
+    and is judged by the models by its own characters, a missing one like an empty one. With no rule that
+    fits any address all are allowed. Repeated pages are each judged.
     """
     judged = judged_by_rule(pages, rules)
-    scores, threshold = address_scores(judged, order)
+    scores, threshold = shape_scores(judged, order)
     above = F.col("score") - threshold
-    return judged.join(scores, "address").select(
+    return judged.join(scores, "shape").select(
         "page_id",
         "host",
         "path",

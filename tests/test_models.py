@@ -150,3 +150,40 @@ def test_search_is_seeded(direction):
     out = SE.search(train, test, SE.draw(1, trials=2, iterations=(2, 3), depths=(2, 2), min_rows=(1, 1), patience_share=0.0))
     best = [r["accuracy"] for r in out.collect()]
     assert best == sorted(best, reverse=True)
+
+
+def test_search_drops_trials_and_keeps_the_best(spark, direction):
+    """Few trials over small ranges: budgets grow, the last trial stops by itself, ranks follow accuracy."""
+    settings = SE.draw(3, trials=8, iterations=(20, 40), depths=(2, 3), patience=5)
+    out = SE.search_each(direction, supplied.TICKERS[:2] + ["ABSENT"], settings, Q.SPLIT, first_rounds=4)
+    rows = out.orderBy("ticker", "rank").collect()
+    assert [(r["ticker"], r["rank"]) for r in rows] == [(t, k) for t in supplied.TICKERS[:2] for k in range(1, 9)]
+    for ticker in supplied.TICKERS[:2]:
+        mine = [r for r in rows if r["ticker"] == ticker]
+        assert [r["accuracy"] for r in mine] == sorted((r["accuracy"] for r in mine), reverse=True)
+        assert sorted(r["trial"] for r in mine) == list(range(8))
+        assert {(r["trial"], r["iterations"], r["depth"], r["min_rows"]) for r in mine} == {(n, s.iterations, s.depth, s.min_rows) for n, s in enumerate(settings)}
+        tried = sorted(r["tried"] for r in mine)
+        assert tried[:7] == [4] * 7 and tried[-1] >= 16
+        assert all(1 <= r["rounds"] <= r["tried"] <= r["iterations"] for r in mine)
+    assert {r["rank"] for r in SE.best_settings(out).collect()} == {1}
+
+
+def test_the_first_rounds_of_a_model_are_a_fit_of_so_many(direction):
+    train, test = split_at(direction.where(F.col("ticker") == supplied.TICKERS[0]), Q.SPLIT)
+    shape = dict(depth=3, rate=0.1)
+    long, short = (TR.fit(train, "target_direction", TR.DIRECTION_FEATURES, TR.BoostedTrees(iterations=n, **shape)) for n in (12, 5))
+    cut = TR.truncated(long, 5)
+    assert cut.stages[-1].getNumTrees == 5 and TR.truncated(long, 12) is long
+    found, wanted = (m.transform(test).select("probability", "prediction").collect() for m in (cut, short))
+    assert found == wanted
+    assert cut.stages[-1].featureImportances == short.stages[-1].featureImportances
+
+
+def test_models_are_fitted_again_when_tables_change(spark, small, tmp_path):
+    for name in ("lineitem", "orders", "customer", "supplier"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = supplied.state(spark, str(tmp_path))
+    assert supplied.state(spark, str(tmp_path)) == before
+    spark.read.parquet(f"{small}/orders.parquet").limit(10).write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    assert supplied.state(spark, str(tmp_path)) != before

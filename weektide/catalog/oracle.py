@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weektide import constants as K
+from weektide.models.search import draw
 
 ORACLE: dict[str, str] = {}
 
@@ -756,8 +757,10 @@ te AS ({TOP.format(IN_LATEST)}), tp AS ({TOP_PLACES}), rows AS (
   UNION ALL SELECT ticker, week, 'check', name, 1.0 FROM tickers CROSS JOIN (VALUES {CHECKS}) c(name))
 SELECT ticker AS actif, CAST(week AS VARCHAR) AS week, part, entry, value FROM rows"""
 
-ORACLE["parameter_search"] = """SELECT DISTINCT CAST(c_mktsegment AS VARCHAR) AS ticker, CAST(UNNEST([0, 1]) AS INTEGER) AS trial,
-  TRUE AS is_share FROM customer"""
+SETTINGS = ", ".join(f"({n}, {x.iterations}, {x.depth}, {x.rate!r}::DOUBLE, {x.min_rows})" for n, x in enumerate(draw(42)))
+ORACLE["parameter_search"] = f"""SELECT ticker, trial, iterations, depth, {r('rate')}, min_rows, TRUE AS is_share, TRUE AS in_order, TRUE AS is_fitted
+FROM (SELECT DISTINCT CAST(c_mktsegment AS VARCHAR) AS ticker FROM customer),
+  (VALUES {SETTINGS}) AS settings(trial, iterations, depth, rate, min_rows)"""
 
 # --- streaming: the batch result over the same rows ------------------------------------
 

@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """The folder and the size and age of the tables the models are fitted on; it changes when they are rewritten."""
+    out = [sf_dir]
+    for name in ("lineitem", "orders", "customer", "supplier"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        out.append((sum(f.getLen() for f in files), max(f.getModificationTime() for f in files)))
+    return tuple(out)
+
+
 def country_code(nation: Column) -> Column:
     """Actor code of a nation key: the major countries, one unknown, the rest made up."""
     known = F.try_element_at(F.array(*[F.lit(code) for code in MAJOR_CODES]), nation + 1)

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,26 +91,49 @@ def fit_best(rows: DataFrame, label: str, features: list[str], settings: Boosted
     """Boosted trees up to the round with the smallest loss on the rows marked ``is_validation``.
 
     Rounds are fitted until ``patience`` of them follow the best one, twice as many at each
-    attempt. Boosting without sampling repeats its first rounds exactly, so the model of the
-    best round is fitted again by itself.
+    attempt. The best round is then cut out of the fitted ensemble and not fitted again.
     """
     learn, check = rows.where("NOT is_validation"), rows.where("is_validation")
-
-    def fitted(n: int) -> PipelineModel:
-        return Pipeline(stages=[assembler(features), boosted(settings, label, n)]).fit(learn)
-
     if check.isEmpty():
         return Pipeline(stages=[assembler(features), boosted(settings, label)]).fit(rows)
     n = min(settings.iterations, 2 * settings.patience)
     while True:
-        model = fitted(n)
-        losses = validation_losses(model, check)
-        best = losses.index(min(losses)) + 1
-        if n == settings.iterations or best + settings.patience <= n:
-            return model if best == n else fitted(best)
+        model = Pipeline(stages=[assembler(features), boosted(settings, label, n)]).fit(learn)
+        best, _, enough = best_round(model, check, settings)
+        if enough:
+            return truncated(model, best)
         n = min(settings.iterations, 2 * n)
 
 
+def best_round(model: PipelineModel, check: DataFrame, settings: BoostedTrees) -> tuple[int, float, bool]:
+    """Round with the smallest loss, that loss, and whether the settings allow no round that could be better."""
+    losses = validation_losses(model, check)
+    best = losses.index(min(losses)) + 1
+    return best, losses[best - 1], len(losses) >= settings.iterations or best + settings.patience <= len(losses)
+
+
+def truncated(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The model of the first ``rounds`` rounds.
+
+    Boosting without sampling repeats its first rounds exactly, so this is the model that a fit of
+    so many rounds would give.
+    """
+    trees = model.stages[-1]
+    if rounds >= trees.getNumTrees:
+        return model
+    java, context = trees._java_obj, SparkContext.getOrCreate()
+    jvm, gateway = context._jvm, context._gateway
+    kept = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(jvm.double, rounds)
+    whole, of_whole = java.trees(), java.treeWeights()
+    for number in range(rounds):
+        kept[number], weights[number] = whole[number], of_whole[number]
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), kept, weights, java.numFeatures(), java.numClasses())
+    for name in ("labelCol", "featuresCol", "weightCol"):
+        cut.set(cut.getParam(name), trees.getOrDefault(name))
+    return PipelineModel([*model.stages[:-1], GBTClassificationModel(cut)])
+
+
 def validation_losses(model: PipelineModel, check: DataFrame) -> list[float]:
     """Loss after each round."""
     return list(model.stages[-1].evaluateEachIteration(model.stages[0].transform(check)))

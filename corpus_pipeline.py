@@ -11,15 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weektide.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
+from weektide.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 from weektide.llm.common import table, written
 from weektide.llm.queries import VOCABULARY
 
 TOXIC = 0.5
 LINE_DOCS = 10
-# Near copies: Jaccard similarity of five-word shingles, in hundredths.
-SHINGLE_WORDS = 5
-SIMILARITY = 80
+# Near copies: fingerprints of 64 bits over four-word shingles, at most so many bits apart.
+SHINGLE_WORDS = 4
+DISTANCE = 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
-    return near_copies.keep_first(docs, SHINGLE_WORDS, SIMILARITY)
+    """Of each group of near copies, by their fingerprints, the document with the smallest id."""
+    return simhash.keep_first(docs, SHINGLE_WORDS, DISTANCE)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

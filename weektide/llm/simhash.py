@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int, words: int = 1)
     return rows.drop("first").join(groups, "fingerprint")
 
 
-def keep_first(docs: DataFrame, shingle: int, radius: int, words: int) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int, radius: int, words: int = 1) -> DataFrame:
     """One row of each near-duplicate group, with all columns of ``docs``; of repeated rows one stays."""
     found = near_duplicates(docs, shingle, radius, words)
     key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")

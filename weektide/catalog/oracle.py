@@ -500,6 +500,31 @@ GROUP BY ship_date HAVING bad_rows > 0"""
 ORACLE["live_two_phase"] = f"""WITH {EVENTS}, {GOOD_DAYS}, {day_sql('good', 3)}
 SELECT week, nb_events, {r('avg_tone', 'tension_score')}, mat_conf_mentions FROM live"""
 
+THIRTY = f"""thirty AS (SELECT * FROM ev WHERE ship_date BETWEEN {LAST_DROP} - 29 AND {LAST_DROP}),
+sound AS (SELECT * FROM thirty WHERE ship_date NOT IN (SELECT ship_date FROM thirty WHERE {BAD_ROW}))"""
+NINETY = f"ninety AS (SELECT * FROM lines WHERE ship_date BETWEEN {LAST_DROP} - 89 AND {LAST_DROP})"
+ORACLE["malformed_lines"] = f"""WITH {LINES}, {NINETY}
+SELECT ship_date AS ingest_date, CAST(COUNT(*) AS BIGINT) AS landed, COUNT(*) FILTER (WHERE l_linenumber = 7) AS malformed
+FROM ninety GROUP BY ship_date"""
+ORACLE["skipped_files"] = f"""WITH {LINES}, {NINETY}
+SELECT 'text' AS kind, ship_date AS ingest_date, 'malformed lines' AS reason, COUNT(*) AS rows FROM ninety WHERE l_linenumber = 7 GROUP BY ship_date
+UNION ALL SELECT DISTINCT 'parquet', ship_date, 'unreadable', 0 FROM ninety WHERE DAY(ship_date) % 10 = 0"""
+ORACLE["loaded_events"] = f"""WITH {EVENTS}
+SELECT strftime(ship_date, '%Y%m%d') AS "SQLDATE", code AS "EventCode", COUNT(*) AS rows, COUNT(actor1) AS actors, CAST(SUM(mentions) AS BIGINT) AS mentions,
+  {r('SUM(goldstein)').replace('AS SUM(goldstein)', 'AS goldstein')} FROM ev GROUP BY ALL"""
+ORACLE["ledger_live"] = f"""WITH {EVENTS}, {THIRTY}, {day_sql('sound', 4)}
+SELECT week, nb_events, {r('avg_tone', 'tension_score')}, mat_conf_mentions FROM live"""
+ORACLE["ledger_radar"] = f"""WITH {EVENTS}, {THIRTY}, {radar_sql('sound')}
+SELECT {RADAR_SHOWN} FROM candidates ORDER BY {radar_order(K.RADAR_COLUMNS)} LIMIT 50"""
+ORACLE["ledger_counts"] = f"""WITH {EVENTS}, {THIRTY}, {radar_sql('sound')}
+SELECT (SELECT COUNT(DISTINCT ship_date) FROM sound) AS days,
+  (SELECT COUNT(DISTINCT ship_date) FROM thirty) - (SELECT COUNT(DISTINCT ship_date) FROM sound) AS skipped_days,
+  COUNT(*) AS total_events_filtered, LEAST(COUNT(*), 50) AS events_returned FROM candidates"""
+ORACLE["ledger_reads"] = f"""WITH {EVENTS}, {THIRTY}
+SELECT CAST(1 AS INTEGER) AS update, ship_date AS ingest_date FROM ev WHERE ship_date BETWEEN {LAST_DROP} - 30 AND {LAST_DROP} - 1
+  AND ship_date > {LAST_DROP} - 30 GROUP BY ship_date
+UNION ALL SELECT 2, {LAST_DROP}"""
+
 ORACLE["latest_three"] = f"""WITH {EVENTS}, {RECENT}, {day_sql('recent', 4)},
 ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY week DESC) AS age FROM live),
 pivoted AS (SELECT {', '.join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,12 +22,14 @@ from weektide.models.features import aligned, class_weights
 from weektide.models.search import draw, search_each
 from weektide.operators import clean, latest, market, panel, quality, radar, weekly
 from weektide.plans.evaluate import evaluation, hold_out_predictions
+from weektide.plans.ledger import counts_from_ledger, live_from_ledger, radar_from_ledger, update_ledger, write_days
 from weektide.plans.refresh import crisis_refresh, direction_refresh, live_panel, newest_drop
 from weektide.plans.reports import crisis_report, direction_report
 from weektide.plans.training import crisis_training_panel, direction_training_panel
-from weektide.schemas import CRISIS_SNAPSHOT_SCHEMA, RADAR_SCHEMA
+from weektide.schemas import CRISIS_SNAPSHOT_SCHEMA, LANDED_SCHEMA, RADAR_SCHEMA
 from weektide.session import work_folder
-from weektide.sources.events import recent_days, stack
+from weektide.sources import quarantine
+from weektide.sources.events import load_events, recent_days, stack
 from weektide.sources.lookups import quad_label, read_country_lookup, read_event_lookup, root_description
 from weektide.sources.prices import daily_prices
 from weektide.sources.tables import read_documents, stored, write_documents, write_table
@@ -451,8 +454,8 @@ def drop_day_week(spark, sf_dir):
 @query
 def live_two_phase(spark, sf_dir):
     """Both phases over the drops of all good days, with the mean of daily means."""
-    drops = clean.clean_drops(S.dirty_drops(spark, sf_dir))
-    return rounded(weekly.live_features(weekly.drop_features(drops, material_class=3)))
+    days = weekly.marked_drop_features(clean.marked_drops(S.dirty_drops(spark, sf_dir)), material_class=3)
+    return rounded(weekly.live_features(weekly.sound_features(days)))
 
 
 @query
@@ -461,6 +464,121 @@ def skipped_days(spark, sf_dir):
     return clean.skipped_days(S.dirty_drops(spark, sf_dir))
 
 
+def _landed_text(spark, sf_dir):
+    """The last ninety drops landed as tab-separated files; every seventh line of an order is cut off after its code."""
+    root = work_folder(spark, "landed-text")
+    newest = S.line_events(spark, sf_dir).agg(F.max("ingest_date")).first()[0]
+    names = LANDED_SCHEMA.names[:-1]
+    drops = recent_days(S.daily_drops(spark, sf_dir), newest, K.LIVE_EVENT_DAYS).withColumn("SQLDATE", F.date_format("SQLDATE", "yyyyMMdd"))
+    whole = F.concat_ws("\t", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
+    cut = F.concat_ws("\t", "SQLDATE", F.coalesce("Actor1Name", F.lit("")), "EventCode")
+    lines = drops.select("ingest_date", F.when(F.col("l_linenumber") == 7, cut).otherwise(whole).alias("line"))
+    lines.hint("rebalance", "ingest_date").write.partitionBy("ingest_date").text(root)
+    return root, newest
+
+
+@query
+def malformed_lines(spark, sf_dir):
+    """Lines of landed text files that fit the schema and that do not, for each day."""
+    root, newest = _landed_text(spark, sf_dir)
+    reads = quarantine.file_reads(spark, root, newest, K.LIVE_EVENT_DAYS)
+    return reads.groupBy("ingest_date").agg(F.sum("rows").alias("landed"), F.sum("malformed").alias("malformed"))
+
+
+@query
+def skipped_files(spark, sf_dir):
+    """Landed files that could not be read whole, by day and reason, and the rows they lost.
+
+    Text files hold cut lines. Beside the table's own Parquet files every tenth day has one that is no Parquet.
+    """
+    root, newest = _landed_text(spark, sf_dir)
+    text = quarantine.skipped_files(quarantine.file_reads(spark, root, newest, K.LIVE_EVENT_DAYS))
+    folder = work_folder(spark, "landed-parquet")
+    drops = recent_days(S.daily_drops(spark, sf_dir), newest, K.LIVE_EVENT_DAYS).select("ingest_date", "EventCode")
+    drops.hint("rebalance", "ingest_date").write.partitionBy("ingest_date").parquet(folder)
+    days = drops.select("ingest_date").distinct().where(F.dayofmonth("ingest_date") % 10 == 0)
+    torn = days.select("ingest_date", F.lit("no parquet").alias("value")).repartition("ingest_date")
+    torn.write.mode("append").partitionBy("ingest_date").text(folder)
+    schema = T.StructType([T.StructField("EventCode", T.StringType()), T.StructField("ingest_date", T.DateType())])
+    other = quarantine.skipped_files(quarantine.file_reads(spark, folder, newest, K.LIVE_EVENT_DAYS, "parquet", schema))
+    both = text.withColumn("kind", F.lit("text")).unionByName(other.withColumn("kind", F.lit("parquet")))
+    return both.groupBy("kind", "ingest_date", "reason").agg(F.sum("rows").alias("rows"))
+
+
+@query
+def loaded_events(spark, sf_dir):
+    """History files as text with a header, loaded with the check of the required columns, as they are."""
+    path = work_folder(spark, "history-files")
+    events = S.world_events(spark, sf_dir).withColumn("SQLDATE", F.date_format("SQLDATE", "yyyyMMdd"))
+    events = events.withColumns({n: F.lit(None).cast("string") for n in K.REQUIRED_EVENT_COLUMNS if n not in events.columns})
+    late = F.col("SQLDATE") >= "19950101"
+    for number, part in enumerate((events.where(~late), events.where(late))):
+        columns = K.REQUIRED_EVENT_COLUMNS if number else K.REQUIRED_EVENT_COLUMNS[::-1]
+        part.select(columns).write.option("header", True).csv(f"{path}/{number}")
+    loaded = load_events(spark, [f"{path}/0", f"{path}/1"])
+    return rounded(
+        loaded.groupBy("SQLDATE", "EventCode").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count("Actor1CountryCode").alias("actors"),
+            F.sum(F.col("NumMentions").cast("bigint")).alias("mentions"),
+            F.sum(F.col("GoldsteinScale").cast("double")).alias("goldstein"),
+        )
+    )
+
+
+LEDGER_DAYS = 30
+# What several queries share, by kind and state of the tables: stored models, searches and ledgers.
+_MODELS: dict[tuple, object] = {}
+
+
+def _ledger(spark, sf_dir):
+    """A ledger of thirty days, brought up to the day before the newest drop and then to that drop.
+
+    Kept for a state of the tables, with the days that each update read and the newest day.
+    """
+    key = (spark.sparkContext.applicationId, *S.state(spark, sf_dir), "ledger")
+    if key not in _MODELS:
+        root, ledger = work_folder(spark, "landed-days"), work_folder(spark, "ledger")
+        drops = S.dirty_drops(spark, sf_dir)
+        newest = S.line_events(spark, sf_dir).agg(F.max("ingest_date")).first()[0]
+        recent = recent_days(drops, newest, LEDGER_DAYS)
+        reads = []
+        for as_of, landing in ((newest - dt.timedelta(days=1), F.col("ingest_date") < newest), (newest, F.col("ingest_date") == newest)):
+            write_days(recent.where(landing), root)
+            landed = spark.read.schema(drops.schema).parquet(root)
+            reads.append(update_ledger(spark, lambda days: landed.where(F.col("ingest_date").isin(days)), root, ledger, as_of, LEDGER_DAYS))
+        _MODELS[key] = (ledger, newest, reads)
+    return _MODELS[key]
+
+
+@query
+def ledger_live(spark, sf_dir):
+    """Live features of the last thirty drops, added up from the ledger."""
+    ledger, newest, _ = _ledger(spark, sf_dir)
+    return rounded(live_from_ledger(spark, ledger, newest, LEDGER_DAYS))
+
+
+@query
+def ledger_radar(spark, sf_dir):
+    """Radar of the last thirty drops from the tops of their days."""
+    ledger, newest, _ = _ledger(spark, sf_dir)
+    return radar_from_ledger(spark, ledger, newest, LEDGER_DAYS)
+
+
+@query
+def ledger_counts(spark, sf_dir):
+    ledger, newest, _ = _ledger(spark, sf_dir)
+    return counts_from_ledger(spark, ledger, newest, LEDGER_DAYS)
+
+
+@query
+def ledger_reads(spark, sf_dir):
+    """Days whose events each of the two updates read: all of the look-back, then the new one alone."""
+    _, _, reads = _ledger(spark, sf_dir)
+    rows = [(number, day) for number, days in enumerate(reads, 1) for day in days]
+    return spark.createDataFrame(rows, "update int, ingest_date date")
+
+
 @query
 def latest_three(spark, sf_dir):
     """Three newest weeks of the last seven drops, side by side."""
@@ -647,7 +765,7 @@ def _snapshot(spark, sf_dir):
 @query
 def radar_top50(spark, sf_dir):
     """Riskiest linked events of the tracked regions in the log of all good days."""
-    return radar.top_radar(radar.radar_candidates(clean.clean_drops(S.dirty_drops(spark, sf_dir))))
+    return radar.top_of_days(radar.day_tops(clean.marked_drops(S.dirty_drops(spark, sf_dir))))
 
 
 @query
@@ -796,7 +914,6 @@ SPLIT = "2000-06-01"
 # Stand-in assets that are served by forests.
 FORESTS = ["FURNITURE", "HOUSEHOLD"]
 
-_MODELS: dict[tuple, str] = {}
 
 
 def _fitted(spark, sf_dir, kind, panel_of, fit_one):

@@ -74,6 +74,19 @@ def clean_drops(df: DataFrame) -> DataFrame:
     return coerce_numbers(with_week(df), ["GoldsteinScale", "NumMentions", "AvgTone"], whole=["NumMentions"], fill=0)
 
 
+def marked_drops(df: DataFrame) -> DataFrame:
+    """Daily drops with ``bad_date`` beside the rows: numbers coerced, no row left out.
+
+    Where the mark rides along in a per-day aggregate or rank, bad days are left out after it and the
+    drops are read once. Rows without a week have no date and count for nothing else.
+    """
+    bad = has_bad_date(df)
+    day = F.col("SQLDATE") if bad is None else parse_day(F.col("SQLDATE"))
+    marked = df.withColumns({"bad_date": F.lit(False) if bad is None else bad, "SQLDATE": day})
+    marked = marked.withColumns({"year": F.year("SQLDATE"), "week": monday_of(F.col("SQLDATE"))})
+    return coerce_numbers(marked, ["GoldsteinScale", "NumMentions", "AvgTone"], whole=["NumMentions"], fill=0)
+
+
 def trim_codes(df: DataFrame, columns: list[str] = CODE_COLUMNS) -> DataFrame:
     present = [name for name in columns if name in df.columns]
     return df.withColumns({name: F.trim(name) for name in present}) if present else df

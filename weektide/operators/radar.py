@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,27 @@ def top_radar(candidates: DataFrame, rows: int = RADAR_ROWS) -> DataFrame:
     return candidates.select(*columns).orderBy(*risk_order(columns)).limit(rows)
 
 
+def day_tops(marked: DataFrame, regions: list[str] = RADAR_REGIONS, rows: int = RADAR_ROWS) -> DataFrame:
+    """The top ``rows`` candidates of each ingest day, and with them whether the day holds a bad date.
+
+    ``marked`` comes from ``marked_drops``. Rows with a bad date rank before all others, so the first row of a bad day
+    tells, and each task hands on ``rows`` rows of a day at most.
+    """
+    scored = with_risk(marked).withColumn("is_candidate", in_regions(regions) & F.col("week").isNotNull())
+    if "SOURCEURL" in scored.columns:
+        scored = scored.withColumn("is_candidate", F.col("is_candidate") & F.col("SOURCEURL").isNotNull())
+    columns = shown(scored)
+    kept = scored.where("bad_date OR is_candidate").select("ingest_date", "bad_date", *columns)
+    ranked = F.row_number().over(W.partitionBy("ingest_date").orderBy(F.col("bad_date").desc(), *risk_order(columns)))
+    top = kept.withColumn("place", ranked).where(F.col("place") <= rows)
+    return top.withColumn("bad_day", F.max("bad_date").over(W.partitionBy("ingest_date"))).drop("place", "bad_date")
+
+
+def top_of_days(tops: DataFrame, rows: int = RADAR_ROWS) -> DataFrame:
+    """Top of the days without a bad date, from the tops of the days."""
+    return top_radar(tops.where("NOT bad_day"), rows)
+
+
 def focus(radar: DataFrame, rows: int = FOCUS_ROWS) -> DataFrame:
     """Top of the radar by the numeric score."""
     return radar.orderBy(*risk_order(radar.columns)).limit(rows)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weektide.constants import QUAD_LABELS
@@ -151,12 +152,32 @@ def weekly_features_lite(events: DataFrame) -> DataFrame:
 
 def drop_features(drops: DataFrame, material_class: int = 4) -> DataFrame:
     """Features per ingest day and week; 3 as ``material_class`` repeats the old live snapshot."""
-    return drops.groupBy("ingest_date", "week").agg(
+    return drops.groupBy("ingest_date", "week").agg(*drop_measures(material_class))
+
+
+def drop_measures(material_class: int) -> list[Column]:
+    return [
         F.count("EventCode").alias("nb_events"),
         F.avg("AvgTone").alias("avg_tone"),
         total(negative_intensity()).alias("tension_score"),
         total_if(flags.is_class_text(material_class), F.col(MENTIONS)).alias("mat_conf_mentions"),
-    )
+    ]
+
+
+def marked_drop_features(marked: DataFrame, material_class: int = 4) -> DataFrame:
+    """``drop_features`` with ``bad_rows`` of each ingest day, bad days and rows without a date included.
+
+    ``marked`` comes from ``marked_drops``. The events are aggregated in one pass; what is left to compare within a day
+    is one row for each of its weeks.
+    """
+    grouped = marked.groupBy("ingest_date", "week").agg(*drop_measures(material_class), F.count_if("bad_date").alias("bad"), F.count(F.lit(1)).alias("rows"))
+    day = W.partitionBy("ingest_date")
+    return grouped.withColumns({"bad_rows": F.sum("bad").over(day), "day_rows": F.sum("rows").over(day)}).drop("bad", "rows")
+
+
+def sound_features(day_features: DataFrame) -> DataFrame:
+    """The day features of days without a bad date."""
+    return day_features.where("bad_rows = 0 AND week IS NOT NULL").drop("bad_rows", "day_rows")
 
 
 def live_features(day_features: DataFrame) -> DataFrame:

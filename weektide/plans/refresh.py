@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weektide.constants import LIVE_EVENT_DAYS, RADAR_DAYS, VIX_TICKER
-from weektide.operators.clean import clean_drops, decode_live, with_week
+from weektide.operators.clean import clean_drops, decode_live, marked_drops, with_week
 from weektide.operators.latest import crisis_snapshot, cube_as_events, event_cube, latest_week, three_weeks
 from weektide.operators.market import market_panel
 from weektide.operators.panel import add_temporal_features, join_live
 from weektide.operators.radar import days_period, radar_candidates, radar_document
-from weektide.operators.weekly import drop_features, finish_weekly, live_features, merge_partials
+from weektide.operators.weekly import finish_weekly, live_features, marked_drop_features, merge_partials, sound_features
 from weektide.sources.events import recent_days
 from weektide.sources.prices import recent_prices, require_rows
 from weektide.sources.tables import write_documents
@@ -49,8 +49,8 @@ def crisis_refresh(
 
 def direction_refresh(drops: DataFrame, as_of: Column, days: int = RADAR_DAYS, material_class: int = 4) -> DataFrame:
     """Three-week snapshot from the last ``days`` drops."""
-    recent = clean_drops(recent_days(drops, as_of, days))
-    return three_weeks(live_features(drop_features(recent, material_class)))
+    marked = marked_drops(recent_days(drops, as_of, days))
+    return three_weeks(live_features(sound_features(marked_drop_features(marked, material_class))))
 
 
 def radar_refresh(drops: DataFrame, as_of: Column, days: int = RADAR_DAYS) -> DataFrame:

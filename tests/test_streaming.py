@@ -71,3 +71,56 @@ def test_snapshots_equal_batch(spark, activity, folder, tmp_path):
     places = ST.current_top_conflict_places(spark, out).collect()
     assert places == latest.top_conflict_places(newest).collect()
     assert ST.current_radar(spark, out).collect() == radar.top_radar(radar.radar_candidates(newest)).collect()
+
+
+def test_late_rows_are_counted_over_restarts(spark, activity, tmp_path):
+    """Every row of a closed week counts, the newest day is remembered, a batch run again changes nothing."""
+    folder, out, state = (str(tmp_path / n) for n in ("landed", "arrivals", "state"))
+    land = lambda rows: rows.repartition(3).write.mode("append").parquet(folder)
+    count = lambda where=state: ST.count_arrivals(landed(spark, folder, 3), out, where, 1).awaitTermination()
+    land(activity.where("ts >= '2024-01-20'"))
+    count()
+    assert ST.late_rows(spark, out).count() == 0
+    late = activity.where("ts < '2024-01-08'")
+    land(late)
+    count()
+    assert {(r["batch_id"], r["rows"]) for r in ST.late_rows(spark, out).groupBy("batch_id").agg(F.sum("rows").alias("rows")).collect()} == {(1, late.count())}
+    before = sorted(map(tuple, ST.late_rows(spark, out).collect()))
+    count(str(tmp_path / "another"))
+    assert sorted(map(tuple, ST.late_rows(spark, out).collect())) == before
+    land(activity.orderBy(F.col("ts").desc()).limit(5))
+    count()
+    assert sorted(map(tuple, ST.late_rows(spark, out).collect())) == before
+
+
+def test_there_are_as_many_folders_as_weeks(spark, activity, folder, tmp_path):
+    out = tmp_path / "weeks"
+    ST.upsert_open_weeks(ST.weekly_stream(landed(spark, folder), "365 days"), str(out), str(tmp_path / "state")).awaitTermination()
+    weeks = activity.selectExpr("trunc(ts, 'week') AS week").distinct().count()
+    assert len([p for p in out.iterdir() if p.name.startswith("week=")]) == weeks
+
+
+def test_merged_parts_give_the_same_and_old_ones_stay_until_cleared(spark, activity, folder, tmp_path, monkeypatch):
+    out, state = str(tmp_path / "parts"), str(tmp_path / "state")
+    run = lambda: ST.refresh_snapshots(landed(spark, folder), out, state).awaitTermination()
+    shown = lambda: (ST.current_top_events(spark, out).collect(), ST.current_top_conflict_places(spark, out).collect(), ST.current_radar(spark, out).collect())
+    run()
+    before = shown()
+    reader = ST._parts(spark, out, "mentions")
+    sums = reader.agg(F.sum("mentions")).first()
+    assert ST.compact_snapshots(spark, out) == 1 and ST.compact_snapshots(spark, out) == 1
+    assert shown() == before and reader.agg(F.sum("mentions")).first() == sums
+    assert len(list((tmp_path / "parts" / "mentions" / "state=1").glob("week=*"))) == activity.selectExpr("trunc(ts, 'week') AS week").distinct().count()
+    ST.clear_merged(spark, out)
+    assert shown() == before
+    assert [p.name for p in (tmp_path / "parts" / "mentions").iterdir()] == ["state=1"]
+    activity.limit(20).write.mode("append").parquet(folder)
+    run()
+    newer = shown()
+    # A merge that fails before its manifest leaves the state as it is.
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1).write), "json", lambda *_: (_ for _ in ()).throw(OSError("no space")))
+        with pytest.raises(OSError):
+            ST.compact_snapshots(spark, out)
+    assert shown() == newer
+    assert ST.compact_snapshots(spark, out) == 2 and shown() == newer

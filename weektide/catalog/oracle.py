@@ -806,6 +806,11 @@ ORACLE["stream_closed_weeks"] = f"""WITH {ACTIVITY}
 SELECT week, COUNT(*) AS nb_events, CAST(SUM(mentions) AS BIGINT) AS total_mentions FROM ev
 WHERE week + 7 <= (SELECT MAX(day) FROM ev) - 3 GROUP BY week"""
 
+ORACLE["stream_late_dropped"] = f"""WITH {ACTIVITY}, span AS (SELECT MIN(day) AS first, MAX(day) AS last FROM ev),
+quarters AS (SELECT *, CAST(FLOOR((day - first) * 4 / (last - first + 1)) AS INTEGER) AS quarter FROM ev, span)
+SELECT week, CAST(COUNT(*) AS BIGINT) AS late_rows FROM quarters
+WHERE quarter = 0 AND week + 7 <= (SELECT MAX(day) FROM quarters WHERE quarter IN (1, 2)) - 3 GROUP BY week"""
+
 NEWEST_ACTIVITY = "WHERE week = (SELECT MAX(week) FROM ev)"
 ORACLE["stream_top_events"] = f"""WITH {ACTIVITY}
 SELECT code AS "EventDescriptionFinal", CAST(SUM(mentions) AS BIGINT) AS mentions FROM ev {NEWEST_ACTIVITY} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""

@@ -1128,16 +1128,24 @@ def parameter_search_ranking(spark, sf_dir):
 # --- streaming -------------------------------------------------------------------------
 
 
-def _landed(spark, sf_dir):
-    """The activity log, landed quarter after quarter and read in a micro-batch for each."""
+# Files that land in each quarter, written and read in parallel.
+LANDED_FILES = 8
+
+
+def _land(spark, sf_dir, quarters):
+    """The activity log landed in quarters of its days, in the order given; each quarter is one micro-batch."""
     path = work_folder(spark, "landed")
     activity = S.table(spark, sf_dir, "events")
     day = F.unix_date(F.col("ts").cast("date"))
-    cuts = activity.agg(F.percentile_approx(day, [0.25, 0.5, 0.75]).alias("cuts")).first()["cuts"] or []
-    quarter = sum((F.when(day >= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
-    for number in range(len(cuts) + 1):
-        activity.where(quarter == number).coalesce(1).write.mode("append").parquet(path)
-    return S.activity_as_events(ST.read_stream(spark, path, S.stream_schema(), files_per_batch=1))
+    first, last = activity.agg(F.min(day), F.max(day)).first()
+    quarter = F.floor((day - F.lit(first)) * 4 / (F.lit(last) - F.lit(first) + 1))
+    for number in quarters:
+        activity.where(quarter == number).repartition(LANDED_FILES).write.mode("append").parquet(path)
+    return S.activity_as_events(ST.read_stream(spark, path, S.stream_schema(), files_per_batch=LANDED_FILES))
+
+
+def _landed(spark, sf_dir):
+    return _land(spark, sf_dir, range(4))
 
 
 @query
@@ -1159,9 +1167,19 @@ def stream_closed_weeks(spark, sf_dir):
     return spark.read.schema(closed.schema).parquet(out).select("week", "nb_events", "total_mentions")
 
 
+@query
+def stream_late_dropped(spark, sf_dir):
+    """Rows of the first quarter, which lands after the second and third, whose weeks were closed by then."""
+    out = work_folder(spark, "arrivals")
+    ST.count_arrivals(_land(spark, sf_dir, [1, 2, 0, 3]), out, work_folder(spark, "arrivals-state"), delay_days=3).awaitTermination()
+    return ST.late_rows(spark, out).groupBy("week").agg(F.sum("rows").alias("late_rows"))
+
+
 def _stream_parts(spark, sf_dir):
+    """Parts of all micro-batches, merged once."""
     out = work_folder(spark, "snapshot-parts")
     ST.refresh_snapshots(_landed(spark, sf_dir), out, work_folder(spark, "snapshot-state")).awaitTermination()
+    ST.compact_snapshots(spark, out)
     return out
 
 

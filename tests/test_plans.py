@@ -13,8 +13,8 @@ from weektide.plans.refresh import newest_drop
 from weektide.sources.events import recent_days
 
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "Scan ExistingRDD")
-MODELS = {"gbt_scores", "forest_scores", "feature_importance", "scenario_scores", "direction_served", "crisis_reports", "parameter_search", "holdout_metrics"}
-RUNS = {n for n in QUERIES if n.startswith("stream")} | {"crisis_documents", "radar_documents"}
+MODELS = {"gbt_scores", "forest_scores", "feature_importance", "scenario_scores", "direction_served", "crisis_reports", "parameter_search", "parameter_search_ranking", "holdout_metrics"}
+RUNS = {n for n in QUERIES if n.startswith("stream")} | {"crisis_documents", "radar_documents", "published_refresh", "ledger_reads"}
 
 
 def plan(df):

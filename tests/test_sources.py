@@ -12,7 +12,7 @@ from weektide.schemas import CRISIS_SNAPSHOT_SCHEMA, EVENT_SCHEMA, RADAR_SCHEMA
 from weektide.sources.events import load_events, read_history, read_landed
 from weektide.sources.lookups import read_country_lookup, read_event_lookup
 from weektide.sources.prices import price_range, read_prices, recent_prices
-from weektide.sources.tables import as_documents, pick, read_documents, stored, write_documents, write_table
+from weektide.sources.tables import as_documents, current_version, pick, publish, read_documents, stored, write_documents, write_table
 
 HEADER = "SQLDATE,EventCode,EventRootCode,Actor1CountryCode,Actor2CountryCode,ActionGeo_CountryCode,GoldsteinScale,QuadClass,NumMentions,NumArticles,AvgTone"
 
@@ -142,3 +142,19 @@ def test_split(spark):
     df = spark.createDataFrame([(dt.date(2018, 12, 31),), (dt.date(2019, 1, 1),)], "week date")
     train, test = panel.split_at(df, "2019-01-01")
     assert train.count() == 1 and test.first()["week"] == dt.date(2019, 1, 1)
+
+
+def test_documents_are_published_together(spark, tmp_path):
+    """If one of a set cannot be written, readers still have the whole set before it."""
+    out = str(tmp_path / "documents")
+    one = lambda n: spark.createDataFrame([(n,)], "n int")
+    read = lambda: [spark.read.schema("n int").json(f"{current_version(spark, out)}/{name}").first()["n"] for name in ("a", "b")]
+    assert current_version(spark, out) is None
+    assert publish({"a": one(1), "b": one(1)}, out) == 1
+    assert read() == [1, 1]
+    broken = one(2).select(F.raise_error(F.lit("no space")).alias("n"))
+    with pytest.raises(Exception, match="no space"):
+        publish({"a": one(2), "b": broken}, out)
+    assert read() == [1, 1]
+    assert publish({"a": one(3), "b": one(3)}, out) == 3
+    assert read() == [3, 3]

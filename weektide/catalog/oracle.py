@@ -679,6 +679,14 @@ header AS (SELECT CAST(COUNT(*) AS VARCHAR) AS total_events_filtered, CAST(LEAST
 SELECT {PERIOD.format(f'{LAST_DROP} - 6', LAST_DROP)} AS period, '{','.join(K.RADAR_REGIONS)}' AS regions_tracked, header.*,
   {as_text(K.RADAR_COLUMNS)} FROM top CROSS JOIN header"""
 
+ORACLE["published_refresh"] = f"""WITH {EVENTS}, {CODES}, {DROPS_90}, {weekly_sql('drops')}, {vix_sql(market_sql(kept=RECENT_PRICES))},
+{filled_sql('weekly', LIVE_NAMES)}, {temporal_sql('filled', LIVE_NAMES)},
+newest AS (SELECT * FROM finished WHERE week = (SELECT MAX(week) FROM finished)),
+{RECENT}, {day_sql('recent', 4)}, {radar_sql('recent')}
+SELECT 'crisis' AS document, ticker AS key, CAST(nb_events AS BIGINT) AS events FROM newest
+UNION ALL SELECT 'direction', 'nb_events', nb_events FROM live WHERE week = (SELECT MAX(week) FROM live) AND (SELECT COUNT(*) FROM live) >= 3
+UNION ALL SELECT 'radar', {PERIOD.format(f'{LAST_DROP} - 6', LAST_DROP)}, COUNT(*) FROM candidates"""
+
 ORACLE["newest_weeks"] = f"""WITH {WEEKLY}
 SELECT week, nb_events, {r('tension_score')} FROM weekly ORDER BY week DESC LIMIT 10"""
 

@@ -23,7 +23,7 @@ from weektide.models.search import draw, search_each
 from weektide.operators import clean, latest, market, panel, quality, radar, weekly
 from weektide.plans.evaluate import evaluation, hold_out_predictions
 from weektide.plans.ledger import counts_from_ledger, live_from_ledger, radar_from_ledger, update_ledger, write_days
-from weektide.plans.refresh import crisis_refresh, direction_refresh, live_panel, newest_drop
+from weektide.plans.refresh import crisis_refresh, direction_refresh, live_panel, newest_drop, write_refresh
 from weektide.plans.reports import crisis_report, direction_report
 from weektide.plans.training import crisis_training_panel, direction_training_panel
 from weektide.schemas import CRISIS_SNAPSHOT_SCHEMA, LANDED_SCHEMA, RADAR_SCHEMA
@@ -1074,6 +1074,24 @@ def crisis_reports(spark, sf_dir):
     return rounded(stack([*parts, report.select("actif", week, F.lit("check").alias("part"), F.explode(checks).alias("entry", "value"))]).where("value IS NOT NULL"))
 
 
+@query
+def published_refresh(spark, sf_dir):
+    """The three documents of a refresh, published together and read back: rows, and what of each is told apart."""
+    as_of = newest_drop(S.line_events(spark, sf_dir))
+    drops, prices = S.daily_drops(spark, sf_dir), _daily(spark, sf_dir)
+    folder = write_refresh(drops, prices, S.event_lookup(spark, sf_dir), S.TICKERS, as_of, work_folder(spark, "published"), S.INDEX_TICKER)
+    radars = read_documents(spark, f"{folder}/radar", RADAR_SCHEMA)
+    crisis = read_documents(spark, f"{folder}/crisis", CRISIS_SNAPSHOT_SCHEMA)
+    direction = spark.read.schema("nb_events bigint, nb_events_lag1 bigint, nb_events_lag2 bigint").json(f"{folder}/direction")
+    return stack(
+        [
+            crisis.select(F.lit("crisis").alias("document"), F.col("ticker").alias("key"), F.col("features")["nb_events"].cast("bigint").alias("events")),
+            direction.select(F.lit("direction").alias("document"), F.lit("nb_events").alias("key"), F.col("nb_events").alias("events")),
+            radars.select(F.lit("radar").alias("document"), F.col("period").alias("key"), F.col("total_events_filtered").cast("bigint").alias("events")),
+        ]
+    )
+
+
 @query
 def live_refresh(spark, sf_dir):
     """Crisis snapshot from the last 90 drops and two years of prices, all four maps laid out."""

@@ -17,7 +17,7 @@ from weektide.operators.radar import days_period, radar_candidates, radar_docume
 from weektide.operators.weekly import finish_weekly, live_features, marked_drop_features, merge_partials, sound_features
 from weektide.sources.events import recent_days
 from weektide.sources.prices import recent_prices, require_rows
-from weektide.sources.tables import write_documents
+from weektide.sources.tables import current_version, publish
 
 
 def live_panel(weekly: DataFrame, prices: DataFrame, tickers: list[str], index_ticker: str = VIX_TICKER) -> DataFrame:
@@ -66,8 +66,14 @@ def newest_drop(drops: DataFrame) -> Column:
 
 def write_refresh(
     drops: DataFrame, prices: DataFrame, cameo: DataFrame, tickers: list[str], as_of: Column, out: str, index_ticker: str = VIX_TICKER
-) -> None:
-    """The three documents of a refresh, written below ``out`` in place of the last ones."""
-    write_documents(crisis_refresh(drops, prices, cameo, tickers, as_of, index_ticker), f"{out}/crisis")
-    write_documents(direction_refresh(drops, as_of), f"{out}/direction")
-    write_documents(radar_refresh(drops, as_of), f"{out}/radar")
+) -> str:
+    """Publish the three documents of a refresh together, and return the folder of their version."""
+    publish(
+        {
+            "crisis": crisis_refresh(drops, prices, cameo, tickers, as_of, index_ticker),
+            "direction": direction_refresh(drops, as_of),
+            "radar": radar_refresh(drops, as_of),
+        },
+        out,
+    )
+    return current_version(drops.sparkSession, out)

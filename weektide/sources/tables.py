@@ -48,6 +48,35 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def publish(documents: dict[str, DataFrame], out: str) -> int:
+    """Write a set of documents as the next version below ``out`` and return its number.
+
+    The pointer to the version is written last, so readers of ``current_version`` have all documents of one version: if
+    one cannot be written, the version before stays. Two writers of the same number do not mix: the second fails.
+    """
+    spark = next(iter(documents.values())).sparkSession
+    number = max([0, *_numbers(spark, f"{out}/versions"), *_numbers(spark, f"{out}/pointers")]) + 1
+    for name, df in documents.items():
+        df.write.mode("error").option("ignoreNullFields", False).json(f"{out}/versions/number={number}/{name}")
+    spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("error").json(f"{out}/pointers/number={number}")
+    return number
+
+
+def current_version(spark: SparkSession, out: str) -> str | None:
+    """Folder of the newest version whose pointer is complete; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [n for n in _numbers(spark, f"{out}/pointers") if fs.exists(path(f"{out}/pointers/number={n}/_SUCCESS"))]
+    return f"{out}/versions/number={max(done)}" if done else None
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return [int(n.partition("=")[2]) for n in names if n.startswith("number=")]
+
+
 def as_documents(df: DataFrame, key: str) -> DataFrame:
     """``(key, document)`` with the whole row as JSON text."""
     return df.select(key, F.to_json(F.struct(*df.columns)).alias("document"))

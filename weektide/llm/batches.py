@@ -33,6 +33,7 @@ def with_arrow_columns(
     added: str,
     make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
     keep: list[str] | None = None,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """``keep`` (all columns by default) and new columns that Python makes from ``text``.
 
@@ -49,7 +50,7 @@ def with_arrow_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", piece_bytes):
                 yield pa.RecordBatch.from_arrays([piece.column("row"), *work(piece)], names=names)
 
     done = source.mapInArrow(run, out)

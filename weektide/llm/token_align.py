@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,18 @@ from weektide.llm.common import other_columns, written
 
 # A single space between characters that are no white space (of any kind) starts a segment.
 SEGMENT_START = re.compile(r"(?<=\S) (?=\S)")
-# Segments a task remembers, and the longest it remembers; beyond the number it starts anew.
-REMEMBERED, REMEMBERED_CHARS = 150_000, 64
+# Segments a task remembers, once or twice as many, and the longest it remembers.
+REMEMBERED, REMEMBERED_CHARS = 60_000, 64
+# Segments are encoded in texts of about so many characters.
+RUN_CHARS = 4000
+# Text handled at once; its tokens and pairs take many times its size.
+PIECE_BYTES = 200_000
+# Links of a group beyond which its ids are counted before they are paired.
+WIDE = 256
 # Pairs of ids sent to the tasks: at most these, the ones most documents hold, 17 bytes each.
 SENT_PAIRS = 2_000_000
 # A pair of ids is one number: the first above these bits, the second in them.
-B_BITS = 20
+B_BITS, PAIR_BITS = 20, 40
 
 ADDED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>"
 
@@ -57,126 +64,203 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(piece)]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        # The longer of the two vocabularies has all numbers.
+        self.number = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         # Segments are cut before a space, which only holds for the second tokenizer if its pieces have spaces at their start alone.
         self.separable = not any("▁" in p.lstrip("▁") for p in piece)
 
     def segments(self, text: str) -> list[str]:
-        spaced = " " + text
-        if not self.separable:
-            return [spaced]
-        starts = [0, *(m.start() for m in SEGMENT_START.finditer(spaced)), len(spaced)]
-        return [spaced[i:j] for i, j in zip(starts, starts[1:])]
-
-    def encode_a(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, spans of characters, and tokens of each segment."""
-        found = self.a.encode_batch(segments, add_special_tokens=False)
+        """Segments of a text, each without the space it starts with."""
+        return SEGMENT_START.split(text) if self.separable else [text]
+
+    def encode_a(self, texts: list[str]) -> tuple[list[int], list[tuple[int, int]], list[int]]:
+        """Ids, spans of characters, and the number of tokens of each text."""
+        found = self.a.encode_batch(texts, add_special_tokens=False)
         ids, spans = [], []
         for one in found:
             ids.extend(one.ids)
             spans.extend(one.offsets)
-        return np.array(ids, np.int64), np.array(spans, np.int64).reshape(-1, 2), np.array([len(one) for one in found], np.int64)
+        return ids, spans, [len(one) for one in found]
 
-    def encode_b(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode_b(self, texts: list[str]) -> tuple[list[int], list[tuple[int, int]], list[int]]:
         """The same; the tokenizer adds the leading space itself, so its spans are one character behind."""
-        found = self.b.encode([s[1:] for s in segments], return_type="offset_mapping", num_threads=1)
+        found = self.b.encode([t[1:] for t in texts], return_type="offset_mapping", num_threads=1)
         ids, spans = [], []
         for one in found:
             ids.extend(one["ids"])
             spans.extend(one["offsets"])
-        return np.array(ids, np.int64), np.array(spans, np.int64).reshape(-1, 2) + 1, np.array([len(one["ids"]) for one in found], np.int64)
+        return ids, spans, [len(one["ids"]) for one in found]
+
+
+def span_array(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
+
+
+def runs_of(segments: list[str]) -> list[str]:
+    """The segments, in order, joined into texts that are cut at the same places again."""
+    out, held, size = [], [], 0
+    for s in segments:
+        # Only between characters that are no white space does a space start a segment; the second
+        # tokenizer takes its own mark of a space for one.
+        joins = not s[-1:].isspace() and not s[1:2].isspace() and "▁" not in s
+        if held and (not joins or size > RUN_CHARS):
+            out.append("".join(held))
+            held, size = [], 0
+        held.append(s)
+        size += len(s)
+        if not joins:
+            out.append("".join(held))
+            held, size = [], 0
+    if held:
+        out.append("".join(held))
+    return out
+
+
+class Side:
+    """Tokens of one tokenizer over joined segments: ids, the segment each is in, and the byte each ends at."""
+
+    def __init__(self, encode, ahead: int, pieces: list[bytes], sizes: np.ndarray, runs: list[str], segments: list[bytes], first: np.ndarray, before: np.ndarray):
+        ids, spans, n = encode(runs)
+        run_first = np.cumsum([0, *map(len, runs[:-1])])
+        self.ids = np.array(ids, np.int64)
+        spans = span_array(spans) + np.repeat(run_first + ahead, n)[:, None]
+        self.segment = np.searchsorted(first, spans[:, 0], "right") - 1
+        last = np.r_[self.segment[1:] != self.segment[:-1], True] if ids else np.empty(0, bool)
+        self.ends = byte_ends(spans, sizes[self.ids], last, before)
+        self.bad = flawed([pieces[i] for i in ids], np.bincount(self.segment, minlength=len(segments)), segments)
 
+    def without(self, bad: np.ndarray) -> None:
+        good = ~bad[self.segment]
+        self.ids, self.segment, self.ends = self.ids[good], self.segment[good], self.ends[good]
 
-def byte_ends(spans: np.ndarray, sizes: np.ndarray, last: np.ndarray, first_char: np.ndarray, bytes_before: np.ndarray) -> np.ndarray:
+
+def byte_ends(spans: np.ndarray, sizes: np.ndarray, last: np.ndarray, bytes_before: np.ndarray) -> np.ndarray:
     """Byte where each token of the joined segments ends.
 
-    ``sizes`` are those of the decoded bytes, ``last`` marks the last token of a segment, ``first_char``
-    is where the token's segment begins, ``bytes_before`` counts the bytes before each character. A span
-    with characters that the next one does not enter ends between two of them: a coarse cut. All other
-    ends are so many decoded bytes behind the cut before them.
+    ``sizes`` are those of the decoded bytes, ``last`` marks the last token of a segment, ``bytes_before``
+    counts the bytes before each character. A span with characters that the next one does not enter ends
+    between two of them: a coarse cut. All other ends are so many decoded bytes behind the cut before them.
     """
     following = np.r_[spans[1:, 0], 0]
     coarse = last | ((spans[:, 1] > spans[:, 0]) & (following >= spans[:, 1]))
-    ends = bytes_before[first_char + spans[:, 1]]
+    ends = bytes_before[np.minimum(spans[:, 1], len(bytes_before) - 1)]
     decoded = np.cumsum(sizes)
     at = np.maximum.accumulate(np.where(coarse, np.arange(len(coarse)), -1))
     base = np.where(at >= 0, ends[at] - decoded[at], 0)
     return np.where(coarse, ends, base + decoded)
 
 
-def flawed(pieces: list[bytes], ids: np.ndarray, n: np.ndarray, segments: list[bytes]) -> np.ndarray:
+def flawed(tokens: list[bytes], n: np.ndarray, segments: list[bytes]) -> np.ndarray:
     """Which segments the tokens do not spell."""
-    tokens = [pieces[i] for i in ids.tolist()]
     bounds = np.r_[0, np.cumsum(n)].tolist()
     return np.array([b"".join(tokens[i:j]) != s for i, j, s in zip(bounds, bounds[1:], segments)], bool)
 
 
-class Aligned:
-    """What one segment adds to a document."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times")
+# What a segment adds to a document: tokens of both, groups, links, the groups as text, and the bytes of
+# rows (pair, times) of its different pairs.
+Aligned = tuple[int, int, int, int, str, bytes]
+NOTHING: Aligned = (0, 0, 0, 0, "", b"")
 
-    def __init__(self, n_a, n_b, n_groups, n_links, groups, pairs, times):
-        self.n_a, self.n_b, self.n_groups, self.n_links = n_a, n_b, n_groups, n_links
-        self.groups, self.pairs, self.times = groups, pairs, times
 
+def group_pairs(a: Side, b: Side, group_a: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(segment, pair, times)``: the different pairs of ids linked in each segment, and how often.
 
-def group_pairs(groups: list[tuple[list[int], list[int]]]) -> tuple[int, list[int], list[int]]:
-    """Links, different pairs, and how often each is linked; repeated ids of a group are multiplied and not paired one by one."""
-    if all(len(a) == 1 and len(b) == 1 for a, b in groups) and len(groups) == 1:
-        (a,), (b,) = groups[0]
-        return 1, [a << B_BITS | b], [1]
-    links, codes, times = 0, [], []
-    for a, b in groups:
-        links += len(a) * len(b)
-        a_ids, a_n = np.unique(a, return_counts=True)
-        b_ids, b_n = np.unique(b, return_counts=True)
-        codes.append((a_ids[:, None] << B_BITS | b_ids).ravel())
+    Groups with very many links are not paired token by token: their repeated ids are multiplied.
+    """
+    a_start, b_start = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    often = np.where((n_a * n_b > WIDE)[group_a], 0, n_b[group_a])
+    within = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+    other = np.repeat(b_start[group_a], often) + within
+    pairs = [np.repeat(a.ids, often) << B_BITS | b.ids[other]]
+    of, times = [np.repeat(a.segment, often)], [np.ones(len(other), np.int64)]
+    for g in np.flatnonzero(n_a * n_b > WIDE).tolist():
+        a_ids, a_n = np.unique(a.ids[a_start[g] : a_start[g] + n_a[g]], return_counts=True)
+        b_ids, b_n = np.unique(b.ids[b_start[g] : b_start[g] + n_b[g]], return_counts=True)
+        pairs.append((a_ids[:, None] << B_BITS | b_ids).ravel())
         times.append((a_n[:, None] * b_n).ravel())
-    pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return links, pairs.tolist(), np.bincount(at, np.concatenate(times)).astype(np.int64).tolist()
+        of.append(np.full(len(pairs[-1]), segment[g]))
+    return added_up(np.concatenate(of), np.concatenate(pairs), np.concatenate(times))
+
 
+def added_up(of: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by ``of`` and ``pair``, with the times of equal ones added."""
+    key = of << PAIR_BITS | pair
+    order = np.argsort(key, kind="stable")
+    key, times = key[order], times[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    key = key[new]
+    return key >> PAIR_BITS, key & ((1 << PAIR_BITS) - 1), np.add.reduceat(times, new) if len(new) else times
 
-def align_segments(tokenizers: Tokenizers, segments: list[str]) -> list[Aligned | None]:
-    """One entry for each segment, None where a tokenizer's bytes are not those of the segment."""
-    raw = [s.encode() for s in segments]
+
+def align_segments(tokenizers: Tokenizers, segments: list[str], alone: bool = False) -> list[Aligned | None]:
+    """One entry for each segment, None where a tokenizer's bytes are not those of the segment.
+
+    Segments are encoded in runs; if one of a run fails, all of the run are encoded ``alone``.
+    """
+    raw, runs, n = [s.encode() for s in segments], segments if alone else runs_of(segments), len(segments)
     chars = np.array([len(s) for s in segments], np.int64)
     codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
-    width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
-    bytes_before = np.r_[0, np.cumsum(width)]
-    first = np.cumsum(chars) - chars
-    sides = []
-    bad = np.zeros(len(segments), bool)
-    for (ids, spans, n), pieces, sizes in (
-        (tokenizers.encode_a(segments), tokenizers.a_bytes, tokenizers.a_sizes),
-        (tokenizers.encode_b(segments), tokenizers.b_bytes, tokenizers.b_sizes),
-    ):
-        wrong = flawed(pieces, ids, n, raw)
-        bad |= wrong | (n == 0)
-        last = np.zeros(len(ids), bool)
-        last[np.cumsum(n)[n > 0] - 1] = True
-        ends = byte_ends(spans, sizes[ids], last, np.repeat(first, n), bytes_before)
-        sides.append((ids.tolist(), ends, np.r_[0, np.cumsum(n)].tolist()))
-    (a_ids, a_ends, a_at), (b_ids, b_ends, b_at) = sides
+    before = np.r_[0, np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))]
+    place = (runs, raw, np.cumsum(chars) - chars, before)
+    a = Side(tokenizers.encode_a, 0, tokenizers.a_bytes, tokenizers.a_sizes, *place)
+    b = Side(tokenizers.encode_b, 1, tokenizers.b_bytes, tokenizers.b_sizes, *place)
+    bad, again = a.bad | b.bad, np.empty(0, np.int64)
+    if not alone and bad.any():
+        run_of = np.searchsorted(np.cumsum([len(r) for r in runs]), np.cumsum(chars))
+        again = np.flatnonzero(np.isin(run_of, run_of[bad]))
+        bad[again] = True
+    a.without(bad)
+    b.without(bad)
+    common = np.intersect1d(a.ends, b.ends, assume_unique=True)
+    group_a, group_b = np.searchsorted(common, a.ends), np.searchsorted(common, b.ends)
+    n_a, n_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+    segment = a.segment[np.cumsum(n_a) - n_a] if len(common) else np.empty(0, np.int64)
+    of, pair, times = group_pairs(a, b, group_a, n_a, n_b, segment)
+    pair_at = (16 * np.searchsorted(of, np.arange(n + 1))).tolist()
+    pairs = np.stack([pair, times], axis=1).astype(np.int64).tobytes()
+    a_text, b_text = [tokenizers.number[i] for i in a.ids.tolist()], [tokenizers.number[i] for i in b.ids.tolist()]
+    a_at, b_at = np.r_[0, np.cumsum(n_a)].tolist(), np.r_[0, np.cumsum(n_b)].tolist()
+    texts = [
+        f"{a_text[i] if j - i == 1 else ','.join(a_text[i:j])}|{b_text[p] if q - p == 1 else ','.join(b_text[p:q])}"
+        for i, j, p, q in zip(a_at, a_at[1:], b_at, b_at[1:])
+    ]
+    group_at = np.searchsorted(segment, np.arange(n + 1)).tolist()
+    links = np.r_[0, np.cumsum(n_a * n_b)].tolist()
     out: list[Aligned | None] = []
-    for k in range(len(segments)):
-        if bad[k]:
+    for k, wrong in enumerate(bad.tolist()):
+        if wrong:
             out.append(None)
             continue
-        i, j, p, q = a_at[k], a_at[k + 1], b_at[k], b_at[k + 1]
-        if j - i == 1 or q - p == 1:
-            groups = [(a_ids[i:j], b_ids[p:q])]
-        else:
-            _, in_a, in_b = np.intersect1d(a_ends[i:j], b_ends[p:q], assume_unique=True, return_indices=True)
-            groups, before_a, before_b = [], i, p
-            for x, y in zip((in_a + i + 1).tolist(), (in_b + p + 1).tolist()):
-                groups.append((a_ids[before_a:x], b_ids[before_b:y]))
-                before_a, before_b = x, y
-        links, pairs, times = group_pairs(groups)
-        text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-        out.append(Aligned(j - i, q - p, len(groups), links, text, pairs, times))
+        i, j = group_at[k], group_at[k + 1]
+        p, q = pair_at[k], pair_at[k + 1]
+        out.append((a_at[j] - a_at[i], b_at[j] - b_at[i], j - i, links[j] - links[i], ";".join(texts[i:j]), pairs[p:q]))
+    for k, found in zip(again.tolist(), align_segments(tokenizers, [segments[k] for k in again], True) if len(again) else []):
+        out[k] = found
     return out
 
 
+class Remembered:
+    """Alignments of segments seen lately: the last ones asked for, between one and two times ``REMEMBERED``."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers, self.new, self.old = tokenizers, {}, {}
+
+    def of(self, segments: list[str]) -> list[Aligned | None]:
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = []
+        for s in segments:
+            if s not in new:
+                if s in old:
+                    new[s] = old[s]
+                else:
+                    missing.append(s)
+        found = dict(zip(missing, align_segments(self.tokenizers, [" " + s for s in missing]))) if missing else {}
+        new.update((s, x) for s, x in found.items() if len(s) <= REMEMBERED_CHARS)
+        return [new[s] if s in new else found[s] for s in segments]
+
+
 def int_lists(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64()))
 
@@ -193,52 +277,43 @@ def aligned(docs: DataFrame, byte_level_path: str, pieces_path: str, keep: list[
 
     def make():
         tokenizers = Tokenizers(byte_level_path, pieces_path)
-        known: dict[str, Aligned | None] = {}
+        remembered = Remembered(tokenizers)
 
         def work(piece: pa.RecordBatch) -> list[pa.Array]:
-            texts = [tokenizers.segments(t) if t else [] for t in piece.column("text").to_pylist()]
-            here: dict[str, int] = {}
-            used = [[here.setdefault(s, len(here)) for s in one] for one in texts]
-            if len(known) > REMEMBERED:
-                known.clear()
-            missing = [s for s in here if s not in known]
-            found = dict(zip(missing, align_segments(tokenizers, missing))) if missing else {}
-            entries = [found[s] if s in found else known[s] for s in here]
-            known.update((s, x) for s, x in found.items() if len(s) <= REMEMBERED_CHARS)
-            good = [all(entries[k] is not None for k in set(one)) for one in used]
-            used = [one if ok else [] for one, ok in zip(used, good)]
-            flat = np.array([k for one in used for k in one], np.int64)
-            row = np.repeat(np.arange(len(used)), [len(one) for one in used])
-            n_rows, n_here = len(used), len(entries)
+            used = [tokenizers.segments(t) if t else [] for t in piece.column("text").to_pylist()]
+            every = list(chain.from_iterable(used))
+            here = {s: k for k, s in enumerate(dict.fromkeys(every))}
+            entries = remembered.of(list(here))
+            flat = np.fromiter(map(here.__getitem__, every), np.int64, len(every))
+            n_rows, n_here, sizes = len(used), max(len(entries), 1), np.array([len(one) for one in used], np.int64)
+            row = np.repeat(np.arange(n_rows), sizes)
+            bad = np.array([e is None for e in entries], bool)
+            if bad.any():
+                good = np.bincount(row, bad[flat], n_rows) == 0
+                flat, row, sizes = flat[good[row]], row[good[row]], np.where(good, sizes, 0)
+                entries = [NOTHING if e is None else e for e in entries]
+            ends = np.r_[0, np.cumsum(sizes)]
             sums = []
-            for name in ("n_a", "n_b", "n_groups", "n_links"):
-                each = np.array([0 if e is None else getattr(e, name) for e in entries], np.int64)
-                total = np.r_[0, np.cumsum(each[flat])]
-                bounds = np.r_[0, np.cumsum([len(one) for one in used])].astype(np.int64)
-                sums.append(pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.int64()))
-            groups = [";".join([entries[k].groups for k in one]) for one in used]
+            for field in range(4):
+                total = np.r_[0, np.cumsum(np.array([e[field] for e in entries], np.int64)[flat])]
+                sums.append(pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()))
+            texts = [e[4] for e in entries]
+            texts = list(map(texts.__getitem__, flat.tolist()))
+            groups = [";".join(texts[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             # Different segments of each row, and their different pairs, added up.
-            cell, often = np.unique(row * max(n_here, 1) + flat, return_counts=True)
-            cell_row, cell_seg = cell // max(n_here, 1), cell % max(n_here, 1)
-            lists = [([], []) if e is None else (e.pairs, e.times) for e in entries]
-            sizes = np.array([len(p) for p, _ in lists], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            all_pairs = np.array([x for p, _ in lists for x in p], np.int64)
-            all_times = np.array([x for _, t in lists for x in t], np.int64)
-            n = sizes[cell_seg]
-            at = np.repeat(starts[cell_seg] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pair, times = all_pairs[at], all_times[at] * np.repeat(often, n)
-            pair_row = np.repeat(cell_row, n)
-            order = np.lexsort((pair, pair_row))
-            pair, times, pair_row = pair[order], times[order], pair_row[order]
-            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (pair_row[1:] != pair_row[:-1])]) if len(pair) else np.empty(0, np.int64)
-            bounds = np.searchsorted(pair_row[new], np.arange(n_rows + 1))
-            added = np.add.reduceat(times, new) if len(new) else np.empty(0, np.int64)
-            return [*sums, pa.array(groups, pa.string()), int_lists(bounds, pair[new]), int_lists(bounds, added)]
+            cell, often = np.unique(row * n_here + flat, return_counts=True)
+            cell_row, cell_segment = cell // n_here, cell % n_here
+            pairs = np.frombuffer(b"".join([e[5] for e in entries]), np.int64).reshape(-1, 2)
+            n_pairs = np.array([len(e[5]) // 16 for e in entries], np.int64)
+            n = n_pairs[cell_segment]
+            at = np.repeat((np.cumsum(n_pairs) - n_pairs)[cell_segment] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pair_row, pair, times = added_up(np.repeat(cell_row, n), pairs[at, 0], pairs[at, 1] * np.repeat(often, n))
+            bounds = np.searchsorted(pair_row, np.arange(n_rows + 1))
+            return [*sums, pa.array(groups, pa.string()), int_lists(bounds, pair), int_lists(bounds, times)]
 
         return work
 
-    return with_arrow_columns(docs, "text", ADDED, make, keep)
+    return with_arrow_columns(docs, "text", ADDED, make, keep, PIECE_BYTES)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

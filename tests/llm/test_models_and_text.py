@@ -333,3 +333,26 @@ def test_wrappers_fold_and_align():
     assert back.plain() == merged.plain()
     wide = html_wrappers.page_wrapper("".join(f"<{n}>t{i}</{n}>" for i in range(200) for n in (("i", "b", "em", "u")[i % 4], ("s", "q", "code")[i % 3])))
     assert len(wide.items) <= html_wrappers.WIDE
+
+
+def test_short_and_long_words_are_merged_alike():
+    vocabulary = bpe.Vocabulary(VOCABULARY)
+    rng = random.Random(6)
+    for n in [1, 2, 3, 5, 8, 13, 40, 64, 65, 200]:
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "éüß漢字🙂"):
+            word = "".join(rng.choices(letters, k=n))
+            symbols = [vocabulary.letters[b] for b in word.encode()]
+            symbols[-1] += vocabulary.suffix
+            assert vocabulary.merge_short(list(symbols)) == vocabulary.merge_long(list(symbols)) == vocabulary.merge(word)
+
+
+def test_words_are_looked_up_anew_when_too_many_are_remembered(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 3)
+    vocabulary = bpe.Vocabulary(VOCABULARY)
+    words = bpe.EncodedWords(vocabulary, bpe.Lexicon.mapped(bpe.Lexicon.build({b"the": vocabulary.merge("the")}).to_bytes()))
+    for batch in (["the", "fox", 49407], ["jumps", "the"], ["over", "fox", "over"]):
+        for word, k in zip(batch, words.numbers(batch).tolist()):
+            ids = words.ids[words.starts[k] : words.starts[k] + words.sizes[k]].tolist()
+            assert ids == ([word] if isinstance(word, int) else vocabulary.merge(word))
+            assert words.decoded[k] == " ".join(vocabulary.tokens[i] for i in ids)
+    assert len(words.number) <= 5

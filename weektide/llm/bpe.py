@@ -21,6 +21,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from weektide.llm.batches import pieces, with_arrow_columns
 # broadcast; other words are merged.
 LEXICON_WORDS = 60_000
 LEXICON_BYTES = 40
-# Words that a task remembers after merging them; when there are more it starts anew.
-REMEMBERED_WORDS = 200_000
+# Words that a task remembers, and the characters of their tokens; when there are more it starts anew.
+REMEMBERED_WORDS, REMEMBERED_CHARS = 200_000, 20_000_000
+# Words of so many bytes are merged by the ranks of all their pairs, longer ones with a heap.
+SHORT_BYTES = 64
 # Different words that a counting task holds before it hands on partial counts.
 COUNTED_WORDS = 200_000
 
@@ -73,12 +76,30 @@ class Vocabulary:
         return out
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word by its merges: always the pair of the lowest rank, the leftmost first.
-
-        A heap over a linked list keeps a word of n bytes at n log n steps.
-        """
+        """Ids of one word by its merges: always the pair of the lowest rank, the leftmost first."""
         symbols = [self.letters[b] for b in word.encode()]
         symbols[-1] += self.suffix
+        return self.merge_short(symbols) if len(symbols) <= SHORT_BYTES else self.merge_long(symbols)
+
+    def merge_short(self, symbols: list[str]) -> list[int]:
+        """With the ranks of all pairs in a list, which is quickest for the usual word."""
+        rank, never = self.ranks.get, len(self.ranks)
+        ranks = [rank(pair, never) for pair in zip(symbols, symbols[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == never:
+                break
+            i = ranks.index(least)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), never)
+        return [self.ids[s] for s in symbols]
+
+    def merge_long(self, symbols: list[str]) -> list[int]:
+        """With a heap over a linked list, which keeps a word of n bytes at n log n steps."""
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
@@ -248,8 +269,10 @@ def word_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                for text in piece.column("text").to_pylist():
-                    counts.update(w for w in vocabulary.words(text or "") if isinstance(w, str) and len(w) <= LEXICON_BYTES)
+                found = Counter(chain.from_iterable([vocabulary.words(t) for t in piece.column("text").to_pylist() if t]))
+                for word, n in found.items():
+                    if isinstance(word, str) and len(word) <= LEXICON_BYTES:
+                        counts[word] += n
                 if len(counts) > COUNTED_WORDS:
                     yield out()
                     counts.clear()
@@ -278,22 +301,19 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None
     shared_words, shared_lexicon = context.broadcast(Vocabulary(vocabulary_path)), context.broadcast(lexicon.to_bytes())
 
     def make():
-        vocabulary, known, merged = shared_words.value, Lexicon.mapped(shared_lexicon.value), {}
+        words = EncodedWords(shared_words.value, Lexicon.mapped(shared_lexicon.value))
 
         def work(piece: pa.RecordBatch) -> list[pa.Array]:
-            seen: dict[str | int, int] = {}
-            at, ends = [], []
-            for text in piece.column("text").to_pylist():
-                at.extend([seen.setdefault(w, len(seen)) for w in vocabulary.words(text or "")])
-                ends.append(len(at))
-            offsets, ids = ids_of(list(seen), vocabulary, known, merged)
-            index = np.array(at, np.int64)
-            sizes = (offsets[1:] - offsets[:-1])[index]
+            texts = [words.vocabulary.words(t) if t else [] for t in piece.column("text").to_pylist()]
+            every = list(chain.from_iterable(texts))
+            index = words.numbers(every)
+            ends = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+            sizes = words.sizes[index]
             before = np.cumsum(sizes) - sizes
-            flat = ids[np.repeat(offsets[:-1][index] - before, sizes) + np.arange(sizes.sum())]
-            bounds = np.r_[0, np.cumsum(sizes)][np.r_[0, np.array(ends, np.int64)]]
-            tokens = list(map(vocabulary.tokens.__getitem__, flat.tolist()))
-            decoded = [" ".join(tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            flat = words.ids[np.repeat(words.starts[index] - before, sizes) + np.arange(sizes.sum())]
+            bounds = np.r_[0, np.cumsum(sizes)][ends]
+            spelled = list(map(words.decoded.__getitem__, index.tolist()))
+            decoded = [" ".join(spelled[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())), pa.array(decoded, pa.string())]
 
         return work
@@ -301,25 +321,52 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None
     return with_arrow_columns(docs, "text", "ids array<int>, decoded string", make, keep)
 
 
-def ids_of(words: list[str | int], vocabulary: Vocabulary, lexicon: Lexicon, merged: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in one array, and where each word's begin and end in it.
-
-    ``merged`` remembers words that are not in the lexicon from one call to the next.
-    """
+class EncodedWords:
+    """Ids and decoded tokens of the words a task has met, each worked out once; beyond a number it starts anew."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str | int, int] = {}
+        self.decoded: list[str] = []
+        self.chars = 0
+        self.starts, self.sizes, self.ids = (np.empty(0, np.int64) for _ in range(3))
+
+    def numbers(self, words: list[str | int]) -> np.ndarray:
+        """Number of each word, from 0 in the order they were met."""
+        if len(self.number) > REMEMBERED_WORDS or self.chars > REMEMBERED_CHARS:
+            self.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if new:
+            self.add(new)
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def add(self, new: list[str | int]) -> None:
+        offsets, ids = ids_of(new, self.vocabulary, self.lexicon)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        tokens = list(map(self.vocabulary.tokens.__getitem__, ids.tolist()))
+        at = offsets.tolist()
+        decoded = [tokens[a] if b - a == 1 else " ".join(tokens[a:b]) for a, b in zip(at, at[1:])]
+        self.decoded.extend(decoded)
+        self.chars += sum(map(len, decoded))
+        self.starts = np.r_[self.starts, offsets[:-1] + len(self.ids)]
+        self.sizes = np.r_[self.sizes, offsets[1:] - offsets[:-1]]
+        self.ids = np.r_[self.ids, ids]
+
+
+def ids_of(words: list[str | int], vocabulary: Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in one array, and where each word's begin and end in it."""
     numbers = lexicon.numbers([b"" if isinstance(w, int) else w.encode() for w in words]).tolist()
     bounds, lists = memoryview(lexicon.offsets), memoryview(lexicon.ids)
     offsets, ids = [0], []
-    if len(merged) > REMEMBERED_WORDS:
-        merged.clear()
     for word, number in zip(words, numbers):
         if number >= 0:
             ids.extend(lists[bounds[number] : bounds[number + 1]].tolist())
         elif isinstance(word, int):
             ids.append(word)
         else:
-            found = merged.get(word)
-            if found is None:
-                found = merged[word] = vocabulary.merge(word)
-            ids.extend(found)
+            ids.extend(vocabulary.merge(word))
         offsets.append(len(ids))
     return np.array(offsets, np.int64), np.array(ids, np.int64)

@@ -122,7 +122,28 @@ def test_wide_groups_are_multiplied(spark):
 
 def test_failing_segments_do_not_change_others():
     tokenizers = A.Tokenizers(BYTE_LEVEL, PIECES)
-    segments = [" the", " ▁", " of", " bad▁", " end"]
-    together, alone = A.align_segments(tokenizers, segments), [A.align_segments(tokenizers, [s])[0] for s in segments]
-    assert [x and x[:5] for x in together] == [x and x[:5] for x in alone]
-    assert [x is None for x in together] == [False, True, False, True, False]
+    segments = ["the", "▁", "of", "bad▁", "end"]
+
+    def of(asked):
+        remembered = A.Remembered(tokenizers)
+        places = remembered.places(asked)
+        groups = remembered.groups().take(places.tolist()).to_pylist()
+        return list(zip(remembered.bad.all[places].tolist(), remembered.sums.all[places].tolist(), groups))
+
+    together, alone = of(segments), [of([s])[0] for s in segments]
+    assert together == alone
+    assert [bad for bad, _, _ in together] == [False, True, False, True, False]
+
+
+def test_forgotten_segments_are_learned_again(monkeypatch):
+    tokenizers = A.Tokenizers(BYTE_LEVEL, PIECES)
+    remembered = A.Remembered(tokenizers)
+
+    def of(asked):
+        places = remembered.places(asked)
+        return remembered.groups().take(places.tolist()).to_pylist()
+
+    before = of(["some", "words"])
+    monkeypatch.setattr(A, "REMEMBERED", 1)
+    assert of(["words", "some"]) == before[::-1]
+    assert len(remembered.place) == remembered.bad.n == 2

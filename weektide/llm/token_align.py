@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,8 @@ from weektide.llm.common import other_columns, written
 
 # A single space between characters that are no white space (of any kind) starts a segment.
 SEGMENT_START = re.compile(r"(?<=\S) (?=\S)")
-# Segments a task remembers, once or twice as many, and the longest it remembers.
-REMEMBERED, REMEMBERED_CHARS = 60_000, 64
+# Segments a task remembers, and the characters and links of all of them, before it forgets them and starts anew.
+REMEMBERED, REMEMBERED_SIZE = 400_000, 16_000_000
 # Segments are encoded in texts of about so many characters.
 RUN_CHARS = 4000
 # Text handled at once; its tokens and pairs take many times its size.
@@ -64,8 +66,9 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(piece)]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_column, self.b_column = pa.array(self.a_bytes, pa.binary()), pa.array(self.b_bytes, pa.binary())
         # The longer of the two vocabularies has all numbers.
-        self.number = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.number = pa.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))], pa.string())
         # Segments are cut before a space, which only holds for the second tokenizer if its pieces have spaces at their start alone.
         self.separable = not any("▁" in p.lstrip("▁") for p in piece)
 
@@ -119,7 +122,7 @@ def runs_of(segments: list[str]) -> list[str]:
 class Side:
     """Tokens of one tokenizer over joined segments: ids, the segment each is in, and the byte each ends at."""
 
-    def __init__(self, encode, ahead: int, pieces: list[bytes], sizes: np.ndarray, runs: list[str], segments: list[bytes], first: np.ndarray, before: np.ndarray):
+    def __init__(self, encode, ahead: int, pieces: pa.Array, sizes: np.ndarray, runs: list[str], segments: list[bytes], first: np.ndarray, before: np.ndarray):
         ids, spans, n = encode(runs)
         run_first = np.cumsum([0, *map(len, runs[:-1])])
         self.ids = np.array(ids, np.int64)
@@ -127,7 +130,7 @@ class Side:
         self.segment = np.searchsorted(first, spans[:, 0], "right") - 1
         last = np.r_[self.segment[1:] != self.segment[:-1], True] if ids else np.empty(0, bool)
         self.ends = byte_ends(spans, sizes[self.ids], last, before)
-        self.bad = flawed([pieces[i] for i in ids], np.bincount(self.segment, minlength=len(segments)), segments)
+        self.bad = flawed(pieces.take(pa.array(self.ids)), self.segment, segments)
 
     def without(self, bad: np.ndarray) -> None:
         good = ~bad[self.segment]
@@ -150,16 +153,36 @@ def byte_ends(spans: np.ndarray, sizes: np.ndarray, last: np.ndarray, bytes_befo
     return np.where(coarse, ends, base + decoded)
 
 
-def flawed(tokens: list[bytes], n: np.ndarray, segments: list[bytes]) -> np.ndarray:
+def flawed(tokens: pa.Array, segment: np.ndarray, segments: list[bytes]) -> np.ndarray:
     """Which segments the tokens do not spell."""
-    bounds = np.r_[0, np.cumsum(n)].tolist()
-    return np.array([b"".join(tokens[i:j]) != s for i, j, s in zip(bounds, bounds[1:], segments)], bool)
+    spelt = pc.binary_join(as_lists(bounds_of(segment, len(segments)), tokens), b"")
+    return pc.not_equal(spelt, pa.array(segments, pa.binary())).to_numpy(zero_copy_only=False)
 
 
-# What a segment adds to a document: tokens of both, groups, links, the groups as text, and the bytes of
-# rows (pair, times) of its different pairs.
-Aligned = tuple[int, int, int, int, str, bytes]
-NOTHING: Aligned = (0, 0, 0, 0, "", b"")
+def bounds_of(group: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` groups starts, and the last ends, in rows sorted by group."""
+    return np.searchsorted(group, np.arange(n + 1))
+
+
+def as_lists(bounds: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+
+@dataclass
+class Aligned:
+    """What segments add to a document.
+
+    ``sums`` has a row for each segment: tokens of both, groups, links. ``groups`` are texts; the different
+    pairs of segment k are ``pairs`` and ``times`` from ``bounds[k]`` to ``bounds[k + 1]``. Segments that
+    tokens do not spell are ``bad`` and add nothing.
+    """
+
+    sums: np.ndarray
+    groups: pa.Array
+    bounds: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+    bad: np.ndarray
 
 
 def group_pairs(a: Side, b: Side, group_a: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,73 +215,111 @@ def added_up(of: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.nd
     return key >> PAIR_BITS, key & ((1 << PAIR_BITS) - 1), np.add.reduceat(times, new) if len(new) else times
 
 
-def align_segments(tokenizers: Tokenizers, segments: list[str], alone: bool = False) -> list[Aligned | None]:
-    """One entry for each segment, None where a tokenizer's bytes are not those of the segment.
-
-    Segments are encoded in runs; if one of a run fails, all of the run are encoded ``alone``.
-    """
-    raw, runs, n = [s.encode() for s in segments], segments if alone else runs_of(segments), len(segments)
-    chars = np.array([len(s) for s in segments], np.int64)
+def align_segments(tokenizers: Tokenizers, segments: list[str], runs: list[str]) -> Aligned:
+    """The segments, encoded as ``runs`` that are the same text. A ``bad`` segment may be a good one if it is a run of its own."""
+    raw, n = [s.encode() for s in segments], len(segments)
+    chars = np.fromiter(map(len, segments), np.int64, n)
     codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
     before = np.r_[0, np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))]
     place = (runs, raw, np.cumsum(chars) - chars, before)
-    a = Side(tokenizers.encode_a, 0, tokenizers.a_bytes, tokenizers.a_sizes, *place)
-    b = Side(tokenizers.encode_b, 1, tokenizers.b_bytes, tokenizers.b_sizes, *place)
-    bad, again = a.bad | b.bad, np.empty(0, np.int64)
-    if not alone and bad.any():
-        run_of = np.searchsorted(np.cumsum([len(r) for r in runs]), np.cumsum(chars))
-        again = np.flatnonzero(np.isin(run_of, run_of[bad]))
-        bad[again] = True
+    a = Side(tokenizers.encode_a, 0, tokenizers.a_column, tokenizers.a_sizes, *place)
+    b = Side(tokenizers.encode_b, 1, tokenizers.b_column, tokenizers.b_sizes, *place)
+    bad = a.bad | b.bad
     a.without(bad)
     b.without(bad)
     common = np.intersect1d(a.ends, b.ends, assume_unique=True)
     group_a, group_b = np.searchsorted(common, a.ends), np.searchsorted(common, b.ends)
     n_a, n_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
     segment = a.segment[np.cumsum(n_a) - n_a] if len(common) else np.empty(0, np.int64)
-    of, pair, times = group_pairs(a, b, group_a, n_a, n_b, segment)
-    pair_at = (16 * np.searchsorted(of, np.arange(n + 1))).tolist()
-    pairs = np.stack([pair, times], axis=1).astype(np.int64).tobytes()
-    a_text, b_text = [tokenizers.number[i] for i in a.ids.tolist()], [tokenizers.number[i] for i in b.ids.tolist()]
-    a_at, b_at = np.r_[0, np.cumsum(n_a)].tolist(), np.r_[0, np.cumsum(n_b)].tolist()
-    texts = [
-        f"{a_text[i] if j - i == 1 else ','.join(a_text[i:j])}|{b_text[p] if q - p == 1 else ','.join(b_text[p:q])}"
-        for i, j, p, q in zip(a_at, a_at[1:], b_at, b_at[1:])
+    of, pairs, times = group_pairs(a, b, group_a, n_a, n_b, segment)
+    sides = [
+        pc.binary_join(as_lists(np.r_[0, np.cumsum(size)], tokenizers.number.take(pa.array(side.ids))), ",") for side, size in ((a, n_a), (b, n_b))
     ]
-    group_at = np.searchsorted(segment, np.arange(n + 1)).tolist()
-    links = np.r_[0, np.cumsum(n_a * n_b)].tolist()
-    out: list[Aligned | None] = []
-    for k, wrong in enumerate(bad.tolist()):
-        if wrong:
-            out.append(None)
-            continue
-        i, j = group_at[k], group_at[k + 1]
-        p, q = pair_at[k], pair_at[k + 1]
-        out.append((a_at[j] - a_at[i], b_at[j] - b_at[i], j - i, links[j] - links[i], ";".join(texts[i:j]), pairs[p:q]))
-    for k, found in zip(again.tolist(), align_segments(tokenizers, [segments[k] for k in again], True) if len(again) else []):
-        out[k] = found
-    return out
+    at = bounds_of(segment, n)
+    groups = pc.binary_join(as_lists(at, pc.binary_join_element_wise(*sides, "|")), ";")
+    sums = [np.r_[0, np.cumsum(each)][at] for each in (n_a, n_b, np.ones(len(common), np.int64), n_a * n_b)]
+    return Aligned(np.diff(np.stack(sums, axis=1), axis=0), groups, bounds_of(of, n), pairs, times, bad)
+
+
+class Grown:
+    """An array that is added to at its end."""
+
+    def __init__(self, dtype: type, width: tuple[int, ...] = ()):
+        self.held, self.n = np.empty((1024, *width), dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            held = np.empty((self.n + self.n // 2 + len(more), *self.held.shape[1:]), self.held.dtype)
+            held[: self.n] = self.held[: self.n]
+            self.held = held
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 class Remembered:
-    """Alignments of segments seen lately: the last ones asked for, between one and two times ``REMEMBERED``."""
+    """Alignments of all segments seen since the memory was last cleared, each at a place of its own."""
 
     def __init__(self, tokenizers: Tokenizers):
-        self.tokenizers, self.new, self.old = tokenizers, {}, {}
-
-    def of(self, segments: list[str]) -> list[Aligned | None]:
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for s in segments:
-            if s not in new:
-                if s in old:
-                    new[s] = old[s]
-                else:
-                    missing.append(s)
-        found = dict(zip(missing, align_segments(self.tokenizers, [" " + s for s in missing]))) if missing else {}
-        new.update((s, x) for s, x in found.items() if len(s) <= REMEMBERED_CHARS)
-        return [new[s] if s in new else found[s] for s in segments]
+        self.tokenizers = tokenizers
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.chars = 0
+        self.sums, self.bad = Grown(np.int64, (4,)), Grown(bool)
+        self.pairs, self.times, self.pair_ends = Grown(np.int64), Grown(np.int64), Grown(np.int64)
+        self.letters, self.text_ends = Grown(np.uint8), Grown(np.int64)
+        self.pair_ends.add(np.zeros(1, np.int64))
+        self.text_ends.add(np.zeros(1, np.int64))
+
+    def places(self, segments: list[str]) -> np.ndarray:
+        """Where each of the segments is; only before this call may any be forgotten."""
+        if len(self.place) > REMEMBERED or self.chars + self.letters.n + self.pairs.n > REMEMBERED_SIZE:
+            self.clear()
+        place = self.place
+        missing = [s for s in dict.fromkeys(segments) if s not in place]
+        if missing:
+            self.learn(missing)
+        return np.fromiter(map(place.__getitem__, segments), np.int64, len(segments))
+
+    def learn(self, segments: list[str]) -> None:
+        """Segments are encoded in runs; if one of a run fails, all of the run are encoded alone."""
+        spaced = [" " + s for s in segments]
+        runs = runs_of(spaced)
+        found = align_segments(self.tokenizers, spaced, runs)
+        if found.bad.any():
+            ends = np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced)))
+            run_of = np.searchsorted(np.cumsum([len(r) for r in runs]), ends)
+            again = np.isin(run_of, run_of[found.bad])
+            for alone in (False, True):
+                some = [s for s, x in zip(segments, again.tolist()) if x == alone]
+                if some:
+                    spaced = [" " + s for s in some]
+                    self.keep(some, align_segments(self.tokenizers, spaced, spaced if alone else runs_of(spaced)))
+        else:
+            self.keep(segments, found)
+
+    def keep(self, segments: list[str], found: Aligned) -> None:
+        self.place.update(zip(segments, range(self.bad.n, self.bad.n + len(segments))))
+        self.chars += sum(map(len, segments))
+        self.sums.add(found.sums)
+        self.bad.add(found.bad)
+        self.pair_ends.add(self.pairs.n + found.bounds[1:])
+        self.pairs.add(found.pairs)
+        self.times.add(found.times)
+        _, ends, letters = found.groups.buffers()
+        ends = np.frombuffer(ends, np.int32)[found.groups.offset :][: len(segments) + 1].astype(np.int64)
+        self.text_ends.add(self.letters.n + ends[1:] - ends[0])
+        self.letters.add(np.frombuffer(letters, np.uint8)[ends[0] : ends[-1]] if letters else np.empty(0, np.uint8))
+
+    def groups(self) -> pa.Array:
+        """Groups of all places, without a copy."""
+        buffers = [None, pa.py_buffer(self.text_ends.all), pa.py_buffer(self.letters.all)]
+        return pa.Array.from_buffers(pa.large_string(), self.bad.n, buffers)
 
 
 def int_lists(bounds: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -281,35 +342,27 @@ def aligned(docs: DataFrame, byte_level_path: str, pieces_path: str, keep: list[
 
         def work(piece: pa.RecordBatch) -> list[pa.Array]:
             used = [tokenizers.segments(t) if t else [] for t in piece.column("text").to_pylist()]
-            every = list(chain.from_iterable(used))
-            here = {s: k for k, s in enumerate(dict.fromkeys(every))}
-            entries = remembered.of(list(here))
-            flat = np.fromiter(map(here.__getitem__, every), np.int64, len(every))
-            n_rows, n_here, sizes = len(used), max(len(entries), 1), np.array([len(one) for one in used], np.int64)
+            flat = remembered.places(list(chain.from_iterable(used)))
+            n_rows, n_places, sizes = len(used), max(remembered.bad.n, 1), np.array([len(one) for one in used], np.int64)
             row = np.repeat(np.arange(n_rows), sizes)
-            bad = np.array([e is None for e in entries], bool)
+            bad = remembered.bad.all[flat]
             if bad.any():
-                good = np.bincount(row, bad[flat], n_rows) == 0
+                good = np.bincount(row, bad, n_rows) == 0
                 flat, row, sizes = flat[good[row]], row[good[row]], np.where(good, sizes, 0)
-                entries = [NOTHING if e is None else e for e in entries]
             ends = np.r_[0, np.cumsum(sizes)]
-            sums = []
-            for field in range(4):
-                total = np.r_[0, np.cumsum(np.array([e[field] for e in entries], np.int64)[flat])]
-                sums.append(pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()))
-            texts = [e[4] for e in entries]
-            texts = list(map(texts.__getitem__, flat.tolist()))
-            groups = [";".join(texts[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            total = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(remembered.sums.all[flat], axis=0)])
+            sums = [pa.array(each, pa.int64()) for each in (total[ends[1:]] - total[ends[:-1]]).T]
+            texts = remembered.groups().take(pa.array(flat)).cast(pa.string())
+            groups = pc.binary_join(as_lists(ends, texts), ";")
             # Different segments of each row, and their different pairs, added up.
-            cell, often = np.unique(row * n_here + flat, return_counts=True)
-            cell_row, cell_segment = cell // n_here, cell % n_here
-            pairs = np.frombuffer(b"".join([e[5] for e in entries]), np.int64).reshape(-1, 2)
-            n_pairs = np.array([len(e[5]) // 16 for e in entries], np.int64)
-            n = n_pairs[cell_segment]
-            at = np.repeat((np.cumsum(n_pairs) - n_pairs)[cell_segment] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            pair_row, pair, times = added_up(np.repeat(cell_row, n), pairs[at, 0], pairs[at, 1] * np.repeat(often, n))
+            cell, often = np.unique(row * n_places + flat, return_counts=True)
+            cell_row, cell_place = cell // n_places, cell % n_places
+            pair_ends = remembered.pair_ends.all
+            start, n = pair_ends[cell_place], pair_ends[cell_place + 1] - pair_ends[cell_place]
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pair_row, pair, times = added_up(np.repeat(cell_row, n), remembered.pairs.all[at], remembered.times.all[at] * np.repeat(often, n))
             bounds = np.searchsorted(pair_row, np.arange(n_rows + 1))
-            return [*sums, pa.array(groups, pa.string()), int_lists(bounds, pair), int_lists(bounds, times)]
+            return [*sums, groups, int_lists(bounds, pair), int_lists(bounds, times)]
 
         return work
 

@@ -7,7 +7,7 @@ word of the corpus keeps its own probability, and the probabilities of all texts
 
 Each round of training sends the model to the tasks, which return expected counts of symbols and
 transitions of whole documents by the scaled forward and backward recursions. The counts of all
-partitions are added up, as integers, so their order changes nothing. Two short rounds over a sample by
+partitions are added up, as integers, so their order changes nothing. Short rounds over a sample by
 hash only find where to start.
 
 The likelihood of a text is the product of the scales of the forward recursion, times the shares of its
@@ -234,35 +234,41 @@ class Together:
 
 
 def forward(model: Model, together: Together, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """State probabilities given the tokens so far, the scale of each token, and its emissions.
+    """State probabilities given the tokens so far, the scale of each token, and its emissions divided by the scale.
 
     ``before`` are the probabilities of the first states, where the sequences go on from earlier parts.
     """
     emit = model.emit[together.symbols]
-    alpha, scale = np.empty_like(emit), np.empty(len(emit))
+    alpha, scale, ones = np.empty_like(emit), np.empty(len(emit)), np.ones(emit.shape[1])
     now = None
     for a, b in together.spans():
+        out, total = alpha[a:b], scale[a:b]
         if now is None:
-            now = (model.first if before is None else before) * emit[a:b]
+            np.multiply(model.first if before is None else before, emit[a:b], out=out)
         else:
-            now = (now[: b - a] @ model.step) * emit[a:b]
-        total = now.sum(axis=1)
-        now /= total[:, None]
-        alpha[a:b], scale[a:b] = now, total
+            np.dot(now[: b - a], model.step, out=out)
+            out *= emit[a:b]
+        np.dot(out, ones, out=total)
+        out /= total[:, None]
+        now = out
+    emit /= scale[:, None]
     return alpha, scale, emit
 
 
-def backward(model: Model, together: Together, emit: np.ndarray, scale: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
-    """What is still to come, by state, in the units of the scales; ``after`` if more parts follow."""
-    beta = np.ones_like(emit)
+def backward(model: Model, together: Together, scaled: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """What is still to come, by state, in the units of the scales; ``scaled`` are emissions divided by these.
+
+    ``after`` is what comes behind the last token, if more parts follow.
+    """
+    beta = np.ones_like(scaled)
     if after is not None:
         beta[-1] = after
     weighted = None
     turned = np.ascontiguousarray(model.step.T)
     for a, b in reversed(together.spans()):
         if weighted is not None:
-            beta[a : a + len(weighted)] = weighted @ turned
-        weighted = beta[a:b] * emit[a:b] / scale[a:b, None]
+            np.dot(weighted, turned, out=beta[a : a + len(weighted)])
+        weighted = beta[a:b] * scaled[a:b]
     return beta
 
 
@@ -307,13 +313,13 @@ class Expected:
     def __init__(self, states: int, symbols: int):
         self.first, self.step, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
 
-    def add(self, model: Model, together: Together, alpha: np.ndarray, scale: np.ndarray, emit: np.ndarray, beta: np.ndarray) -> None:
+    def add(self, model: Model, together: Together, alpha: np.ndarray, scaled: np.ndarray, beta: np.ndarray) -> None:
         gamma = alpha * beta
         for k in range(gamma.shape[1]):
             self.emit[:, k] += np.bincount(together.symbols, gamma[:, k], len(self.emit))
         if len(together.active) > 1:
             later = slice(int(together.starts[1]), None)
-            weighted = beta[later] * emit[later] / scale[later, None]
+            weighted = beta[later] * scaled[later]
             earlier = np.concatenate([np.arange(a, a + n) for a, n in zip(together.starts[:-2].tolist(), together.active[1:].tolist())])
             self.step += model.step * (alpha[earlier].T @ weighted)
 
@@ -323,9 +329,9 @@ class Expected:
                 self.add_long(model, parts_of(sequences[run[0]]))
                 continue
             together = Together([sequences[i] for i in run])
-            alpha, scale, emit = forward(model, together)
-            beta = backward(model, together, emit, scale)
-            self.add(model, together, alpha, scale, emit, beta)
+            alpha, _, scaled = forward(model, together)
+            beta = backward(model, together, scaled)
+            self.add(model, together, alpha, scaled, beta)
             if len(together.starts) > 1:
                 self.first += (alpha[: together.starts[1]] * beta[: together.starts[1]]).sum(axis=0)
 
@@ -337,10 +343,10 @@ class Expected:
         after = None
         for at in range(len(parts) - 1, -1, -1):
             part = parts[at]
-            alpha, scale, emit = forward(model, part, before[at])
-            beta = backward(model, part, emit, scale, after)
-            self.add(model, part, alpha, scale, emit, beta)
-            weighted = beta[:1] * emit[:1] / scale[:1, None]
+            alpha, _, scaled = forward(model, part, before[at])
+            beta = backward(model, part, scaled, after)
+            self.add(model, part, alpha, scaled, beta)
+            weighted = beta[:1] * scaled[:1]
             after = weighted @ model.step.T
             if at:
                 last = forward(model, parts[at - 1], before[at - 1])[0][-1:]
@@ -413,8 +419,9 @@ def score(
     model = start_model(lexicon, states)
     training = rows.where("NOT held_out").select("symbols", "first_share")
     if states > 1:
+        first = written(training.where("first_share"), "first-rounds")
         for _ in range(FIRST_ROUNDS):
-            model = trained_once(training.where("first_share"), lexicon, model)
+            model = trained_once(first, lexicon, model)
     for _ in range(rounds):
         model = trained_once(training, lexicon, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weektide.operators import clean, panel, radar
+from weektide.operators.quality import null_profile
 from weektide.plans.history import quality_reports, store_history
 from weektide.schemas import CRISIS_SNAPSHOT_SCHEMA, EVENT_SCHEMA, RADAR_SCHEMA
 from weektide.sources.events import load_events, read_history, read_landed
@@ -70,6 +71,15 @@ def test_quality_reports(spark, history):
     assert profile["EventDescription"] == 2 and profile["ActionGeo_CountryName"] == 4 and profile["EventDescriptionFinal"] == 0
     assert [r[0] for r in reports["unmapped_actor_codes"].collect()] == ["FRA"]
     assert reports["root_mismatch_examples"].count() == 0 and reports["fallback_examples"].count() == 1
+    names = [*profile]
+    rows = [sorted(map(str, df.select("column_name", "n_rows", "n_null", "match_rate").collect())) for df in (reports["null_profile"], null_profile(decoded, names))]
+    assert rows[0] == rows[1]
+    for name, report in reports.items():
+        logs = [f for f in report.inputFiles() if f.endswith(".csv")]
+        assert logs == [], name
+    nothing = quality_reports(decoded.limit(0), read_country_lookup(spark, history[1]))
+    assert {(r["n_rows"], r["n_null"], r["match_rate"]) for r in nothing["null_profile"].collect()} == {(0, 0, None)}
+    assert nothing["code_examples"].count() == 0
 
 
 def test_landed_days_are_pruned_and_bad_files_skipped(spark, tmp_path):

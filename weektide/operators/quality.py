@@ -10,9 +10,25 @@ from weektide.constants import EXAMPLE_ROWS
 CODE_VIEW = ["EventCode", "EventRootCode", "EventDescription", "EventRootDescription", "EventDescriptionFinal"]
 
 
-def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows, nulls and share of non-null values per column, all from one pass."""
-    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+def combinations(decoded: DataFrame, codes: list[str], names: list[str]) -> DataFrame:
+    """Each combination of codes with its number of rows ``n``; of ``names`` only whether they are there.
+
+    The reports on codes follow from this table, whose size depends on the code lists and not on the log.
+    """
+    known = [F.when(F.col(c).isNotNull(), F.lit(True)).alias(c) for c in names]
+    return decoded.groupBy(*codes, *known).agg(F.count(F.lit(1)).alias("n"))
+
+
+def null_profile(df: DataFrame, columns: list[str], n: str | None = None) -> DataFrame:
+    """Rows, nulls and share of non-null values per column, all from one pass.
+
+    Column ``n`` says how many rows each row stands for; without it, one.
+    """
+    if n is None:
+        counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    else:
+        nulls = [F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col(n))), F.lit(0)).alias(c) for c in columns]
+        counts = df.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_rows"), *nulls)
     pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
     long = counts.select("n_rows", F.expr(f"stack({len(columns)}, {pairs}) AS (column_name, n_null)"))
     return long.withColumn("match_rate", F.try_divide(F.col("n_rows") - F.col("n_null"), F.col("n_rows")))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weektide.operators.clean import clean_events, decode_history, with_major_flag
-from weektide.operators.quality import CODE_VIEW, examples, fallback_rows, null_profile, root_mismatches, unmapped_codes
+from weektide.operators.quality import CODE_VIEW, combinations, examples, fallback_rows, null_profile, root_mismatches, unmapped_codes
 from weektide.sources.events import read_history, require_columns
 from weektide.sources.lookups import read_country_lookup, read_event_lookup
-from weektide.sources.tables import write_table
+from weektide.sources.tables import stored, write_table
 
-MAPPED_COLUMNS = ["Actor1CountryName", "Actor2CountryName", "ActionGeo_CountryName", "EventDescription"]
+COUNTRY_NAMES = ["Actor1CountryName", "Actor2CountryName", "ActionGeo_CountryName"]
+MAPPED_COLUMNS = [*COUNTRY_NAMES, "EventDescription"]
 
 
 def store_history(
@@ -32,15 +33,20 @@ def store_history(
 
 
 def quality_reports(decoded: DataFrame, countries: DataFrame) -> dict[str, DataFrame]:
-    """The checks made on a decoded log, each a small table."""
-    mismatches = root_mismatches(decoded)
-    fallbacks = fallback_rows(decoded)
+    """The checks made on a decoded log, each a small table.
+
+    The log is read once, into a written table of code combinations; all reports read that.
+    """
+    found = combinations(decoded, ["Actor1CountryCode", *CODE_VIEW, "EventRootFromEventCode"], COUNTRY_NAMES)
+    combined = stored(found, "code-combinations")
+    mismatches = root_mismatches(combined)
+    fallbacks = fallback_rows(combined)
     return {
-        "null_profile": null_profile(decoded, MAPPED_COLUMNS + ["EventDescriptionFinal"]),
-        "unmapped_actor_codes": unmapped_codes(decoded, "Actor1CountryCode", countries, "CountryCode"),
+        "null_profile": null_profile(combined, [*MAPPED_COLUMNS, "EventDescriptionFinal"], "n"),
+        "unmapped_actor_codes": unmapped_codes(combined, "Actor1CountryCode", countries, "CountryCode"),
         "root_mismatch_examples": examples(
             mismatches, ["EventCode", "EventRootCode", "EventRootFromEventCode", "EventDescription", "EventRootDescription"]
         ),
         "fallback_examples": examples(fallbacks),
-        "code_examples": examples(decoded, CODE_VIEW),
+        "code_examples": examples(combined, CODE_VIEW),
     }

@@ -169,6 +169,25 @@ def test_search_drops_trials_and_keeps_the_best(spark, direction):
     assert {r["rank"] for r in SE.best_settings(out).collect()} == {1}
 
 
+def test_the_last_trial_is_not_fitted_for_every_number_of_rounds(direction, monkeypatch):
+    """What a trial has after 4, 8, 16 and 30 rounds is read off two fits, and is what four fits give."""
+    setting = TR.BoostedTrees(iterations=30, depth=2, rate=0.05, patience_share=0.2, patience=5)
+    rows = direction.where(F.col("ticker") == supplied.TICKERS[0])
+    halves = SE.halves_of(rows, Q.SPLIT, "target_direction", DIRECTION_FEATURES, setting, SE.FIT_ROWS)
+    fitted, make = [], SE.boosted
+    monkeypatch.setattr(SE, "boosted", lambda settings, label, n: fitted.append(n) or make(settings, label, n))
+    last = SE.Trial("", 0, setting, alone=True)
+    for rounds in (4, 8, 16, 32):
+        SE.fit_further(last, halves, "target_direction", rounds)
+        plain = Pipeline(stages=[make(setting, "target_direction", min(rounds, 30))]).fit(halves.learn)
+        wanted = TR.best_round(plain, halves.check, setting)
+        assert (last.tried, last.rounds, last.loss, last.enough) == (min(rounds, 30), *wanted)
+    assert fitted == [8, 30]
+    assert last.model.stages[-1].getNumTrees == last.rounds
+    wide = [SE.ahead(n, TR.BoostedTrees(iterations=2000, patience=50)) for n in (16, 128, 512)]
+    assert wide == [64, 256, 2000]
+
+
 def test_the_first_rounds_of_a_model_are_a_fit_of_so_many(direction):
     train, test = split_at(direction.where(F.col("ticker") == supplied.TICKERS[0]), Q.SPLIT)
     shape = dict(depth=3, rate=0.1)

@@ -147,3 +147,22 @@ def test_forgotten_segments_are_learned_again(monkeypatch):
     monkeypatch.setattr(A, "REMEMBERED", 1)
     assert of(["words", "some"]) == before[::-1]
     assert len(remembered.place) == remembered.bad.n == 2
+
+
+def test_memory_is_written_again_after_it_is_cleared():
+    """New arrays for each clearing left a worker with the free space of the old ones."""
+    tokenizers = A.Tokenizers(BYTE_LEVEL, PIECES)
+    remembered = A.Remembered(tokenizers)
+    arrays = ("sums", "bad", "pairs", "times", "pair_ends", "letters", "text_ends")
+
+    def of(asked):
+        places = remembered.places(asked)
+        return remembered.sums.all[places].tolist(), remembered.groups().take(places.tolist()).to_pylist()
+
+    before, held = of(["some", "words", "漢字"]), {name: getattr(remembered, name).held for name in arrays}
+    remembered.clear()
+    assert remembered.bad.n == remembered.letters.n == remembered.pairs.n == 0
+    of(["others"])
+    remembered.clear()
+    assert of(["some", "words", "漢字"]) == before
+    assert all(getattr(remembered, name).held is held[name] for name in arrays)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +29,15 @@ def pieces(batch: pa.RecordBatch, column: str, piece_bytes: int = PIECE_BYTES) -
         yield batch.slice(int(start), int(end - start))
 
 
+def give_back() -> None:
+    """Return memory that is free again to the system; C libraries other than glibc have no call for it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def with_arrow_columns(
     df: DataFrame,
     text: str,
@@ -52,6 +63,9 @@ def with_arrow_columns(
         for batch in batches:
             for piece in pieces(batch, "text", piece_bytes):
                 yield pa.RecordBatch.from_arrays([piece.column("row"), *work(piece)], names=names)
+        # The process serves later tasks and stages too.
+        del work
+        give_back()
 
     done = source.mapInArrow(run, out)
     return done.select(*[F.col("row").getField(n).alias(n) for n in keep], *[F.col(n) for n in schema.names])

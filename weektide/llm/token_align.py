@@ -15,6 +15,7 @@ documents hold is never a key of a shuffle of documents.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -242,10 +243,10 @@ def align_segments(tokenizers: Tokenizers, segments: list[str], runs: list[str])
 
 
 class Grown:
-    """An array that is added to at its end."""
+    """An array that is added to at its end, with room for ``room`` rows; pages of it that are not written take no memory."""
 
-    def __init__(self, dtype: type, width: tuple[int, ...] = ()):
-        self.held, self.n = np.empty((1024, *width), dtype), 0
+    def __init__(self, dtype: type, width: tuple[int, ...] = (), room: int = REMEMBERED):
+        self.held, self.n = np.empty((room, *width), dtype), 0
 
     def add(self, more: np.ndarray) -> None:
         if self.n + len(more) > len(self.held):
@@ -261,18 +262,23 @@ class Grown:
 
 
 class Remembered:
-    """Alignments of all segments seen since the memory was last cleared, each at a place of its own."""
+    """Alignments of all segments seen since the memory was last cleared, each at a place of its own.
+
+    The arrays stay when it is cleared and are written again from their start.
+    """
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
+        self.sums, self.bad = Grown(np.int64, (4,)), Grown(bool)
+        self.pairs, self.times, self.pair_ends = Grown(np.int64, room=REMEMBERED_SIZE // 4), Grown(np.int64, room=REMEMBERED_SIZE // 4), Grown(np.int64)
+        self.letters, self.text_ends = Grown(np.uint8, room=REMEMBERED_SIZE), Grown(np.int64)
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.chars = 0
-        self.sums, self.bad = Grown(np.int64, (4,)), Grown(bool)
-        self.pairs, self.times, self.pair_ends = Grown(np.int64), Grown(np.int64), Grown(np.int64)
-        self.letters, self.text_ends = Grown(np.uint8), Grown(np.int64)
+        for array in (self.sums, self.bad, self.pairs, self.times, self.pair_ends, self.letters, self.text_ends):
+            array.n = 0
         self.pair_ends.add(np.zeros(1, np.int64))
         self.text_ends.add(np.zeros(1, np.int64))
 
@@ -337,6 +343,8 @@ def aligned(docs: DataFrame, byte_level_path: str, pieces_path: str, keep: list[
     """
 
     def make():
+        # A task has one core; threads of the tokenizer's own would each keep memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tokenizers = Tokenizers(byte_level_path, pieces_path)
         remembered = Remembered(tokenizers)
 

@@ -356,3 +356,21 @@ def test_words_are_looked_up_anew_when_too_many_are_remembered(monkeypatch):
             assert ids == ([word] if isinstance(word, int) else vocabulary.merge(word))
             assert words.decoded[k] == " ".join(vocabulary.tokens[i] for i in ids)
     assert len(words.number) <= 5
+
+
+def test_words_outside_the_lexicon_are_merged_together(monkeypatch):
+    vocabulary = bpe.Vocabulary(VOCABULARY)
+    rng = np.random.default_rng(5)
+    words = ["a", "é", "aaaaaaa", "banana", "ß" * 20, "日本語", "x" * bpe.SHORT_BYTES]
+    words += ["".join(rng.choice(list("aeinrst'é12"), n)) for n in rng.integers(1, 30, 300)]
+    wanted = [vocabulary.merge(w) for w in words]
+    ids, sizes = vocabulary.merges.merge([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted
+    assert [len(x) for x in vocabulary.merges.merge([])] == [0, 0]
+    # Only words longer than that are merged one by one.
+    alone, merge = [], bpe.Vocabulary.merge
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, word: alone.append(word) or merge(self, word))
+    long = "ab" * bpe.SHORT_BYTES
+    lexicon = bpe.Lexicon.build({b"banana": wanted[3]})
+    offsets, ids = bpe.ids_of([*words, 7, long], vocabulary, lexicon)
+    assert [x.tolist() for x in np.split(ids, offsets[1:-1])] == [*wanted, [7], merge(vocabulary, long)] and alone == [long]

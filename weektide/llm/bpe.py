@@ -65,6 +65,7 @@ class Vocabulary:
         self.tokens = [everything.get(i, "") for i in range(max(everything) + 1)]
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.letters = byte_letters()
+        self.merges = Merges(self)
 
     def words(self, text: str) -> list[str | int]:
         """Normalised words of a text, and the ids of special tokens in it."""
@@ -128,6 +129,75 @@ class Vocabulary:
         return [self.ids[s] for s in symbols if s]
 
 
+class Merges:
+    """The merges by numbers of symbols, for many short words at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        letters, ranks = vocabulary.letters, vocabulary.ranks
+        ends = [x + vocabulary.suffix for x in letters]
+        symbols = list(dict.fromkeys(chain(letters, ends, chain.from_iterable((a, b, a + b) for a, b in ranks))))
+        number = {s: i for i, s in enumerate(symbols)}
+        self.symbols, self.never = symbols, len(ranks)
+        self.inner, self.last = (np.array([number[x] for x in one], np.int64) for one in (letters, ends))
+        self.ids = np.array([vocabulary.ids.get(s, -1) for s in symbols], np.int64)
+        keys = np.array([number[a] * len(symbols) + number[b] for a, b in ranks], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.fromiter(ranks.values(), np.int64, len(ranks))[order]
+        # What the pair of each rank becomes.
+        self.made = np.zeros(self.never + 1, np.int64)
+        self.made[list(ranks.values())] = [number[a + b] for a, b in ranks]
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols, ``never`` for those that are not merged."""
+        if not len(self.keys):
+            return np.full(left.shape, self.never, np.int64)
+        key = left * len(self.symbols) + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.never)
+
+    def same_size(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(rows, symbols)`` of words of one size, a row of bytes each: each round merges one pair of every
+        word, the lowest rank and of these the leftmost, and hands on the words that have no more."""
+        row, symbols = np.arange(len(words)), self.inner[words]
+        symbols[:, -1] = self.last[words[:, -1]]
+        ranks = self.rank(symbols[:, :-1], symbols[:, 1:])
+        while len(row) and ranks.shape[1]:
+            at = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(row)), at]
+            done = least == self.never
+            if done.any():
+                yield row[done], symbols[done]
+                on = ~done
+                row, symbols, ranks, at, least = row[on], symbols[on], ranks[on], at[on], least[on]
+            before = np.arange(symbols.shape[1] - 1) < at[:, None]
+            symbols = np.where(before, symbols[:, :-1], symbols[:, 1:])
+            symbols[np.arange(len(row)), at] = self.made[least]
+            ranks = np.where(before[:, :-1], ranks[:, :-1], ranks[:, 1:])
+            for side in (-1, 0):
+                near = np.flatnonzero((at + side >= 0) & (at + side < ranks.shape[1]))
+                left = at[near] + side
+                ranks[near, left] = self.rank(symbols[near, left], symbols[near, left + 1])
+        if len(row):
+            yield row, symbols
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and how many each has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        joined, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        found, counts = [], np.zeros(len(words), np.int64)
+        for size in np.unique(sizes).tolist():
+            some = np.flatnonzero(sizes == size)
+            for row, symbols in self.same_size(joined[starts[some][:, None] + np.arange(size)]):
+                counts[some[row]] = symbols.shape[1]
+                found.append((some[row], symbols))
+        ids, begins = np.empty(counts.sum(), np.int64), np.cumsum(counts) - counts
+        for row, symbols in found:
+            ids[begins[row][:, None] + np.arange(symbols.shape[1])] = self.ids[symbols]
+        if len(ids) and ids.min() < 0:
+            raise KeyError("a symbol of a word is not in the vocabulary")
+        return ids, counts
+
+
 def byte_letters() -> list[str]:
     """Letter that stands for each byte: printable bytes for themselves, the others from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -287,7 +357,8 @@ def compile_lexicon(docs: DataFrame, vocabulary_path: str, max_words: int = LEXI
     top = word_counts(docs, vocabulary_path).orderBy(F.desc("n"), "word").limit(max_words).select("word").toArrow()
     vocabulary = Vocabulary(vocabulary_path)
     words = [w for w in top.column("word").to_pylist() if len(w.encode()) <= LEXICON_BYTES]
-    return Lexicon.build({w.encode(): vocabulary.merge(w) for w in words})
+    ids, sizes = vocabulary.merges.merge([w.encode() for w in words])
+    return Lexicon.build(dict(zip([w.encode() for w in words], [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])])))
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, keep: list[str] | None = None, lexicon: Lexicon | None = None) -> DataFrame:
@@ -358,15 +429,24 @@ class EncodedWords:
 
 def ids_of(words: list[str | int], vocabulary: Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in one array, and where each word's begin and end in it."""
-    numbers = lexicon.numbers([b"" if isinstance(w, int) else w.encode() for w in words]).tolist()
-    bounds, lists = memoryview(lexicon.offsets), memoryview(lexicon.ids)
-    offsets, ids = [0], []
-    for word, number in zip(words, numbers):
-        if number >= 0:
-            ids.extend(lists[bounds[number] : bounds[number + 1]].tolist())
-        elif isinstance(word, int):
-            ids.append(word)
-        else:
-            ids.extend(vocabulary.merge(word))
-        offsets.append(len(ids))
-    return np.array(offsets, np.int64), np.array(ids, np.int64)
+    raw = [b"" if isinstance(w, int) else w.encode() for w in words]
+    number = lexicon.numbers(raw)
+    held = number >= 0
+    first, sizes = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
+    first[held], sizes[held] = lexicon.offsets[number[held]], np.diff(lexicon.offsets.astype(np.int64))[number[held]]
+    # All ids that words have here, one word's after the other: of the lexicon, merged, and one by one.
+    pool = [lexicon.ids.astype(np.int64)]
+    length = np.fromiter(map(len, raw), np.int64, len(raw))
+    short = np.flatnonzero(~held & (length > 0) & (length <= SHORT_BYTES))
+    ids, sizes[short] = vocabulary.merges.merge([raw[i] for i in short.tolist()])
+    first[short] = len(pool[0]) + np.cumsum(sizes[short]) - sizes[short]
+    pool.append(ids)
+    end = len(pool[0]) + len(ids)
+    for i in np.flatnonzero(~held & ((length == 0) | (length > SHORT_BYTES))).tolist():
+        word = words[i]
+        one = [word] if isinstance(word, int) else vocabulary.merge(word)
+        first[i], sizes[i] = end, len(one)
+        pool.append(np.array(one, np.int64))
+        end += len(one)
+    offsets = np.r_[0, np.cumsum(sizes)]
+    return offsets, np.concatenate(pool)[np.repeat(first - offsets[:-1], sizes) + np.arange(offsets[-1])]

@@ -135,3 +135,26 @@ def test_nothing_to_learn_from(spark):
     rows = H.score(documents(spark, [(i, "some words") for i in held]), ["doc_id"]).collect()
     assert [(r["train_tokens"], r["n_known"], r["n_tokens"], r["base_score"]) for r in rows] == [(0, 0, 3, 0.0)] * 3
     assert all(np.isfinite(r["score"]) for r in rows)
+
+
+def test_counts_sent_to_the_tasks_change_no_result(spark):
+    """Words whose counts are sent are not joined any more; the scores are those without them."""
+    texts = ["a a b c", "b c d", "e f", "a g " + "x" * 50, "é É h"] * 4 + ["", None, " \t\n"]
+    docs = documents(spark, list(enumerate(texts)))
+    found = [sorted(map(tuple, H.score(docs, ["doc_id"], states=2, frequent=2, sent=sent).collect())) for sent in (0, 3, 1000)]
+    for other in found[1:]:
+        assert [row[:5] for row in other] == [row[:5] for row in found[0]]
+        assert np.allclose([row[5:] for row in other], [row[5:] for row in found[0]], rtol=1e-12)
+    learned = docs.where(H.in_training(docs["doc_id"]))
+    lexicon = H.lexicon_of(H.word_counts(learned), learned.count(), 2, 1000)
+    left = {w for r in H.encoded(docs, lexicon, ["doc_id"]).collect() for w in r["rare"]}
+    assert left == {str(H.word_keys(H.pa.array(["x" * 50]))[0])}
+
+
+def test_words_and_classes_of_a_piece():
+    words, text = H.words_of(H.pa.array([" Ab\tc\x0b\x0cÀB ", None, "", "\r", "z\xa0 z"]))
+    assert words.to_pylist() == ["ab", "c", "Àb", "z\xa0", "z"] and text.tolist() == [0, 0, 0, 4, 4]
+    some = ["a", "ab", "abc", "abcd", "é", "ééé", "a" * 41]
+    assert H.word_classes(H.pa.array(some)).tolist() == [H.xxhash.xxh32_intdigest(w[:3] + b" " + w[-2:], H.SEED) % H.CLASSES for w in (x.encode() for x in some)]
+    assert H.word_keys(H.pa.array(some)).to_pylist() == [*some[:-1], " " + H.hashlib.md5(b"a" * 41).hexdigest()]
+    assert len(H.word_classes(H.pa.array([], H.pa.string()))) == 0

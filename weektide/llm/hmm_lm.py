@@ -11,18 +11,19 @@ partitions are added up, as integers, so their order changes nothing. Short roun
 hash only find where to start.
 
 The likelihood of a text is the product of the scales of the forward recursion, times the shares of its
-words of classes. Those are joined by word, after the words of each document are added up.
+words of classes. The counts of the most frequent of these are sent to the tasks, up to a bound; the others
+are joined by word, after the words of each document are added up.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ ROUNDS, FIRST_ROUNDS, FIRST_SHARE = 3, 4, 16
 # Words that are symbols of their own at most, and the longest of them in bytes; both bound the model.
 FREQUENT, FREQUENT_BYTES = 32_768, 40
 CLASSES = 512
+# Words of classes whose counts are sent to the tasks at most, the most frequent ones; the bound changes no result.
+SENT_WORDS = 98_304
 # Added to every count of a word, as in the simple model that the scores are compared with.
 ADDED = 0.1
 # Tokens of prior that a state's symbols share like the whole corpus, and each transition's prior.
@@ -46,23 +49,34 @@ LEAVE = 0.05
 TOKENS = 200_000
 # Expected counts are added up in these parts of one.
 UNIT = 10_000
-# Different words that a task holds before it hands on counts or forgets classes.
+# Different words that a task holds before it hands on counts.
 HELD_WORDS = 200_000
 SEED = 42
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case, between blanks and ASCII controls from tab to return."""
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words with A-Z in lower case, between blanks and ASCII controls from tab to return, and the text of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    words = lists.flatten()
+    # Blanks at the start or end of a text leave an empty word there.
+    full = pc.not_equal(words, "")
+    return words.filter(full), text[full.to_numpy(zero_copy_only=False)]
 
 
-def word_key(word: bytes) -> str:
-    """The word, or a digest of a long one; a space before it keeps the two apart."""
-    return word.decode() if len(word) <= FREQUENT_BYTES else " " + hashlib.md5(word).hexdigest()
+def word_keys(words: pa.Array) -> pa.Array:
+    """The words, or a digest of a long one; a space before it keeps the two apart."""
+    long = pc.greater(pc.binary_length(words), FREQUENT_BYTES)
+    digests = [" " + hashlib.md5(w.encode()).hexdigest() for w in words.filter(long).to_pylist()]
+    return pc.replace_with_mask(words, long, pa.array(digests, pa.string()))
 
 
-def word_class(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[:3] + b" " + word[-2:], SEED) % CLASSES
+def word_classes(words: pa.Array) -> np.ndarray:
+    """A hash of the first three and last two bytes, worked out once for those that begin and end alike."""
+    raw = words.cast(pa.binary())
+    both = pc.binary_join_element_wise(pc.binary_slice(raw, 0, 3), pc.binary_slice(raw, -2), b" ").dictionary_encode()
+    classes = [xxhash.xxh32_intdigest(x, SEED) % CLASSES for x in both.dictionary.to_pylist()]
+    return np.array(classes, np.int64)[both.indices.to_numpy()]
 
 
 def in_training(doc_id: Column) -> Column:
@@ -74,21 +88,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """``(word, class, n)`` over the whole texts; tasks add up what they have before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            words, n = list(counts), list(counts.values())
-            columns = [pa.array(map(word_key, words), pa.string()), pa.array(map(word_class, words), pa.int32()), pa.array(n, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "class", "n"])
+        def added_up() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for part in added_up().to_batches():
+                words = part.column("word")
+                columns = [word_keys(words), pa.array(word_classes(words), pa.int32()), part.column("n")]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "class", "n"])
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                for text in piece.column("text").to_pylist():
-                    counts.update(words_of(text))
-                if len(counts) > HELD_WORDS:
-                    yield out()
-                    counts.clear()
-        yield out()
+                found = words_of(piece.column("text"))[0].value_counts()
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                if sum(part.num_rows for part in held) > 2 * HELD_WORDS:
+                    held = [added_up()]
+                    if held[0].num_rows > HELD_WORDS:
+                        yield from out()
+                        held = []
+        if held:
+            yield from out()
 
     parts = texts.select("text").mapInArrow(run, "word string, class int, n bigint")
     return parts.groupBy("word").agg(F.any_value("class").alias("class"), F.sum("n").alias("n"))
@@ -104,6 +125,10 @@ class Lexicon:
     class_words: np.ndarray
     tokens: int
     different: int
+    # Words of classes whose counts are sent along, these, and their classes.
+    sent_words: list[str]
+    sent_counts: np.ndarray
+    sent_classes: np.ndarray
 
     @property
     def size(self) -> int:
@@ -119,10 +144,11 @@ class Lexicon:
         return self.tokens + ADDED * (self.different + 1)
 
 
-def lexicon_of(counts: DataFrame, texts: int, frequent: int) -> Lexicon:
+def lexicon_of(counts: DataFrame, texts: int, frequent: int, sent: int = SENT_WORDS) -> Lexicon:
     """``texts`` is the number of training documents, each of which has one end."""
     short = counts.where(~F.col("word").startswith(" "))
-    top = short.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    both = short.orderBy(F.desc("n"), "word").limit(frequent + sent).toArrow()
+    top, more = both.slice(0, frequent), both.slice(frequent)
     per_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow()
     tokens, different = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     tokens[per_class.column("class").to_numpy()] = per_class.column("n").to_numpy()
@@ -131,14 +157,15 @@ def lexicon_of(counts: DataFrame, texts: int, frequent: int) -> Lexicon:
     n, of = top.column("n").to_numpy(), top.column("class").to_numpy()
     np.subtract.at(tokens, of, n)
     np.subtract.at(different, of, 1)
-    return Lexicon(top.column("word").to_pylist(), np.r_[texts, n].astype(np.int64), tokens, different, total, n_words)
+    own = top.column("word").to_pylist(), np.r_[texts, n].astype(np.int64), tokens, different, total, n_words
+    return Lexicon(*own, more.column("word").to_pylist(), more.column("n").to_numpy(), more.column("class").to_numpy())
 
 
-ENCODED = "symbols array<int>, n_tokens bigint, own_known bigint, own_log double, class_log double, rare array<string>, times array<bigint>"
+ENCODED = "symbols array<int>, n_tokens bigint, own_known bigint, own_log double, class_log double, sent_known bigint, sent_log double, rare array<string>, times array<bigint>"
 
 
 def encoded(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """``keep`` and for each text its symbols with the end, what its frequent words add to both scores, and its other words."""
+    """``keep`` and for each text its symbols with the end, what its words of the lexicon add to the scores, and its other words."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def make():
@@ -147,44 +174,41 @@ def encoded(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
         own_log = np.r_[np.log10(lex.counts + ADDED), np.zeros(CLASSES)]
         own_known = np.r_[lex.counts > 0, np.zeros(CLASSES, bool)].astype(np.int64)
         class_log = np.r_[np.zeros(first_class), np.log10(lex.class_tokens + ADDED * (lex.class_words + 1))]
-        own = {w.encode(): i + 1 for i, w in enumerate(lex.words)}
-
-        class Symbols(dict):
-            def __missing__(self, word: bytes) -> int:
-                found = self[word] = own.get(word, first_class + word_class(word))
-                return found
-
-        symbols = Symbols()
+        sent_log = np.r_[np.zeros(len(lex.words)), np.log10(lex.sent_counts + ADDED)]
+        # Words are numbered: first those of the lexicon, then the others of a piece.
+        n_own, known = len(lex.words), pa.array(lex.words + lex.sent_words, pa.string())
+        n_known, known_symbols = len(known), np.r_[np.arange(n_own) + 1, first_class + lex.sent_classes].astype(np.int64)
 
         def work(piece: pa.RecordBatch) -> list[pa.Array]:
-            flat, sizes, rare, times, rare_sizes = [], [], [], [], []
-            if len(symbols) > HELD_WORDS:
-                symbols.clear()
-            for text in piece.column("text").to_pylist():
-                words = words_of(text)
-                found = [symbols[w] for w in words]
-                others = Counter([w for w, s in zip(words, found) if s >= first_class])
-                rare.extend(map(word_key, others))
-                times.extend(others.values())
-                rare_sizes.append(len(others))
-                flat.extend(found)
-                flat.append(0)
-                sizes.append(len(found) + 1)
-            at = np.array(flat, np.int64)
-            bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+            words, row = words_of(piece.column("text"))
+            n_rows, sizes = len(piece), np.bincount(row, minlength=len(piece))
+            words = words.dictionary_encode()
+            number_of = pc.fill_null(pc.index_in(words.dictionary, known), -1).to_numpy().astype(np.int64)
+            others = words.dictionary.filter(pa.array(number_of < 0))
+            number_of[number_of < 0] = n_known + np.arange(len(others))
+            n_words, symbols = n_known + len(others), np.r_[known_symbols, first_class + word_classes(others)]
+            number = number_of[words.indices.to_numpy()]
+            bounds = np.r_[0, np.cumsum(sizes + 1)]
+            # Each text's symbols are followed by its end, which is 0.
+            at = np.zeros(bounds[-1], np.int64)
+            at[np.arange(len(number)) + row] = symbols[number]
 
             def added(each: np.ndarray) -> np.ndarray:
-                total = np.add.reduceat(each[at], bounds[:-1]) if len(sizes) else np.empty(0)
-                return total
+                return np.add.reduceat(each[at], bounds[:-1]) if n_rows else np.empty(0)
 
-            rare_bounds = pa.array(np.r_[0, np.cumsum(rare_sizes)], pa.int32())
+            sent = (number >= n_own) & (number < n_known)
+            rare = number >= n_known
+            cell, times = np.unique(row[rare] * n_words + number[rare], return_counts=True)
+            rare_bounds = pa.array(np.searchsorted(cell // n_words, np.arange(n_rows + 1)), pa.int32())
             return [
                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at, pa.int32())),
-                pa.array(np.array(sizes, np.int64), pa.int64()),
-                pa.array(added(own_known).astype(np.int64), pa.int64()),
+                pa.array(sizes + 1),
+                pa.array(added(own_known).astype(np.int64)),
                 pa.array(added(own_log), pa.float64()),
                 pa.array(added(class_log), pa.float64()),
-                pa.ListArray.from_arrays(rare_bounds, pa.array(rare, pa.string())),
+                pa.array(np.bincount(row[sent], minlength=n_rows)),
+                pa.array(np.bincount(row[sent], sent_log[number[sent]], n_rows).astype(np.float64)),
+                pa.ListArray.from_arrays(rare_bounds, word_keys(others).take(pa.array(cell % n_words - n_known))),
                 pa.ListArray.from_arrays(rare_bounds, pa.array(times, pa.int64())),
             ]
 
@@ -394,7 +418,12 @@ def trained_once(rows: DataFrame, lexicon: Lexicon, model: Model) -> Model:
 
 
 def score(
-    docs: DataFrame, keep: list[str] | None = None, states: int = STATES, rounds: int = ROUNDS, frequent: int = FREQUENT
+    docs: DataFrame,
+    keep: list[str] | None = None,
+    states: int = STATES,
+    rounds: int = ROUNDS,
+    frequent: int = FREQUENT,
+    sent: int = SENT_WORDS,
 ) -> DataFrame:
     """``keep`` (all columns by default) and for each whole text: ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` and ``score``.
@@ -403,13 +432,14 @@ def score(
     of the text's words and its end, ``base_score`` that of the smoothed counts of single words. Missing
     and empty texts are one end. Unseen words have the probability that their class keeps for all unseen
     ones. Repeated rows are each scored and each learned from. With nothing to learn from all is smoothing.
-    Columns of these names in the input are replaced.
+    Columns of these names in the input are replaced. ``sent`` bounds the words of classes whose counts are
+    sent to the tasks and changes no result.
     """
     own = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "row_number", "first_share"]
     keep = other_columns(docs if keep is None else docs.select(*keep), [*own, *[c.split()[0] for c in ENCODED.split(", ")]])
     learned = docs.where(in_training(F.col("doc_id"))).select("text")
     counts = written(word_counts(learned), "word-counts")
-    lexicon = lexicon_of(counts, learned.count(), frequent)
+    lexicon = lexicon_of(counts, learned.count(), frequent, sent)
     flagged = docs.withColumns({
         "held_out": ~in_training(F.col("doc_id")),
         "first_share": F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FIRST_SHARE)) == 0,
@@ -445,8 +475,8 @@ def score(
         *keep,
         "held_out",
         "n_tokens",
-        (F.col("own_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("own_known") + F.col("sent_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(lexicon.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("own_log") + rare_log - F.col("n_tokens") * base_total).alias("base_score"),
-        (F.col("symbol_log") + rare_log - F.col("class_log")).alias("score"),
+        (F.col("own_log") + F.col("sent_log") + rare_log - F.col("n_tokens") * base_total).alias("base_score"),
+        (F.col("symbol_log") + F.col("sent_log") + rare_log - F.col("class_log")).alias("score"),
     )

@@ -166,3 +166,34 @@ def test_memory_is_written_again_after_it_is_cleared():
     remembered.clear()
     assert of(["some", "words", "漢字"]) == before
     assert all(getattr(remembered, name).held is held[name] for name in arrays)
+
+
+def test_plain_texts_are_cut_without_the_pattern(monkeypatch):
+    tokenizers = A.Tokenizers(BYTE_LEVEL, PIECES)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab  \n\t\x1c\xa0　é", k=rng.randint(0, 9))) for _ in range(4000)] + ["a b\nc d", "a\n", "\na b", " a", "a "]
+    pattern = A.SEGMENT_START
+    assert [tokenizers.segments(t) for t in texts] == [pattern.split(t) for t in texts]
+    monkeypatch.setattr(A, "SEGMENT_START", None)
+    assert tokenizers.segments("the words\nof a text") == ["the", "words\nof", "a", "text"]
+
+
+def test_runs_are_the_segments_in_order_and_are_cut_around_awkward_ones(monkeypatch):
+    monkeypatch.setattr(A, "RUN_CHARS", 10)
+    plain = [" " + "x" * n for n in (1, 30, 2, 2, 2, 9, 1)]
+    runs = A.runs_of(plain)
+    assert "".join(runs) == "".join(plain) and 3 <= len(runs) < len(plain)
+    for awkward_one in (" ", "  a", " a\n", " ▁", " a▁b"):
+        for at in range(len(plain) + 1):
+            runs = A.runs_of([*plain[:at], awkward_one, *plain[at:]])
+            assert "".join(runs) == "".join([*plain[:at], awkward_one, *plain[at:]])
+            # Only at its end does such a segment touch another one.
+            assert any(r.endswith(awkward_one) for r in runs)
+    assert A.runs_of([" a"]) == [" a"]
+
+
+def test_places_follow_the_order_in_which_segments_are_met():
+    tokenizers = A.Tokenizers(BYTE_LEVEL, PIECES)
+    remembered = A.Remembered(tokenizers)
+    assert remembered.places(["b", "a", "b"]).tolist() == [0, 1, 0]
+    assert remembered.places(["a", "c", "b"]).tolist() == [1, 2, 0] and remembered.place.new == []

@@ -35,6 +35,10 @@ from weektide.llm.common import other_columns, written
 
 # A single space between characters that are no white space (of any kind) starts a segment.
 SEGMENT_START = re.compile(r"(?<=\S) (?=\S)")
+# White space other than spaces and line ends, and a space beside one of these two: only texts without them have a segment at each space.
+OTHER_SPACE, SPACE_PAIRS = re.compile(r"[^\S \n]"), ("  ", " \n", "\n ")
+# Among joined segments: a white space at the start or end of one, or the second tokenizer's own mark of a space.
+NOT_JOINED = re.compile(r" \s|\s |▁")
 # Segments a task remembers, and the characters and links of all of them, before it forgets them and starts anew.
 REMEMBERED, REMEMBERED_SIZE = 400_000, 16_000_000
 # Segments are encoded in texts of about so many characters.
@@ -75,7 +79,10 @@ class Tokenizers:
 
     def segments(self, text: str) -> list[str]:
         """Segments of a text, each without the space it starts with."""
-        return SEGMENT_START.split(text) if self.separable else [text]
+        if not self.separable:
+            return [text]
+        plain = text[:1] != " " and text[-1:] != " " and not any(pair in text for pair in SPACE_PAIRS) and not OTHER_SPACE.search(text)
+        return text.split(" ") if plain else SEGMENT_START.split(text)
 
     def encode_a(self, texts: list[str]) -> tuple[list[int], list[tuple[int, int]], list[int]]:
         """Ids, spans of characters, and the number of tokens of each text."""
@@ -102,6 +109,11 @@ def span_array(spans: list[tuple[int, int]]) -> np.ndarray:
 
 def runs_of(segments: list[str]) -> list[str]:
     """The segments, in order, joined into texts that are cut at the same places again."""
+    whole = "".join(segments)
+    if not NOT_JOINED.search(whole) and not whole[-1:].isspace():
+        run = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments))) // RUN_CHARS
+        ends = [*(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(segments)]
+        return ["".join(segments[a:b]) for a, b in zip([0, *ends], ends)]
     out, held, size = [], [], 0
     for s in segments:
         # Only between characters that are no white space does a space start a segment; the second
@@ -261,6 +273,18 @@ class Grown:
         return self.held[: self.n]
 
 
+class Places(dict):
+    """Places of segments; a segment that has none gets the next one and is a ``new`` one."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = place = len(self)
+        self.new.append(segment)
+        return place
+
+
 class Remembered:
     """Alignments of all segments seen since the memory was last cleared, each at a place of its own.
 
@@ -275,7 +299,7 @@ class Remembered:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.chars = 0
         for array in (self.sums, self.bad, self.pairs, self.times, self.pair_ends, self.letters, self.text_ends):
             array.n = 0
@@ -287,13 +311,17 @@ class Remembered:
         if len(self.place) > REMEMBERED or self.chars + self.letters.n + self.pairs.n > REMEMBERED_SIZE:
             self.clear()
         place = self.place
-        missing = [s for s in dict.fromkeys(segments) if s not in place]
-        if missing:
-            self.learn(missing)
-        return np.fromiter(map(place.__getitem__, segments), np.int64, len(segments))
+        found = np.fromiter(map(place.__getitem__, segments), np.int64, len(segments))
+        new, place.new = place.new, []
+        if new and not self.learn(new):
+            found = np.fromiter(map(place.__getitem__, segments), np.int64, len(segments))
+        return found
+
+    def learn(self, segments: list[str]) -> bool:
+        """Segments are encoded in runs; if one of a run fails, all of the run are encoded alone.
 
-    def learn(self, segments: list[str]) -> None:
-        """Segments are encoded in runs; if one of a run fails, all of the run are encoded alone."""
+        False if these get other places than those in their order.
+        """
         spaced = [" " + s for s in segments]
         runs = runs_of(spaced)
         found = align_segments(self.tokenizers, spaced, runs)
@@ -305,12 +333,13 @@ class Remembered:
                 some = [s for s, x in zip(segments, again.tolist()) if x == alone]
                 if some:
                     spaced = [" " + s for s in some]
+                    self.place.update(zip(some, range(self.bad.n, self.bad.n + len(some))))
                     self.keep(some, align_segments(self.tokenizers, spaced, spaced if alone else runs_of(spaced)))
-        else:
-            self.keep(segments, found)
+            return False
+        self.keep(segments, found)
+        return True
 
     def keep(self, segments: list[str], found: Aligned) -> None:
-        self.place.update(zip(segments, range(self.bad.n, self.bad.n + len(segments))))
         self.chars += sum(map(len, segments))
         self.sums.add(found.sums)
         self.bad.add(found.bad)

@@ -169,6 +169,33 @@ def test_search_drops_trials_and_keeps_the_best(spark, direction):
     assert {r["rank"] for r in SE.best_settings(out).collect()} == {1}
 
 
+def test_the_end_of_a_trial():
+    assert SE.end_of([3.0, 2.0, 2.0, 2.5, 1.0], 3) == 5 and SE.end_of([3.0, 2.0, 2.0, 2.5, 1.0], 2) == 4
+    assert SE.end_of([1.0], 2) == 1 and SE.end_of([1.0, 1.0, 1.0], 2) == 3
+
+
+def test_every_trial_of_a_search_is_fitted_in_whole(direction, monkeypatch):
+    """Each has the rounds, loss and accuracy that a single fit of all the rounds it was drawn with gives."""
+    patience = 6
+    settings = SE.draw(5, trials=4, iterations=(18, 30), depths=(2, 3), patience=patience)
+    fitted, make = [], SE.boosted
+    monkeypatch.setattr(SE, "boosted", lambda settings, label, n: fitted.append(n) or make(settings, label, n))
+    ticker = supplied.TICKERS[0]
+    rows = {r["trial"]: r for r in SE.search_each(direction, [ticker], settings, Q.SPLIT).collect()}
+    assert sorted(rows) == list(range(4)) and sorted(r["rank"] for r in rows.values()) == list(range(1, 5))
+    halves = SE.halves_of(direction.where(F.col("ticker") == ticker), Q.SPLIT, "target_direction", DIRECTION_FEATURES, settings[0], SE.FIT_ROWS)
+    for number, setting in enumerate(settings):
+        every = Pipeline(stages=[make(setting, "target_direction")]).fit(halves.learn)
+        losses = TR.validation_losses(every, halves.check)
+        end = next((n for n in range(1, len(losses)) if n - 1 - losses.index(min(losses[:n])) >= patience), len(losses))
+        best = losses.index(min(losses[:end])) + 1
+        found = rows[number]
+        assert (found["tried"], found["rounds"], found["loss"]) == (end, best, losses[best - 1])
+        assert found["accuracy"] == SE.accuracy_of(TR.truncated(every, best), halves.test, "target_direction")
+        assert found["tried"] == found["iterations"] or found["tried"] == found["rounds"] + patience
+    assert min(fitted) == patience + 1 and set(fitted) <= {7, 14, 28, *(s.iterations for s in settings)}
+
+
 def test_the_last_trial_is_not_fitted_for_every_number_of_rounds(direction, monkeypatch):
     """What a trial has after 4, 8, 16 and 30 rounds is read off two fits, and is what four fits give."""
     setting = TR.BoostedTrees(iterations=30, depth=2, rate=0.05, patience_share=0.2, patience=5)

@@ -196,6 +196,20 @@ def test_every_trial_of_a_search_is_fitted_in_whole(direction, monkeypatch):
     assert min(fitted) == patience + 1 and set(fitted) <= {7, 14, 28, *(s.iterations for s in settings)}
 
 
+def test_every_training_week_is_fitted(spark):
+    """Nothing is left out of a long history, unless a caller asks for fewer rows."""
+    rows = spark.range(5010).selectExpr(
+        "date_add(DATE'1900-01-01', CAST(7 * id AS INT)) AS week", "CAST(id % 3 = 0 AS INT) AS up", "CAST(id % 7 AS DOUBLE) AS x"
+    )
+    split = str(rows.orderBy("week").tail(10)[0]["week"])
+    setting = TR.BoostedTrees(iterations=2, depth=2, patience_share=0.2, patience=1)
+    halves = SE.halves_of(rows, split, "up", ["x"], setting)
+    assert (halves.learn.count() + halves.check.count(), halves.test.count()) == (5000, 10)
+    few = SE.halves_of(rows, split, "up", ["x"], setting, 100)
+    assert few.learn.count() + few.check.count() == 100
+    assert SE.search_each.__defaults__[2:] == (None, None)
+
+
 def test_the_last_trial_is_not_fitted_for_every_number_of_rounds(direction, monkeypatch):
     """What a trial has after 4, 8, 16 and 30 rounds is read off two fits, and is what four fits give."""
     setting = TR.BoostedTrees(iterations=30, depth=2, rate=0.05, patience_share=0.2, patience=5)
